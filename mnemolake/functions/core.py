@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -24,11 +24,16 @@ def same_as_previous(items: Column, i: Column, field: str) -> Column:
 def first_per_key(items: Column) -> Column:
     """Of an array of structs (key, pos, ...) keep the element with the lowest pos per key."""
     return let(
-        F.array_sort(items),
+        F.sort_array(items),
         lambda s: F.filter(s, lambda _, i: ~same_as_previous(s, i, "key")),
     )
 
 
+def unnest(df: DataFrame, keep: Sequence, items: Column, pos: str, item: str) -> DataFrame:
+    """One row per array element. The outer form keeps Spark from repeating a costly array in an inferred filter."""
+    return df.select(*keep, F.posexplode_outer(items).alias(pos, item)).filter(F.col(pos).isNotNull())
+
+
 def hash_bucket(value: Column, modulus: int = 100) -> Column:
     """First four bytes of the md5 digest, big-endian, modulo `modulus`."""
     word = F.conv(F.substring(F.md5(value.cast("binary")), 1, 8), 16, 10).cast("bigint")

@@ -50,7 +50,7 @@ def tokens(text: Column) -> Column:
 
 
 def term_counts(text: Column) -> Column:
-    """array<struct<term, tf>> of one text, counted inside the row (sort, then run lengths): no shuffle."""
+    """array<struct<term, tf, dl>> of one text, counted inside the row (sort, then run lengths): no shuffle."""
 
     def runs(s: Column) -> Column:
         heads = F.filter(
@@ -64,11 +64,12 @@ def term_counts(text: Column) -> Column:
                 lambda x, j: F.struct(
                     x["key"].alias("term"),
                     (F.coalesce(F.get(h, j + 1)["at"], F.size(s)) - x["at"]).alias("tf"),
+                    F.size(s).alias("dl"),
                 ),
             ),
         )
 
-    return let(F.array_sort(tokens(text)), runs)
+    return let(F.sort_array(tokens(text)), runs)
 
 
 def fallback_tokens(text: Column) -> Column:
@@ -76,7 +77,7 @@ def fallback_tokens(text: Column) -> Column:
     found = F.regexp_extract_all(text, F.lit(FALLBACK), F.lit(0))
     keyed = F.transform(found, lambda t, i: F.struct(F.lower(t).alias("key"), i.alias("pos"), t.alias("text")))
     back = F.transform(first_per_key(keyed), lambda x: F.struct(x["pos"], x["text"]))
-    return F.transform(F.array_sort(back), lambda x: x["text"])
+    return F.transform(F.sort_array(back), lambda x: x["text"])
 
 
 def entity_structs(text: Column, stop=STOP_WORDS, min_len: int = 2, max_n: int = 20) -> Column:
@@ -97,7 +98,7 @@ def entity_structs(text: Column, stop=STOP_WORDS, min_len: int = 2, max_n: int =
     )
     valid = F.filter(keyed, lambda e: (F.length(e["text"]) >= min_len) & ~e["key"].isin(*stop))
     # Candidates arrive by kind rank, so the first form per key is also its best kind.
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.transform(
             first_per_key(valid),
             lambda e: F.struct(
@@ -139,7 +140,7 @@ def entity_confidence(kind: Column) -> Column:
 def char_set(text: Column) -> Column:
     """Sorted distinct non-blank characters of the whole text."""
     chars = F.split(F.regexp_replace(text, r"(?U)\s+", ""), "")
-    return F.array_sort(F.filter(F.array_distinct(chars), lambda c: c != ""))
+    return F.sort_array(F.filter(F.array_distinct(chars), lambda c: c != ""))
 
 
 def char_jaccard(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemolake.functions.answers import (
     is_object, list_field, number_field, parse_items, read_json, strip_fence, text_field,
 )
-from mnemolake.functions.core import let, strip
+from mnemolake.functions.core import let, strip, unnest
 from mnemolake.schemas import KNOWLEDGE_TYPES, SCOPE
 
 SUMMARY_CHARS = 50
@@ -20,7 +20,7 @@ def episodes(cells: DataFrame, responses: DataFrame) -> DataFrame:
     empty = F.array(F.expr("parse_json('{}')"))
     items = let(parse_items(F.coalesce("response", F.lit(""))), lambda a: F.when(F.size(a) > 0, a).otherwise(empty))
     item = F.col("item")
-    rows = some.select(*SCOPE, "mem_cell_id", "text", F.posexplode(items).alias("pos", "item"))
+    rows = unnest(some, [*SCOPE, "mem_cell_id", "text"], items, "pos", "item")
     return rows.select(
         F.concat_ws("#", "mem_cell_id", "pos").alias("episode_id"), "mem_cell_id", *SCOPE,
         F.coalesce(text_field(item, "summary"), F.left(strip(F.col("text")), F.lit(SUMMARY_CHARS))).alias("summary"),
@@ -41,9 +41,8 @@ def semantics(episodes_: DataFrame, responses: DataFrame, max_items: int = 20) -
     with_text = F.filter(parse_items(F.col("response")), lambda i: text_field(i, "content").isNotNull())
     item = F.col("item")
     kind = F.lower(text_field(item, "knowledge_type"))
-    return some.select(
-        *SCOPE, "episode_id", "mem_cell_id", F.posexplode(F.slice(with_text, 1, max_items)).alias("pos", "item")
-    ).select(
+    kept = F.slice(with_text, 1, max_items)
+    return unnest(some, [*SCOPE, "episode_id", "mem_cell_id"], kept, "pos", "item").select(
         F.concat_ws("#", "episode_id", "pos").alias("semantic_id"), *SCOPE,
         text_field(item, "content").alias("content"),
         F.when(kind.isin(*KNOWLEDGE_TYPES), kind).otherwise("knowledge").alias("knowledge_type"),
@@ -78,12 +77,12 @@ def render_prompts(rows: DataFrame, templates: DataFrame) -> DataFrame:
     """
     joined = rows.join(templates, "prompt_id")
     given = F.map_keys("vars")
-    missing = F.array_sort(F.array_except("variables", given))
+    missing = F.sort_array(F.array_except("variables", given))
     # Literal braces step aside while names are replaced, piece by piece, so a value is never read as a template.
     hidden = F.replace(F.replace(F.col("template"), F.lit("{{"), F.lit("\u0001")), F.lit("}}"), F.lit("\u0002"))
     pieces = F.regexp_extract_all(hidden, F.lit(r"\{[^{}]*\}|[^{}]+"), F.lit(0))
     names = F.transform(F.regexp_extract_all(hidden, F.lit(r"\{([^{}]*)\}"), F.lit(1)), lambda n: n)
-    undeclared = F.array_sort(F.array_except(names, given))
+    undeclared = F.sort_array(F.array_except(names, given))
     literal = lambda p: F.replace(F.replace(p, F.lit("\u0001"), F.lit("{")), F.lit("\u0002"), F.lit("}"))
     filled = F.transform(
         pieces,

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.functions.core import strip
+from mnemolake.functions.core import strip, unnest
 from mnemolake.functions.text import extract_entities
 from mnemolake.schemas import SCOPE
 from mnemolake.session import cut
@@ -36,15 +36,15 @@ def entity_source(cells: DataFrame, episodes: DataFrame) -> DataFrame:
         .distinct()
     )
     bare = cells.join(listed.select(*SCOPE, "mem_cell_id"), [*SCOPE, "mem_cell_id"], "left_anti")
-    drawn = bare.select(*SCOPE, "mem_cell_id", F.explode(extract_entities(F.col("text"))).alias("entity"))
-    return listed.unionByName(drawn)
+    drawn = unnest(bare, [*SCOPE, "mem_cell_id"], extract_entities(F.col("text")), "_i", "entity")
+    return listed.unionByName(drawn.drop("_i"))
 
 
 def cell_entities(cells: DataFrame, entities: Column) -> DataFrame:
     """scope, mem_cell_id, entity (trimmed, no blanks, exact-case distinct inside the row)."""
     clean = F.array_distinct(F.filter(F.transform(entities, strip), lambda e: e != ""))
     rest = [c for c in ("seq",) if c in cells.columns]
-    return cells.select(*SCOPE, "mem_cell_id", *rest, F.explode(clean).alias("entity"))
+    return unnest(cells, [*SCOPE, "mem_cell_id", *rest], clean, "_i", "entity").drop("_i")
 
 
 # --- inverted index -----------------------------------------------------------------------------------------------

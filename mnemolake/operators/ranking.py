@@ -60,7 +60,7 @@ def rrf_fuse(
         .agg(
             F.sum(F.col("_w") / (k + F.col("rank") + 1)).alias("score"),
             F.min_by("channel", place).alias("source_channel"),
-            F.array_sort(F.collect_set("channel")).alias("channels"),
+            F.sort_array(F.collect_set("channel")).alias("channels"),
         )
     )
 

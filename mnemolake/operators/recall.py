@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mnemolake.functions.core import unnest
 from mnemolake.functions.text import term_counts, tokens
 from mnemolake.operators.blocks import blocked
 from mnemolake.operators.graph import graph_traverse, entity_node_id
@@ -35,9 +36,8 @@ def ranked(hits: DataFrame, channel: str, k: int) -> DataFrame:
 
 def bm25_postings(cells: DataFrame, text: str = "text") -> DataFrame:
     """scope, mem_cell_id, term, tf, dl. Counted inside each row, so building postings needs no shuffle."""
-    counted = cells.select(*SCOPE, "mem_cell_id", term_counts(F.col(text)).alias("_t"))
-    length = F.aggregate("_t", F.lit(0), lambda acc, t: acc + t["tf"])
-    return counted.select(*SCOPE, "mem_cell_id", length.alias("dl"), F.inline("_t"))
+    rows = unnest(cells, [*SCOPE, "mem_cell_id"], term_counts(F.col(text)), "_i", "_t")
+    return rows.select(*SCOPE, "mem_cell_id", "_t.*")
 
 
 def corpus_stats(cells: DataFrame, text: str = "text") -> DataFrame:
@@ -56,7 +56,8 @@ def bm25_topk(
     queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int, k1: float = 1.2, b: float = 0.75,
 ) -> DataFrame:
     """OR-match of the query terms inside the query's scope; a repeated query term counts as often as it occurs."""
-    asked = queries.select("query_id", *SCOPE, F.inline(term_counts(F.col("query")))).withColumnRenamed("tf", "qtf")
+    rows = unnest(queries, ["query_id", *SCOPE], term_counts(F.col("query")), "_i", "_t")
+    asked = rows.select("query_id", *SCOPE, F.col("_t.term"), F.col("_t.tf").alias("qtf"))
     terms = asked.select("term").distinct()
     df = doc_frequency(postings.join(terms, "term", "left_semi"))
     corpus = stats.select(F.struct("n_docs", "avg_len")).scalar()
@@ -159,7 +160,7 @@ def vector_ann(
 
 def query_entities(queries: DataFrame, entities, text: str = "query") -> DataFrame:
     """query_id, scope, pos, entity; `entities` maps a text Column to an array Column."""
-    return queries.select("query_id", *SCOPE, F.posexplode(entities(F.col(text))).alias("pos", "entity"))
+    return unnest(queries, ["query_id", *SCOPE], entities(F.col(text)), "pos", "entity")
 
 
 def entity_topk(asked: DataFrame, postings: DataFrame, cells: DataFrame, k: int) -> DataFrame:

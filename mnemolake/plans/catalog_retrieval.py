@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.functions import text as text_fn
+from mnemolake.functions.core import unnest
+from mnemolake.functions.vectors import cosine, ip, neg_l2
 from mnemolake.operators import graph, ranking, recall, store
 from mnemolake.plans import jobs
 from mnemolake.plans.registry import query
@@ -208,7 +210,7 @@ SELECT mem_cell_id, pos, entity, CASE kind WHEN 0 THEN 'QUOTED' WHEN 1 THEN 'PRO
   ELSE 'NOUN' END AS entity_type, CAST(CASE kind WHEN 0 THEN 0.95 WHEN 1 THEN 0.85 WHEN 2 THEN 0.75 ELSE 0.55 END
   AS DOUBLE) AS confidence FROM ce""")
 def _(t):
-    found = t["cells"].select("mem_cell_id", F.posexplode(text_fn.entity_structs(F.col("text"))).alias("pos", "e"))
+    found = unnest(t["cells"], ["mem_cell_id"], text_fn.entity_structs(F.col("text")), "pos", "e")
     return found.select(
         "mem_cell_id", "pos", F.col("e.text").alias("entity"), text_fn.entity_kind(F.col("e.kind")).alias("entity_type"),
         text_fn.entity_confidence(F.col("e.kind")).alias("confidence"),
@@ -221,7 +223,7 @@ w AS (SELECT mem_cell_id, unnest(regexp_extract_all(text, '[一-鿿]{2,}|[A-Za-z
 f AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY mem_cell_id, lower(token) ORDER BY p) = 1)
 SELECT mem_cell_id, row_number() OVER (PARTITION BY mem_cell_id ORDER BY p) - 1 AS pos, token FROM f""")
 def _(t):
-    return t["cells"].select("mem_cell_id", F.posexplode(text_fn.fallback_tokens(F.col("text"))).alias("pos", "token"))
+    return unnest(t["cells"], ["mem_cell_id"], text_fn.fallback_tokens(F.col("text")), "pos", "token")
 
 
 @query("entity_index", "cells", CELL_ENTS + """
@@ -474,8 +476,6 @@ def _(t):
 
 @query("cosine", "cells queries", VECTOR + "SELECT query_id, memory_id, round(score, 6) AS cosine FROM vscore")
 def _(t):
-    from mnemolake.functions.vectors import cosine
-
     pairs = t["queries"].filter("query_vec IS NOT NULL").join(t["cells"].filter("embedding IS NOT NULL"), SCOPE)
     return pairs.select(
         "query_id", F.col("mem_cell_id").alias("memory_id"), F.round(cosine(F.col("query_vec"), F.col("embedding")), 6).alias("cosine")
@@ -488,8 +488,6 @@ v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS a, CAST(lag(embedding) OVER
 SELECT vec_id, round(list_inner_product(a, b), 6) AS ip, round(-list_distance(a, b), 6) AS neg_l2
 FROM v WHERE b IS NOT NULL""")
 def _(t):
-    from mnemolake.functions.vectors import ip, neg_l2
-
     a = t["embeddings"].select("vec_id", F.col("embedding").alias("a"))
     b = t["embeddings"].select((F.col("vec_id") + 1).alias("vec_id"), F.col("embedding").alias("b"))
     return a.join(b, "vec_id").select(

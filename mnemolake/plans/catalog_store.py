@@ -92,7 +92,7 @@ SELECT concat(rq, ':', s, ':', turn) AS raw_id, concat_ws(',', concat('agent_id=
   concat('turn_index=', turn)) AS metadata FROM flat""")
 def _(t):
     entries = F.transform(
-        F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])
+        F.sort_array(F.map_entries("metadata")), lambda e: F.concat(e["key"], F.lit("="), e["value"])
     )
     return ingest.raw_per_turn(nested_requests(t)).select("raw_id", F.array_join(entries, ",").alias("metadata"))
 

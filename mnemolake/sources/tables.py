@@ -36,3 +36,9 @@ def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
     every = spark.read.option("basePath", root).parquet(root)
     newest = every.agg(F.max("v")).first()[0]
     return every.filter(F.col("v") == newest).drop("v")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores is dealt out once, so that work on its texts uses every core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df

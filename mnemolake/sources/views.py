@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-BASE = ("documents", "embeddings", "benchmark", "conversations", "events", "labels", "pages")
+from mnemolake.sources.tables import spread
+
+TEXT_HEAVY = ("documents",)
 
 VIEWS = {
     # Conversations as an ingest stream; event_min = minutes since an epoch.
@@ -111,11 +113,13 @@ class Tables:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._made:
-            self._made[name] = self._view(name) if name in VIEWS else self.spark.read.parquet(
-                f"{self.folder}/{name}.parquet"
-            )
+            self._made[name] = self._view(name) if name in VIEWS else self._table(name)
         return self._made[name]
 
+    def _table(self, name: str) -> DataFrame:
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(table) if name in TEXT_HEAVY else table
+
     def _view(self, name: str) -> DataFrame:
         parts = {need: self[need] for need in NEEDS[name]}
         text = VIEWS[name].replace("{", "{{").replace("}", "}}")

@@ -75,7 +75,7 @@ def main() -> None:
     names = sys.argv[2:]
     folder = f"/root/testdata/sf{sf}"
     spark = build_session(
-        master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__driver__memory="12g"
+        master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__ui__showConsoleProgress="false", spark__driver__memory="12g"
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(folder)
