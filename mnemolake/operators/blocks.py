@@ -38,5 +38,7 @@ def blocked(
 
     group = [*keys, "_lb", "_rb"]
     a = placed(left, "_ln", "_rn", left_id, "_lb", "_rb").groupBy(*group)
-    b = placed(right, "_rn", "_ln", right_id, "_rb", "_lb").groupBy(*group)
+    other = placed(right, "_rn", "_ln", right_id, "_rb", "_lb")
+    # Fresh column identities: both sides may stem from the same table.
+    b = other.select(*[F.col(c).alias(c) for c in other.columns]).groupBy(*group)
     return a.cogroup(b).applyInPandas(best, schema)
