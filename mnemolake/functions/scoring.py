@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemolake.functions.core import let
+
 # Signal of a feedback event that carries none of its own.
 FEEDBACK_SIGNAL = {
     "explicit_confirm": 1.0,
@@ -83,11 +85,12 @@ def signal_map(feedback_type: Column, value: Column) -> Column:
 
 
 def decide(sim: Column, thresholds: FactThresholds = FactThresholds()) -> Column:
-    return (
-        F.when(sim >= thresholds.noop, "NOOP")
-        .when(sim >= thresholds.supersede, "SUPERSEDE")
-        .when(sim >= thresholds.update, "UPDATE")
-        .otherwise("ADD")
+    return let(
+        sim,
+        lambda s: F.when(s >= thresholds.noop, "NOOP")
+        .when(s >= thresholds.supersede, "SUPERSEDE")
+        .when(s >= thresholds.update, "UPDATE")
+        .otherwise("ADD"),
     )
 
 

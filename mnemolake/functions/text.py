@@ -85,8 +85,8 @@ def entity_structs(text: Column, stop=STOP_WORDS, min_len: int = 2, max_n: int =
 
     def found(pattern: str, group: int, kind: int) -> Column:
         return F.transform(
-            F.regexp_extract_all(text, F.lit(pattern), F.lit(group)),
-            lambda t: F.struct(F.lit(kind).alias("kind"), strip(t).alias("text")),
+            F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group))),
+            lambda t: F.struct(F.lit(kind).alias("kind"), (strip(t) if kind == 0 else t).alias("text")),
         )
 
     every = F.concat(found(QUOTED, 1, 0), found(PROPER, 1, 1), found(COMPOUND, 0, 2), found(NOUN, 1, 3))
@@ -148,8 +148,15 @@ def char_jaccard(a: Column, b: Column) -> Column:
 
 
 def set_jaccard(a: Column, b: Column) -> Column:
-    either = F.size(F.array_union(a, b))
-    return F.when(either == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / either)
+    """Jaccard of two arrays of distinct elements; two empty ones give 0."""
+
+    def ratio(x: Column, y: Column) -> Column:
+        return let(
+            F.size(F.array_intersect(x, y)),
+            lambda both: F.coalesce(F.try_divide(both, F.size(x) + F.size(y) - both), F.lit(0.0)),
+        )
+
+    return let(a, lambda x: let(b, lambda y: ratio(x, y)))
 
 
 __all__ = [

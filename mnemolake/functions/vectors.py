@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mnemolake.functions.core import let
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
@@ -27,8 +29,8 @@ def ip(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    length = norm(a) * norm(b)
-    return F.when(_usable(a, b) & (length > 0), dot(a, b) / length).otherwise(F.lit(0.0))
+    ratio = let(norm(a) * norm(b), lambda length: F.when(length > 0, dot(a, b) / length).otherwise(F.lit(0.0)))
+    return F.when(_usable(a, b), ratio).otherwise(F.lit(0.0))
 
 
 def neg_l2(a: Column, b: Column) -> Column:

@@ -17,6 +17,7 @@ from mnemolake.functions.text import term_counts, tokens
 from mnemolake.operators.blocks import blocked
 from mnemolake.operators.graph import graph_traverse, entity_node_id
 from mnemolake.schemas import SCOPE
+from mnemolake.session import materialize
 
 PLACES = 9  # ranks compare scores at this precision, so equal texts tie whatever the order of summation
 
@@ -34,14 +35,30 @@ def ranked(hits: DataFrame, channel: str, k: int) -> DataFrame:
 # --- text ---------------------------------------------------------------------------------------------------------
 
 
-def bm25_postings(cells: DataFrame, text: str = "text") -> DataFrame:
-    """scope, mem_cell_id, term, tf, dl. Counted inside each row, so building postings needs no shuffle."""
-    rows = unnest(cells, [*SCOPE, "mem_cell_id"], term_counts(F.col(text)), "_i", "_t")
+def text_index(cells: DataFrame, text: str = "text") -> DataFrame:
+    """scope, mem_cell_id, terms array<struct<term, tf, dl>>: one row per cell, counted inside the row, no shuffle."""
+    return cells.select(*SCOPE, "mem_cell_id", term_counts(F.col(text)).alias("terms"))
+
+
+def postings_of(index: DataFrame) -> DataFrame:
+    rows = unnest(index, [*SCOPE, "mem_cell_id"], F.col("terms"), "_i", "_t")
     return rows.select(*SCOPE, "mem_cell_id", "_t.*")
 
 
-def corpus_stats(cells: DataFrame, text: str = "text") -> DataFrame:
+def stats_of(index: DataFrame) -> DataFrame:
     """Documents, terms and average length of the whole index (not per tenant)."""
+    length = F.coalesce(F.get("terms", F.lit(0))["dl"], F.lit(0))
+    return index.agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum(length).alias("n_terms"), F.avg(length).alias("avg_len")
+    )
+
+
+def bm25_postings(cells: DataFrame, text: str = "text") -> DataFrame:
+    """scope, mem_cell_id, term, tf, dl."""
+    return postings_of(text_index(cells, text))
+
+
+def corpus_stats(cells: DataFrame, text: str = "text") -> DataFrame:
     n_terms = F.size(tokens(F.col(text)))
     return cells.agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum(n_terms).alias("n_terms"), F.avg(n_terms).alias("avg_len")
@@ -131,7 +148,7 @@ def vector_ann(
 
     The centroids are trained on at most about `train_rows` vectors; every vector is assigned to a list.
     """
-    stored = cells.filter(F.size("embedding") > 0).select(*SCOPE, "mem_cell_id", "embedding")
+    stored = materialize(cells.filter(F.size("embedding") > 0).select(*SCOPE, "mem_cell_id", "embedding"), "vectors")
     points = stored.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
     total = points.count()
     train = points if total <= train_rows else points.sample(train_rows / total, seed=seed)

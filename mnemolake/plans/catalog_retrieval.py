@@ -12,6 +12,7 @@ from mnemolake.operators import graph, ranking, recall, store
 from mnemolake.plans import jobs
 from mnemolake.plans.registry import query
 from mnemolake.schemas import SCOPE
+from mnemolake.session import materialize
 from mnemolake.sources.views import Tables
 
 TOP = 20  # hits per channel in the ranking queries
@@ -107,8 +108,8 @@ def score6():
 
 
 def bm25_hits(t: Tables, k: int = TOP) -> DataFrame:
-    cells = t["cells"]
-    return recall.bm25_topk(t["queries"], recall.bm25_postings(cells), recall.corpus_stats(cells), k)
+    index = materialize(recall.text_index(t["cells"]), "text-index")
+    return recall.bm25_topk(t["queries"], recall.postings_of(index), recall.stats_of(index), k)
 
 
 def vector_hits(t: Tables, k: int = TOP, metric: str = "COSINE") -> DataFrame:
@@ -195,7 +196,7 @@ m AS (SELECT query_id, q.tenant_id, q.user_id, mem_cell_id AS memory_id, min(q.p
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos, memory_id) - 1 AS rank FROM m)
 SELECT query_id, tenant_id, user_id, memory_id, CAST(1 AS DOUBLE) AS score, rank FROM r WHERE rank < 20""")
 def _(t):
-    ents = cell_ents(t)
+    ents = materialize(cell_ents(t), "entities")
     hits = recall.graph_topk(
         asked_ents(t), graph.graph_nodes(ents, t["cells"]), graph.graph_edges(ents), t["cells"], TOP
     )
@@ -257,7 +258,9 @@ def _(t):
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("mem_cell_id")
     )
     removed = t["cells"].join(toxic, "mem_cell_id", "left_semi")
-    kept, changed = graph.entity_remove_cell(graph.entity_postings(cell_ents(t)), removed)
+    kept, changed = graph.entity_remove_cell(
+        materialize(graph.entity_postings(cell_ents(t)), "postings"), removed
+    )
     return kept.groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n")).select(
         F.lit("kept").alias("outcome"), *SCOPE, F.lit("").alias("mem_cell_id"), "n"
     ).unionAll(changed.select(F.lit("changed"), *SCOPE, "mem_cell_id", "changed"))
@@ -290,7 +293,7 @@ def _(t):
 SELECT (SELECT count(DISTINCT (tenant_id, user_id)) FROM n) AS users, (SELECT count(*) FROM n) AS nodes,
   (SELECT count(*) FROM ce) AS edges""")
 def _(t):
-    ents = cell_ents(t)
+    ents = materialize(cell_ents(t), "entities")
     return graph.graph_stats(graph.graph_nodes(ents, t["cells"]), graph.graph_edges(ents))
 
 
@@ -325,7 +328,7 @@ UNION ALL SELECT DISTINCT 'edge', query_id, v.tenant_id, v.user_id, concat(a, '|
 FROM every v JOIN e ON v.tenant_id = e.tenant_id AND v.user_id = e.user_id AND (v.n = e.a OR v.n = e.b)
 WHERE hop < 2""")
 def _(t):
-    ents = cell_ents(t)
+    ents = materialize(cell_ents(t), "entities")
     nodes, edges = graph.graph_traverse(
         first_seeds(t), graph.graph_nodes(ents, t["cells"]), graph.graph_edges(ents), 2, ["mentions"]
     )
@@ -338,7 +341,7 @@ def _(t):
 SELECT query_id, tenant_id, user_id, substr(n, 8) AS memory_id, 1 AS hop FROM h1
 UNION ALL SELECT query_id, tenant_id, user_id, substr(n, 8), 3 FROM h3""")
 def _(t):
-    ents = cell_ents(t)
+    ents = materialize(cell_ents(t), "entities")
     return graph.related_memories(
         first_seeds(t), graph.graph_nodes(ents, t["cells"]), graph.graph_edges(ents), 3
     )
@@ -461,7 +464,7 @@ p AS (SELECT query_id, memory_id, coalesce(CASE WHEN length(c.text) % 2 = 0 THEN
 SELECT query_id, memory_id, round(score, 6) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank FROM p""")
 def _(t):
-    fused = ranking.rrf_fuse(channel_hits(t))
+    fused = materialize(ranking.rrf_fuse(channel_hits(t)), "fused")
     size = F.length("text")
     given = t["cells"].filter(size % 2 == 0).select(F.col("mem_cell_id").alias("memory_id"), (size / 100000).alias("pair_score"))
     scores = fused.select("query_id", "memory_id").join(given, "memory_id")

@@ -12,6 +12,7 @@ from mnemolake.functions.scoring import FactThresholds, compute_state, fsfm_scor
 from mnemolake.functions.text import extract_entities
 from mnemolake.operators import extraction, facts, graph, ingest, lifecycle, ranking, recall, reports, scenes, store
 from mnemolake.schemas import SCOPE
+from mnemolake.session import materialize
 
 
 # --- ingest -------------------------------------------------------------------------------------------------------
@@ -69,10 +70,10 @@ def job_cold_path(
 
     Every enrichment is an outer step: a cell without answers still gets an episode, a scene and its entities.
     """
-    found = extraction.episodes(cells, episode_answers)
+    found = materialize(extraction.episodes(cells, episode_answers), "episodes")
     learned = extraction.semantics(found, fact_answers)
-    assigned = scenes.cluster_scenes(cells, sim, gap_days)
-    named = graph.entity_source(cells, found)
+    assigned = materialize(scenes.cluster_scenes(cells, sim, gap_days), "scenes")
+    named = materialize(graph.entity_source(cells, found), "entities")
     return Enriched(
         found, learned, assigned, graph.entity_postings(named), graph.entity_index(named),
         graph.graph_nodes(named, cells), graph.graph_edges(named),
@@ -103,11 +104,12 @@ def recall_channels(
     wide = ranking.overfetch(top_k)
     out: dict[str, DataFrame] = {}
     if "bm25" in channels:
-        postings = recall.bm25_postings(cells)
-        out["bm25"] = recall.bm25_topk(queries, postings, recall.corpus_stats(cells), wide["bm25"])
+        index = materialize(recall.text_index(cells), "text-index")
+        out["bm25"] = recall.bm25_topk(queries, recall.postings_of(index), recall.stats_of(index), wide["bm25"])
     if "vector" in channels and "embedding" in cells.columns and "query_vec" in queries.columns:
         out["vector"] = recall.vector_topk(queries, cells, wide["vector"])
     if entities is not None and {"entity", "graph"} & set(channels):
+        entities = materialize(entities, "entities")
         asked = recall.query_entities(queries, extract_entities)
         if "entity" in channels:
             out["entity"] = recall.entity_topk(asked, graph.entity_postings(entities), cells, wide["entity"])

@@ -50,3 +50,10 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so that lost executors do not replay the plan."""
     scratch_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write a table several later steps read, once, to the shared folder; readers then prune its columns."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
