@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mnemolake.functions.core import strip, unnest
 from mnemolake.functions.text import extract_entities
 from mnemolake.schemas import SCOPE
-from mnemolake.session import cut
+from mnemolake.session import sized
 
 MENTIONS_CONFIDENCE = 0.9
 MAX_HOPS = 3
@@ -69,8 +69,8 @@ def entity_index(entities: DataFrame) -> DataFrame:
 def entity_lookup(postings: DataFrame, wanted: DataFrame, limit: int | None = 1000) -> DataFrame:
     """Distinct cell ids per (query_id, scope) of the wanted entities, lowest ids first."""
     found = (
-        wanted.select("query_id", *SCOPE, "entity").distinct()
-        .join(postings.select(*SCOPE, "entity", "mem_cell_id"), [*SCOPE, "entity"])
+        postings.select(*SCOPE, "entity", "mem_cell_id")
+        .join(sized(wanted.select("query_id", *SCOPE, "entity").distinct()), [*SCOPE, "entity"])
         .select("query_id", *SCOPE, "mem_cell_id").distinct()
     )
     if limit is None:
@@ -144,12 +144,13 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def graph_traverse(
     seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 2,
-    edge_types: Iterable[str] | None = None, checkpoint: bool = False,
+    edge_types: Iterable[str] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Undirected BFS per query inside its scope, at most 3 hops.
 
     Seeds: query_id, scope, node_id. Invalid or unknown nodes are crossed but not returned; invalid edges are not
-    crossed. Each hop is one equi-join on (scope, node) and one distinct, so a popular node is spread by AQE.
+    crossed. Each hop is one equi-join on (scope, node) and one distinct; its frontier is written and counted, so a
+    small one is broadcast to the edges where they lie and a large one is shuffled.
     """
     max_hops = max(0, min(MAX_HOPS, max_hops))
     usable = edges.filter("is_valid")
@@ -164,17 +165,15 @@ def graph_traverse(
     )
     steps = usable.select(*SCOPE, "edge_id", ends)
     at = ["query_id", *SCOPE, "node_id"]
-    frontier = seeds.select(*at).distinct()
+    frontier = sized(seeds.select(*at).distinct())
     visited = frontier.withColumn("hop", F.lit(0))
     for hop in range(1, max_hops + 1):
         reached = (
-            frontier.join(steps, [*SCOPE, "node_id"])
+            steps.join(frontier, [*SCOPE, "node_id"])
             .select("query_id", *SCOPE, F.col("_to").alias("node_id"))
             .distinct()
         )
-        frontier = reached.join(visited, at, "left_anti")
-        if checkpoint:
-            frontier = cut(frontier)
+        frontier = sized(reached.join(visited, at, "left_anti"))
         visited = visited.unionByName(frontier.withColumn("hop", F.lit(hop)))
     facts = nodes.filter("is_valid").select(*SCOPE, "node_id", "node_type", "label", "memory_id")
     crossed = (

@@ -17,7 +17,7 @@ from mnemolake.functions.text import term_counts, tokens
 from mnemolake.operators.blocks import blocked
 from mnemolake.operators.graph import graph_traverse, entity_node_id
 from mnemolake.schemas import SCOPE
-from mnemolake.session import materialize
+from mnemolake.session import materialize, sized
 
 PLACES = 9  # ranks compare scores at this precision, so equal texts tie whatever the order of summation
 
@@ -75,11 +75,12 @@ def bm25_topk(
     """OR-match of the query terms inside the query's scope; a repeated query term counts as often as it occurs."""
     rows = unnest(queries, ["query_id", *SCOPE], term_counts(F.col("query")), "_i", "_t")
     asked = rows.select("query_id", *SCOPE, F.col("_t.term"), F.col("_t.tf").alias("qtf"))
-    terms = asked.select("term").distinct()
+    terms = sized(asked.select("term").distinct())
     df = doc_frequency(postings.join(terms, "term", "left_semi"))
     corpus = stats.select(F.struct("n_docs", "avg_len")).scalar()
     rare = F.log1p((corpus["n_docs"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = asked.join(df, "term").withColumn("idf", rare).drop("df")
+    # With a small query side the postings are scored where they lie; only (query, cell) sums are shuffled.
+    weighted = sized(asked.join(df, "term").withColumn("idf", rare).drop("df"))
     saturation = F.col("tf") + k1 * (1 - b + b * F.col("dl") / corpus["avg_len"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") / saturation
     hits = (
@@ -185,6 +186,7 @@ def entity_topk(asked: DataFrame, postings: DataFrame, cells: DataFrame, k: int)
 
     score = max(1, entities that occur in the cell's text) / max(1, entities of the query); case-sensitive.
     """
+    asked = sized(asked)
     per_query = asked.groupBy("query_id", *SCOPE).agg(F.collect_set("entity").alias("_all"))
     found = (
         asked.join(postings.select(*SCOPE, "entity", "mem_cell_id"), [*SCOPE, "entity"])
