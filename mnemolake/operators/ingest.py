@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,7 +188,7 @@ def _fold_large(raws: DataFrame, gap_min, max_turns, max_tokens, rows_per_chunk)
     def maps(key, pdf):
         rows, first = split(pdf)
         if first == len(rows):
-            return pd.DataFrame({"request_id": [], "_chunk": [], "start_in": [], "start_out": [], "cuts": []})
+            return pd.DataFrame(columns=["request_id", "_chunk", "start_in", "start_out", "cuts"])
         out, known = [], None
         for begin in range(first) if first else [0]:
             walk = _walk(rows, first, begin, gap_min, max_turns, max_tokens, known)
@@ -210,12 +211,13 @@ def _fold_large(raws: DataFrame, gap_min, max_turns, max_tokens, rows_per_chunk)
     def replay(key, pdf):
         rows, first = split(pdf)
         if first == len(rows):
-            return pd.DataFrame({"request_id": [], "pos": [], "segment": []})
+            return pd.DataFrame(columns=["request_id", "pos", "segment"])
         begin = int(rows.index[rows["pos"] == rows["start_in"]][0])
         walk = pd.Series(_walk(rows, first, begin, gap_min, max_turns, max_tokens))
         fresh = walk != walk.shift(fill_value=-1 if first == 0 else begin)
         number = fresh.cumsum().to_numpy() + int(rows["done"].iloc[0]) - 1
-        return pd.DataFrame({"request_id": key[0], "pos": rows["pos"].to_numpy()[first:], "segment": number})
+        names = np.full(len(walk), key[0], dtype=object)
+        return pd.DataFrame({"request_id": names, "pos": rows["pos"].to_numpy()[first:], "segment": number})
 
     group = ["request_id", "_chunk"]
     ends = framed.groupBy(*group).applyInPandas(

@@ -25,25 +25,25 @@ SAMPLES_PER_CHUNK = 64
 
 def _splitters(df: DataFrame, hot: DataFrame, keys: Sequence[str], spec: Column, min_rows: int, limit: int) -> DataFrame:
     """Per hot key at most MAX_CHUNKS - 1 evenly spaced order values out of a hash sample of its rows."""
-    chunks = F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("_n") / limit)).cast("int")
+    chunks = F.least(F.lit(MAX_CHUNKS), F.ceil(F.col("_o_n") / limit)).cast("int")
     wanted = chunks * max(SAMPLES_PER_CHUNK, min_rows)
     sized = hot.select(
-        *keys, chunks.alias("_chunks"), F.greatest(F.lit(1), F.floor(F.col("_n") / wanted)).cast("bigint").alias("_step")
+        *keys, chunks.alias("_o_chunks"), F.greatest(F.lit(1), F.floor(F.col("_o_n") / wanted)).cast("bigint").alias("_o_step")
     )
     sample = (
-        df.select(*keys, spec.alias("_at"))
+        df.select(*keys, spec.alias("_o_at"))
         .join(sized, list(keys))
-        .filter(F.pmod(F.xxhash64("_at"), F.col("_step")) == 0)
+        .filter(F.pmod(F.xxhash64("_o_at"), F.col("_o_step")) == 0)
     )
     picked = sample.groupBy(*keys).agg(
-        F.sort_array(F.collect_list("_at")).alias("_sorted"), F.first("_chunks").alias("_chunks")
+        F.sort_array(F.collect_list("_o_at")).alias("_o_sorted"), F.first("_o_chunks").alias("_o_chunks")
     )
     return picked.select(
         *keys,
         F.transform(
-            F.sequence(F.lit(1), F.col("_chunks") - 1),
-            lambda i: F.get("_sorted", F.floor(i * F.size("_sorted") / F.col("_chunks")).cast("int")),
-        ).alias("_cuts"),
+            F.sequence(F.lit(1), F.col("_o_chunks") - 1),
+            lambda i: F.get("_o_sorted", F.floor(i * F.size("_o_sorted") / F.col("_o_chunks")).cast("int")),
+        ).alias("_o_cuts"),
     )
 
 
@@ -60,32 +60,32 @@ def split_hot_keys(
     level, at = 0, [*keys, "_chunk"]
     out = df.withColumn("_chunk", F.lit(0).cast("bigint"))
     while level < MAX_LEVELS:
-        counts = out.groupBy(*(at if level else keys)).agg(F.count(F.lit(1)).alias("_n"))
-        hot = counts.filter(F.col("_n") > rows_per_chunk)
+        counts = out.groupBy(*(at if level else keys)).agg(F.count(F.lit(1)).alias("_o_n"))
+        hot = counts.filter(F.col("_o_n") > rows_per_chunk)
         if hot.isEmpty():
             break
         hot = hot if level else hot.withColumn("_chunk", F.lit(0).cast("bigint"))
         cuts = _splitters(out, hot, at, spec, min_rows, rows_per_chunk)
-        inner = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_at"))), F.lit(0))
+        inner = F.coalesce(F.size(F.filter("_o_cuts", lambda c: c <= F.col("_o_at"))), F.lit(0))
         out = (
             out.join(cuts, at, "left")
-            .withColumn("_at", spec)
+            .withColumn("_o_at", spec)
             .withColumn("_chunk", F.col("_chunk") * MAX_CHUNKS + F.greatest(inner, F.lit(0)))
-            .drop("_cuts", "_at")
+            .drop("_o_cuts", "_o_at")
         )
         level += 1
     if not level:
         return out, False
     dense = F.row_number().over(Window.partitionBy(*keys).orderBy("_chunk")).cast("bigint") - 1
-    numbers = out.select(*at).distinct().withColumn("_dense", dense)
-    return out.join(numbers, at).withColumn("_chunk", F.col("_dense")).drop("_dense"), True
+    numbers = out.select(*at).distinct().withColumn("_o_dense", dense)
+    return out.join(numbers, at).withColumn("_chunk", F.col("_o_dense")).drop("_o_dense"), True
 
 
 def _with_carry(df: DataFrame, keys: Sequence[str], carry: Column, name: str, over: Callable) -> DataFrame:
     """Join back one value per (key, chunk) derived from the chunks before it."""
-    per_chunk = df.groupBy(*keys, "_chunk").agg(carry.alias("_v"))
+    per_chunk = df.groupBy(*keys, "_chunk").agg(carry.alias("_o_v"))
     before = Window.partitionBy(*keys).orderBy("_chunk")
-    per_chunk = per_chunk.select(*keys, "_chunk", over(F.col("_v"), before).alias(name))
+    per_chunk = per_chunk.select(*keys, "_chunk", over(F.col("_o_v"), before).alias(name))
     return df.join(per_chunk, [*keys, "_chunk"])
 
 
@@ -105,8 +105,8 @@ def rank_in_key(
     if not hot:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint"))
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    ranked = _with_carry(cut_up, keys, F.count(F.lit(1)), "_before", _earlier_sum)
-    return ranked.withColumn(out, F.row_number().over(local) + F.col("_before")).drop("_chunk", "_before")
+    ranked = _with_carry(cut_up, keys, F.count(F.lit(1)), "_o_before", _earlier_sum)
+    return ranked.withColumn(out, F.row_number().over(local) + F.col("_o_before")).drop("_chunk", "_o_before")
 
 
 def previous_in_key(
@@ -123,9 +123,9 @@ def previous_in_key(
 def _chunked_lag(cut_up: DataFrame, keys, order, value: Column, out: str) -> DataFrame:
     spec = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order)
-    carried = _with_carry(cut_up, keys, F.max_by(value, spec), "_carry", _last_known)
+    carried = _with_carry(cut_up, keys, F.max_by(value, spec), "_o_carry", _last_known)
     first = F.row_number().over(local) == 1
-    return carried.withColumn(out, F.when(first, F.col("_carry")).otherwise(F.lag(value).over(local))).drop("_carry")
+    return carried.withColumn(out, F.when(first, F.col("_o_carry")).otherwise(F.lag(value).over(local))).drop("_o_carry")
 
 
 def runs_in_key(
@@ -139,16 +139,16 @@ def runs_in_key(
         flag = F.coalesce(starts(F.lag(value).over(w), value), F.lit(False)).cast("int")
         running = w.rowsBetween(Window.unboundedPreceding, 0)
         return (
-            df.withColumn("_flag", flag)
-            .withColumn(out, F.sum("_flag").over(running).cast("bigint"))
-            .drop("_flag")
+            df.withColumn("_o_flag", flag)
+            .withColumn(out, F.sum("_o_flag").over(running).cast("bigint"))
+            .drop("_o_flag")
         )
-    lagged = _chunked_lag(cut_up, keys, order, value, "_prev")
-    flagged = lagged.withColumn("_flag", F.coalesce(starts(F.col("_prev"), value), F.lit(False)).cast("bigint"))
+    lagged = _chunked_lag(cut_up, keys, order, value, "_o_prev")
+    flagged = lagged.withColumn("_o_flag", F.coalesce(starts(F.col("_o_prev"), value), F.lit(False)).cast("bigint"))
     local = Window.partitionBy(*keys, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    carried = _with_carry(flagged, keys, F.sum("_flag"), "_before", _earlier_sum)
-    return carried.withColumn(out, F.sum("_flag").over(local) + F.col("_before")).drop(
-        "_chunk", "_flag", "_prev", "_before"
+    carried = _with_carry(flagged, keys, F.sum("_o_flag"), "_o_before", _earlier_sum)
+    return carried.withColumn(out, F.sum("_o_flag").over(local) + F.col("_o_before")).drop(
+        "_chunk", "_o_flag", "_o_prev", "_o_before"
     )
 
 
