@@ -258,6 +258,33 @@ def _(t):
 # --- scenes -------------------------------------------------------------------------------------------------------
 
 
+def scene_sql(key: str, run: str) -> str:
+    """Scenes by a recursive walk over the cells of a key and run (sim 0.2, gap 30 days, at most 50 members)."""
+    return f"""
+b AS (SELECT *, {key} AS k, -age_days AS at_day,
+  -age_days - lag(-age_days) OVER (PARTITION BY {key} ORDER BY -age_days, mem_cell_id) > 30 AS far FROM cells),
+c AS (SELECT *, CAST(embedding AS DOUBLE[]) AS v, sum(CASE WHEN far THEN 1 ELSE 0 END)
+  OVER (PARTITION BY k ORDER BY at_day, mem_cell_id) AS run FROM b),
+o AS (SELECT *, concat(k, '#', {run}) AS g, row_number() OVER (PARTITION BY concat(k, '#', {run})
+  ORDER BY at_day, mem_cell_id) AS i FROM c),
+walk AS (
+  SELECT g, i, mem_cell_id, tenant_id, user_id, [{{'c': v, 'n': 1, 't': at_day}}] AS scenes, 0 AS ordinal,
+    CAST(0 AS DOUBLE) AS similarity, true AS is_new FROM o WHERE i = 1
+  UNION ALL
+  SELECT g, i, mem_cell_id, tenant_id, user_id,
+    CASE WHEN p IS NULL THEN list_append(scenes, {{'c': v, 'n': 1, 't': at_day}})
+      ELSE list_concat(list_concat(scenes[1:p-1], [{{'c': list_transform(range(1, len(v) + 1),
+        lambda j: (scenes[p].c[j] * scenes[p].n + v[j]) / (scenes[p].n + 1)), 'n': scenes[p].n + 1, 't': at_day}}]),
+        scenes[p+1:]) END,
+    CASE WHEN p IS NULL THEN len(scenes) ELSE p - 1 END, CASE WHEN p IS NULL THEN 0 ELSE sims[p] END, p IS NULL
+  FROM (SELECT *, CASE WHEN list_max(sims) >= 0.2 THEN list_position(sims, list_max(sims)) END AS p
+    FROM (SELECT o.g, o.i, o.mem_cell_id, o.tenant_id, o.user_id, o.v, o.at_day, w.scenes,
+      list_transform(w.scenes, lambda s: CASE WHEN o.v IS NULL OR s.c IS NULL OR s.n >= 50 OR abs(o.at_day - s.t) > 30
+        THEN -1::DOUBLE ELSE list_cosine_similarity(s.c, o.v) END) AS sims
+      FROM walk w JOIN o ON o.g = w.g AND o.i = w.i + 1)))
+SELECT tenant_id, user_id, mem_cell_id, concat(g, ordinal) AS scene_id, round(similarity, 6) AS similarity, is_new FROM walk"""
+
+
 def timed_cells(t: Tables) -> DataFrame:
     return t["cells"].withColumn("at", -F.col("age_days"))
 
@@ -266,7 +293,7 @@ def assigned(t: Tables) -> DataFrame:
     return scenes.cluster_scenes(timed_cells(t), sim=0.2, gap_days=30)
 
 
-@query("cluster_scenes")
+@query("cluster_scenes", "cells", scene_sql("concat(tenant_id, '|', user_id, '|', session_id)", "run || '.'"))
 def _(t):
     return assigned(t).select(*SCOPE, "mem_cell_id", "scene_id", r6(F.col("similarity"), "similarity"), "is_new")
 
@@ -348,7 +375,36 @@ def _(t):
     return facts.decide_facts(new_facts(t), old_facts(t)).select(*SCOPE, "semantic_id", "decision", "target_id")
 
 
-@query("consolidate_facts")
+CONSOLIDATE_SQL = """
+s AS (SELECT *, list_sort(list_filter(list_distinct(string_split(content, '')),
+  lambda ch: ch NOT IN ('', ' ', chr(10), chr(9), chr(13)))) AS a FROM facts),
+n AS (SELECT tenant_id, user_id, a, min_by(semantic_id, seq) AS id, min(seq) AS seq,
+  row_number() OVER (PARTITION BY tenant_id, user_id ORDER BY min(seq)) AS i FROM s WHERE is_new GROUP BY 1, 2, 3),
+e AS (SELECT tenant_id, user_id, a, min(semantic_id) AS id FROM s WHERE NOT is_new GROUP BY 1, 2, 3),
+pool AS (SELECT tenant_id, user_id, a, id, 0 AS i FROM e UNION ALL SELECT tenant_id, user_id, a, id, i FROM n),
+pr AS (SELECT x.tenant_id, x.user_id, x.id, x.i, y.id AS other, y.i AS j, len(list_intersect(x.a, y.a)) AS b,
+  len(x.a) + len(y.a) AS total FROM n x JOIN pool y USING (tenant_id, user_id) WHERE y.i < x.i),
+sm AS (SELECT *, round(CASE WHEN total = b THEN 0 ELSE b / (total - b) END, 9) AS sim FROM pr),
+near AS (SELECT n.tenant_id, n.user_id, n.id, n.i, coalesce(bool_or(j = 0 AND sim >= 0.97), false) AS stopped,
+  coalesce(list(j) FILTER (j > 0 AND sim >= 0.97), []) AS js
+  FROM n LEFT JOIN sm USING (tenant_id, user_id, id) GROUP BY 1, 2, 3, 4),
+walk AS (SELECT tenant_id, user_id, id, i, CASE WHEN stopped THEN CAST([] AS BIGINT[]) ELSE [i] END AS kept, NOT stopped AS ok
+    FROM near WHERE i = 1
+  UNION ALL SELECT x.tenant_id, x.user_id, x.id, x.i, CASE WHEN x.stopped OR list_has_any(x.js, w.kept) THEN w.kept
+    ELSE list_append(w.kept, x.i) END, NOT (x.stopped OR list_has_any(x.js, w.kept))
+  FROM walk w JOIN near x ON x.tenant_id = w.tenant_id AND x.user_id = w.user_id AND x.i = w.i + 1),
+kept AS (SELECT tenant_id, user_id, id, i FROM walk WHERE ok),
+best AS (SELECT sm.* FROM sm JOIN kept k USING (tenant_id, user_id, id)
+  WHERE j = 0 OR (sm.tenant_id, sm.user_id, sm.other) IN (SELECT (tenant_id, user_id, id) FROM kept)
+  QUALIFY row_number() OVER (PARTITION BY sm.tenant_id, sm.user_id, sm.id ORDER BY sim DESC, other) = 1),
+final AS (SELECT k.tenant_id, k.user_id, k.id AS semantic_id, coalesce(sim, 0) AS sim, CASE WHEN sim >= 0.93 THEN 'SUPERSEDE'
+  WHEN sim >= 0.85 THEN 'UPDATE' ELSE 'ADD' END AS decision, other FROM kept k LEFT JOIN best USING (tenant_id, user_id, id))
+"""
+
+
+@query("consolidate_facts", "facts", CONSOLIDATE_SQL + """
+SELECT tenant_id, user_id, semantic_id, decision, CASE WHEN decision <> 'ADD' THEN other END AS target_id,
+  round(sim, 6) AS sim FROM final""")
 def _(t):
     out = facts.consolidate_facts(new_facts(t), old_facts(t))
     return out.select(*SCOPE, "semantic_id", "decision", "target_id", r6(F.col("sim"), "sim"))
@@ -620,7 +676,16 @@ def _(t):
     return out.select("table", *SCOPE, "n")
 
 
-@query("job_consolidate")
+@query("job_consolidate", "facts cells stated", CONSOLIDATE_SQL + "," + SCORE + """,
+decayed AS (SELECT * REPLACE (CASE WHEN state = 'COLD' AND exp(-ln(2) * age_days / 30) < 0.15 THEN 'ARCHIVED' ELSE state END
+  AS state), state = 'COLD' AND exp(-ln(2) * age_days / 30) < 0.15 AS gone FROM stated),
+""" + capacity_sql("decayed", "10") + """,
+a AS (SELECT tenant_id, user_id, count(*) AS archived FROM (SELECT tenant_id, user_id FROM decayed WHERE gone
+  UNION ALL SELECT tenant_id, user_id FROM worst WHERE position <= quota) GROUP BY 1, 2),
+d AS (SELECT tenant_id, user_id, count(*) AS scanned FROM final GROUP BY 1, 2)
+SELECT coalesce(d.tenant_id, a.tenant_id) AS tenant_id, coalesce(d.user_id, a.user_id) AS user_id, coalesce(scanned, 0) AS scanned,
+  coalesce(scanned, 0) AS consolidated, coalesce(archived, 0) AS archived, 0 AS errors, 'deep' AS phase
+FROM d FULL JOIN a ON d.tenant_id = a.tenant_id AND d.user_id = a.user_id""")
 def _(t):
     stored = old_facts(t).withColumns({"is_valid": F.lit(True), "evidence_count": F.lit(1)})
     return jobs.job_consolidate("deep", new_facts(t), stored, t["stated"], max_per_user=10).report

@@ -471,7 +471,31 @@ def _(t):
     return ranking.cross_rerank(fused, scores).select("query_id", "memory_id", score6(), "rank")
 
 
-@query("mmr_rerank")
+def mmr_sql(source: str, lam: float, k: int) -> str:
+    """Greedy diversity over `source` (query_id, memory_id, score) as a recursive walk; candidates sit in rank order."""
+    rest = round(1 - lam, 2)
+    return f"""
+cand AS (SELECT f.*, c.embedding AS v, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) AS i
+  FROM {source} f JOIN cells c ON c.mem_cell_id = f.memory_id),
+sim AS (SELECT x.query_id, x.i, list(CASE WHEN x.v IS NULL OR y.v IS NULL THEN 0 ELSE
+  list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])) END ORDER BY y.i) AS sims
+  FROM cand x JOIN cand y USING (query_id) GROUP BY 1, 2),
+item AS (SELECT query_id, i, memory_id, score, sims FROM cand JOIN sim USING (query_id, i)),
+pick AS (SELECT query_id, CAST(0 AS BIGINT) AS rank, i, [i] AS chosen, {lam}::DOUBLE * score AS mmr_score FROM item WHERE i = 1
+  UNION ALL
+  SELECT query_id, rank + 1, g.i, list_append(chosen, g.i), g.shown
+  FROM (SELECT query_id, rank, chosen, min_by({{'i': i, 'shown': shown}}, {{'gain': -gain, 'i': i}}) AS g FROM (
+    SELECT p.query_id, p.rank, p.chosen, t.i,
+      {lam}::DOUBLE * score - {rest}::DOUBLE * list_max(list_transform(p.chosen, lambda j: t.sims[j])) AS shown,
+      round({lam}::DOUBLE * score - {rest}::DOUBLE * greatest(0, list_max(list_transform(p.chosen, lambda j: t.sims[j]))), 12) AS gain
+    FROM pick p JOIN item t ON t.query_id = p.query_id WHERE NOT list_contains(p.chosen, t.i) AND p.rank + 1 < {k})
+    GROUP BY query_id, rank, chosen)),
+mmr AS (SELECT p.query_id, memory_id, score, rank, mmr_score FROM pick p JOIN item t ON t.query_id = p.query_id AND t.i = p.i)
+"""
+
+
+@query("mmr_rerank", "cells queries", FUSED + "," + mmr_sql("fused", 0.7, 10) + """
+SELECT query_id, memory_id, round(score, 6) AS score, rank, round(mmr_score, 6) AS mmr_score FROM mmr""")
 def _(t):
     out = ranking.mmr_rerank(ranking.rrf_fuse(channel_hits(t)), t["cells"], 10)
     return out.select("query_id", "memory_id", score6(), "rank", F.round("mmr_score", 6).alias("mmr_score"))
@@ -524,7 +548,24 @@ def _(t):
     return out.select("query_id", *SCOPE, "memory_id", F.round("score", 8).alias("score"), "rank")
 
 
-@query("job_retrieve")
+@query("job_retrieve", "cells queries", hits_sql(80) + "," + CELL_ENTS + "," + QUERY_ENTS + "," + SIGNALS + """,
+n AS (SELECT query_id, count(*) AS n FROM qe GROUP BY 1),
+m AS (SELECT query_id, q.tenant_id, q.user_id, mem_cell_id AS memory_id, min(q.pos) AS pos FROM qe q JOIN ce c
+  ON q.tenant_id = c.tenant_id AND q.user_id = c.user_id AND q.entity = c.entity GROUP BY ALL),
+es AS (SELECT m.query_id, m.memory_id, greatest(1, count(*) FILTER (contains(c.text, q.entity))) / greatest(1, any_value(n)) AS score
+  FROM m JOIN cells c ON c.mem_cell_id = m.memory_id JOIN qe q ON q.query_id = m.query_id JOIN n ON n.query_id = m.query_id
+  GROUP BY 1, 2),
+every AS (SELECT query_id, channel, memory_id, rank FROM hits
+  UNION ALL SELECT query_id, 'entity', memory_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 FROM es
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) <= 20
+  UNION ALL SELECT query_id, 'graph', memory_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, memory_id) - 1 FROM m
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos, memory_id) <= 20),
+fz AS (SELECT query_id, memory_id, sum(CASE channel WHEN 'bm25' THEN 0.4::DOUBLE WHEN 'vector' THEN 0.6::DOUBLE ELSE 0.15::DOUBLE END
+  / (90 + rank + 1)) AS score FROM every GROUP BY 1, 2),
+boosted AS (SELECT query_id, f.memory_id, score * decay * (1 + importance) AS score FROM fz f JOIN signal USING (memory_id)),
+""" + mmr_sql("boosted", 0.55, 5) + """
+SELECT query_id, q.tenant_id, q.user_id, memory_id, round(score, 6) AS score, rank, round(mmr_score, 6) AS mmr_score
+FROM mmr JOIN queries q USING (query_id)""")
 def _(t):
     out = jobs.job_retrieve(
         t["queries"], t["cells"], 5, ("bm25", "vector", "entity", "graph"), entities=cell_ents(t),

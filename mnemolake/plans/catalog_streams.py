@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.operators import limits, params
-from mnemolake.plans.catalog_memory import FOLD_SQL, r6
+from mnemolake.plans.catalog_memory import FOLD_SQL, r6, scene_sql
 from mnemolake.plans.catalog_store import SEGMENTS
 from mnemolake.plans.registry import query
 from mnemolake.schemas import SCOPE
@@ -16,6 +16,16 @@ from mnemolake.streaming import operators as streams
 from mnemolake.streaming.runs import to_table
 
 
+LIMIT_SQL = """
+o AS (SELECT event_type AS key, event_id, epoch_us(ts) AS t,
+  row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+walk AS (SELECT key, event_id, i, [t] AS taken, true AS accepted FROM o WHERE i = 1
+  UNION ALL SELECT key, event_id, i, CASE WHEN len(old) < 20 THEN list_append(old, t) ELSE old END, len(old) < 20
+  FROM (SELECT o.*, list_filter(w.taken, lambda x: x > o.t - 3600000000) AS old
+    FROM walk w JOIN o ON o.key = w.key AND o.i = w.i + 1))
+SELECT key, event_id, accepted FROM walk"""
+
+
 class StreamTables(Tables):
     """The same views, with some base tables read as file streams."""
 
@@ -48,7 +58,7 @@ def _(t):
     return to_table(out).select("raw_id", "request_id", "segment")
 
 
-@query("stream_cluster")
+@query("stream_cluster", "cells", scene_sql("concat(tenant_id, '|', user_id, '|', session_id)", "''"))
 def _(t):
     cells = live(t, "documents")["cells"].withColumn("at", -F.col("age_days"))
     out = to_table(streams.stream_cluster(cells, sim=0.2, gap_days=30))
@@ -88,14 +98,14 @@ def _(t):
     return out
 
 
-@query("stream_limit")
+@query("stream_limit", "", LIMIT_SQL)
 def _(t):
     return to_table(streams.stream_limit(live(t, "events")["events"], "event_type", "ts", 20, 3600)).select(
         "key", "event_id", "accepted"
     )
 
 
-@query("moving_window_limit")
+@query("moving_window_limit", "", LIMIT_SQL)
 def _(t):
     return limits.moving_window_limit(t["events"], "event_type", "ts", 20, 3600)
 
