@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from mnemolake.functions.core import first_per_key, let, same_as_previous, strip
+from mnemolake.functions.core import first_per_key, let, strip
 
 # Patterns and word list of the entity heuristics, the analyzer and the fallback tokenizer.
 QUOTED = r'["「『“‘]([^"」』”’]{2,40})["」』”’]'
@@ -162,5 +162,4 @@ def set_jaccard(a: Column, b: Column) -> Column:
 __all__ = [
     "approx_tokens", "numbered_text", "needs_refine", "tokens", "term_counts", "fallback_tokens", "entity_structs",
     "extract_entities", "entity_kind", "entity_confidence", "char_set", "char_jaccard", "set_jaccard",
-    "same_as_previous",
 ]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.functions.answers import (
-    is_object, list_field, number_field, parse_items, read_json, strip_fence, text_field,
+    is_object, list_field, number_field, parse_items, read_json, text_field,
 )
 from mnemolake.functions.core import let, strip, unnest
 from mnemolake.schemas import KNOWLEDGE_TYPES, SCOPE
@@ -98,4 +98,4 @@ def render_prompts(rows: DataFrame, templates: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["episodes", "semantics", "boundary_answers", "render_prompts", "strip_fence"]
+__all__ = ["episodes", "semantics", "boundary_answers", "render_prompts"]

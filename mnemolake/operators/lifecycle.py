@@ -16,11 +16,10 @@ ACCESS_FEEDBACK = ("positive", "explicit_confirm")
 
 def hit_update(cells: DataFrame, hits: DataFrame, delta: float = 0.1, s_max: float = 5.0) -> DataFrame:
     """Retrieval hits: each batch counts a cell once. State is left as it is."""
-    batches = hits.select("mem_cell_id", "batch_day").distinct().groupBy("mem_cell_id").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    key = [*(c for c in SCOPE if c in hits.columns), "mem_cell_id"]
+    batches = hits.select(*key, "batch_day").distinct().groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
     return (
-        cells.join(batches, "mem_cell_id", "left")
+        cells.join(batches, key, "left")
         .withColumn(
             "strength",
             F.when(

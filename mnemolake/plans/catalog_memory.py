@@ -9,8 +9,10 @@ from mnemolake.functions import scoring, text as text_fn
 from mnemolake.functions.answers import parse_items, strip_fence
 from mnemolake.functions.core import hash_bucket
 from mnemolake.functions.vectors import composite_sim, cosine
+from mnemolake.operators.graph import entity_source, graph_edges, graph_nodes, cell_entities
 from mnemolake.operators import extraction, facts, lifecycle, params, reports, scenes
 from mnemolake.plans import jobs
+from mnemolake.plans.catalog_retrieval import CELL_ENTS
 from mnemolake.plans.registry import query
 from mnemolake.schemas import SCOPE
 from mnemolake.sources.views import Tables
@@ -255,6 +257,28 @@ def _(t):
     return lifecycle.keep_recent(t["cells"], SCOPE, newest, 8).select(*SCOPE, "mem_cell_id")
 
 
+@query("keep_recent_graph", "cells", """
+n AS (SELECT tenant_id, user_id, mem_cell_id FROM cells
+  QUALIFY row_number() OVER (PARTITION BY tenant_id, user_id ORDER BY age_days, mem_cell_id) <= 6)
+SELECT tenant_id, user_id, mem_cell_id, concat('entity:', tenant_id, ':', user_id, ':', session_id) AS target
+FROM cells JOIN n USING (tenant_id, user_id, mem_cell_id)
+QUALIFY row_number() OVER (PARTITION BY tenant_id, user_id ORDER BY concat(mem_cell_id, '|')) <= 4""")
+def _(t):
+    """Sessions as the entities of cells; all entity nodes stay, the newest six memories per user too."""
+    ents = cell_entities(t["cells"], F.array("session_id"))
+    age = t["cells"].select(F.col("mem_cell_id").alias("label"), "age_days")
+    nodes = graph_nodes(ents, t["cells"]).join(age, "label", "left").withColumn("seq", F.coalesce("age_days", F.lit(-1.0)))
+    memories = nodes.filter("node_type = 'memory'")
+    named = F.concat_ws(":", F.lit("memory"), "label")
+    kept = lifecycle.keep_recent(memories, SCOPE, [F.col("seq"), F.col("label")], 6)
+    every = kept.unionByName(nodes.filter("node_type = 'entity'"))
+    _, edges = lifecycle.keep_recent_graph(
+        every.withColumn("node_id", F.when(F.col("node_type") == "memory", named).otherwise(F.col("node_id"))),
+        graph_edges(ents), F.lit(0), F.lit(0), 100_000, 4,
+    )
+    return edges.select(*SCOPE, F.array_join("source_memory_ids", "").alias("mem_cell_id"), F.col("target_node_id").alias("target"))
+
+
 # --- scenes -------------------------------------------------------------------------------------------------------
 
 
@@ -507,8 +531,6 @@ def _(t):
 named AS (SELECT tenant_id, user_id, mem_cell_id, unnest(['alpha', 'beta', 'gamma']) AS entity FROM cells WHERE doc_id % 4 = 0)
 SELECT * FROM named""")
 def _(t):
-    from mnemolake.operators.graph import entity_source
-
     found = extraction.episodes(t["cells"], t["responses"])
     answered = t["cells"].join(t["responses"].filter(F.contains("response", F.lit("alpha"))), "mem_cell_id", "left_semi")
     return entity_source(answered, found)
@@ -663,7 +685,20 @@ def _(t):
     return out.select(*SCOPE, "mem_cell_id", r6(F.col("strength"), "strength"), "access_count", "state", "changed")
 
 
-@query("job_cold_path")
+@query("job_cold_path", "cells", CELL_ENTS + "," + EPISODES_SQL + """,
+named AS (SELECT tenant_id, user_id, mem_cell_id, unnest(['alpha', 'beta', 'gamma']) AS entity FROM cells WHERE doc_id % 4 = 0
+  UNION ALL SELECT tenant_id, user_id, mem_cell_id, entity FROM ce WHERE mem_cell_id IN
+  (SELECT mem_cell_id FROM cells WHERE doc_id % 4 <> 0)),
+epi AS (SELECT tenant_id, user_id FROM ep JOIN cells USING (mem_cell_id))
+SELECT 'episodes' AS "table", tenant_id, user_id, count(*) AS n FROM epi GROUP BY ALL
+UNION ALL SELECT 'facts', tenant_id, user_id, 2 * count(*) FROM epi GROUP BY ALL
+UNION ALL SELECT 'scenes', tenant_id, user_id, count(*) FROM cells GROUP BY ALL
+UNION ALL SELECT 'postings', tenant_id, user_id, count(*) FROM named GROUP BY ALL
+UNION ALL SELECT 'edges', tenant_id, user_id, count(*) FROM named GROUP BY ALL
+UNION ALL SELECT 'index', tenant_id, user_id, count(DISTINCT entity) FROM named GROUP BY ALL
+UNION ALL SELECT 'nodes', tenant_id, user_id, count(DISTINCT entity) + count(DISTINCT mem_cell_id) FROM
+  (SELECT tenant_id, user_id, mem_cell_id, entity FROM named UNION ALL SELECT tenant_id, user_id, mem_cell_id, NULL FROM cells)
+  GROUP BY ALL""")
 def _(t):
     """Row counts of every table the cold path writes, per user."""
     cells = timed_cells(t)

@@ -163,10 +163,9 @@ def _(t):
     return vector_hits(t, metric="L2").select("query_id", *SCOPE, "memory_id", score6())
 
 
-@query("vector_ann")
-def _(t):
+def ann_recall(t: Tables, nprobe: int) -> DataFrame:
     """Recall of the approximate against the exact top 10, per query."""
-    near = recall.vector_ann(t["queries"], t["cells"], 10, n_cells=16, nprobe=8)
+    near = recall.vector_ann(t["queries"], t["cells"], 10, n_cells=16, nprobe=nprobe)
     exact = vector_hits(t, 10).select("query_id", "memory_id")
     found = near.select("query_id", "memory_id", F.lit(1).alias("hit"))
     joined = exact.join(found, ["query_id", "memory_id"], "left")
@@ -176,6 +175,17 @@ def _(t):
     )
 
 
+@query("vector_ann")
+def _(t):
+    return ann_recall(t, 8)
+
+
+@query("vector_ann_all_lists", "cells queries", VECTOR + """
+SELECT query_id, count(*) AS wanted, count(*) AS found, CAST(1 AS DOUBLE) AS recall FROM vrank WHERE rank < 10 GROUP BY 1""")
+def _(t):
+    return ann_recall(t, 16)
+
+
 @query("entity_topk", "cells queries", CELL_ENTS + "," + QUERY_ENTS + """,
 n AS (SELECT query_id, count(*) AS n FROM qe GROUP BY 1),
 found AS (SELECT DISTINCT query_id, tenant_id, user_id, mem_cell_id FROM qe JOIN ce USING (tenant_id, user_id, entity)),

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mnemolake.functions.scoring import FactThresholds, compute_state, fsfm_score, pick_phase, retention
+from mnemolake.functions.scoring import FactThresholds, compute_state, fsfm_score, retention
 from mnemolake.functions.text import extract_entities
 from mnemolake.operators import extraction, facts, graph, ingest, lifecycle, ranking, recall, reports, scenes, store
 from mnemolake.schemas import SCOPE
@@ -188,6 +188,6 @@ def job_consolidate(
 
 
 __all__ = [
-    "first_claim", "job_ingest", "job_cold_path", "job_retrieve", "job_feedback", "job_consolidate", "pick_phase",
+    "first_claim", "job_ingest", "job_cold_path", "job_retrieve", "job_feedback", "job_consolidate",
     "retrieval_signals", "recall_channels",
 ]

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_LOCAL_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -32,17 +35,30 @@ def build_session(app: str = "mnemolake", master: str | None = None, **conf: str
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir; a temporary one only in local mode."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_SCRATCH.get(context.applicationId)
     if named is None:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", named)
+        named = _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, wherever the driver was started."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    # Executors get the archive; workers next to the driver (stream drivers, local mode) the source folder.
+    known = context.environment.get("PYTHONPATH", "").split(os.pathsep)
+    context.environment["PYTHONPATH"] = os.pathsep.join([os.path.dirname(root), *filter(None, known)])
+    target = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), "mnemolake")
+    context.addPyFile(shutil.make_archive(target, "zip", os.path.dirname(root), os.path.basename(root)))
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
 

@@ -61,7 +61,9 @@ SELECT event_id, concat('d', CAST(user_id AS STRING)) AS mem_cell_id,
 FROM events WHERE event_type <> 'view'""",
     # View events as retrieval hits, one batch per day.
     "hits": """
-SELECT event_id, concat('d', CAST(user_id AS STRING)) AS mem_cell_id, CAST(ts AS DATE) AS batch_day
+SELECT event_id, concat('d', CAST(user_id AS STRING)) AS mem_cell_id,
+  concat('t', CAST(user_id % 3 AS STRING)) AS tenant_id, concat('u', CAST(user_id % 20 AS STRING)) AS user_id,
+  CAST(ts AS DATE) AS batch_day
 FROM events WHERE event_type = 'view'""",
     # Texts as semantic facts, one user per language; odd ids are new, even ids exist.
     "facts": """

@@ -159,7 +159,8 @@ def feedback_events(feedback: DataFrame, cells: DataFrame) -> DataFrame:
 def hit_events(hits: DataFrame, cells: DataFrame) -> DataFrame:
     base = cells.select(*SCOPE, "mem_cell_id", "strength", "access_count")
     day = F.col("batch_day").cast("string")
-    return hits.join(base, "mem_cell_id").select(
+    key = [*(c for c in SCOPE if c in hits.columns), "mem_cell_id"]
+    return hits.join(base, key).select(
         *SCOPE, "mem_cell_id", "event_id", F.unix_micros(F.col("batch_day").cast("timestamp")).alias("at"),
         F.lit("hit").alias("kind"), F.lit(0.0).alias("signal"), F.lit(0).alias("used"), day.alias("batch_day"),
         F.coalesce("strength", F.lit(0.0)).alias("strength"), "access_count",
