@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.functions.core import hash_bucket
+from mnemolake.operators.ordered import rank_in_key
 
 ENTRY = ["category", "scope", "scope_id", "name"]
 LAYERS = ("global", "tenant", "user", "request")
@@ -74,6 +75,19 @@ def variant_assign(users: DataFrame, rules: DataFrame, now: Column) -> DataFrame
     )
 
 
+def param_write(entries: DataFrame, writes: DataFrame, **chunking) -> DataFrame:
+    """Writes as the next versions of their entries, in order of `updated_at` and `seq`; new entries start at 1."""
+    heads = entries.groupBy(*ENTRY).agg(F.max("version").alias("_head"))
+    order = [F.col("updated_at"), F.col("seq")]
+    ranked = rank_in_key(writes, ENTRY, order, "_place", **chunking)
+    head = heads.select(*[F.col(c).alias(f"_h_{c}") for c in ENTRY], "_head")
+    same = F.lit(True)
+    for c in ENTRY:
+        same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
+    version = (F.coalesce("_head", F.lit(0)) + F.col("_place")).cast("int")
+    return ranked.join(head, same, "left").withColumn("version", version).select(*entries.columns)
+
+
 def param_history(entries: DataFrame) -> DataFrame:
     """All versions with the time each was archived, i.e. when the next version of its entry was written.
 

@@ -11,6 +11,7 @@ from mnemolake.functions.core import hash_bucket
 from mnemolake.functions.vectors import composite_sim, cosine
 from mnemolake.operators.graph import entity_source, graph_edges, graph_nodes, cell_entities
 from mnemolake.operators import extraction, facts, lifecycle, params, reports, scenes
+from mnemolake.operators.ordered import rank_in_key
 from mnemolake.plans import jobs
 from mnemolake.plans.catalog_retrieval import CELL_ENTS
 from mnemolake.plans.registry import query
@@ -30,14 +31,6 @@ def _(t):
     return t["cells"].select("mem_cell_id", text_fn.approx_tokens(F.col("text")).alias("n"))
 
 
-@query("numbered_text", "turns", """
-SELECT conv_id, string_agg(concat('[', turn, '] ', trim(replace(text, chr(10), ' '))), chr(10) ORDER BY turn) AS body
-FROM turns GROUP BY 1""")
-def _(t):
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda r: r["text"])
-    return t["turns"].groupBy("conv_id").agg(text_fn.numbered_text(lines).alias("body"))
-
-
 @query("needs_refine", "turns", "SELECT conv_id, count(*) > 4 AS refine FROM turns GROUP BY 1")
 def _(t):
     return t["turns"].groupBy("conv_id").agg(text_fn.needs_refine(F.count(F.lit(1)), 4).alias("refine"))
@@ -338,16 +331,24 @@ def _(t):
     )
 
 
+SCENE_SIZE = 5
+
+
 def session_scenes(t: Tables) -> DataFrame:
-    """Scenes = the cells of one user and session, as a table of members in id order."""
+    """Scenes of bounded size: the cells of a user's session in id order, SCENE_SIZE at a time."""
+    placed = rank_in_key(t["cells"], [*SCOPE, "session_id"], [F.col("doc_id")], "place")
+    part = F.floor((F.col("place") - 1) / SCENE_SIZE).cast("string")
     members = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "mem_cell_id"))), lambda m: m["mem_cell_id"])
-    return t["cells"].groupBy(*SCOPE, F.col("session_id").alias("scene_id")).agg(members.alias("member_episode_ids"))
+    return placed.groupBy(*SCOPE, F.concat_ws(".", "session_id", part).alias("scene_id")).agg(
+        members.alias("member_episode_ids")
+    )
 
 
 @query("mature_scenes", "cells", """
-SELECT tenant_id, user_id, session_id AS scene_id, count(*) AS n_members,
+p AS (SELECT *, row_number() OVER (PARTITION BY tenant_id, user_id, session_id ORDER BY doc_id) - 1 AS place FROM cells)
+SELECT tenant_id, user_id, concat(session_id, '.', place // 5) AS scene_id, count(*) AS n_members,
   string_agg(text, chr(10) || '---' || chr(10) ORDER BY doc_id) AS memories
-FROM cells WHERE text <> '' GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
+FROM p WHERE text <> '' GROUP BY 1, 2, 3 HAVING count(*) >= 3""")
 def _(t):
     return facts.mature_scenes(session_scenes(t), t["cells"])
 
@@ -614,6 +615,15 @@ def _(t):
     return params.param_rollback(t["params"], requests).select("category", "scope_id", "params", "version", "actor")
 
 
+@query("param_write", "params", """
+w AS (SELECT *, row_number() OVER (PARTITION BY category, scope_id ORDER BY updated_at, version) AS i FROM params),
+h AS (SELECT category, scope_id, max(version) AS head FROM params GROUP BY 1, 2)
+SELECT category, scope_id, params, head + i AS version FROM w JOIN h USING (category, scope_id)""")
+def _(t):
+    writes = t["params"].withColumnRenamed("version", "seq")
+    return params.param_write(t["params"], writes).select("category", "scope_id", "params", "version")
+
+
 @query("change_feed", "params", """
 a AS (SELECT category, scope_id, name, max(version) AS version FROM params WHERE actor <> 'view' GROUP BY ALL),
 b AS (SELECT category, scope_id, name, max(version) AS version, max_by(actor, version) AS actor FROM params GROUP BY ALL)

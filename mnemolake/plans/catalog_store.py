@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.functions.text import numbered_text
 from mnemolake.operators import ingest, store
 from mnemolake.plans import jobs
 from mnemolake.plans.registry import query
@@ -12,8 +13,14 @@ from mnemolake.schemas import SCOPE
 from mnemolake.sources.views import Tables
 
 
+BLOCK = 1000  # turns of one conversation per request
+
+
 def nested_requests(t: Tables) -> DataFrame:
-    """Conversations as nested ingest requests, two sessions each; a conversation is one session's turns."""
+    """Conversations as nested ingest requests, two sessions each; a conversation is one session's turns.
+
+    A conversation of more than BLOCK turns goes into several requests, as no request may grow without bound.
+    """
     at = lambda minutes: F.timestamp_seconds(minutes * 60)
     conv = F.col("conv_id")
     turn = F.struct(
@@ -25,7 +32,8 @@ def nested_requests(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("img_url"), F.lit(None).cast("string").alias("caption"),
         F.lit(None).cast("string").alias("extra"),
     )
-    sessions = t["turns"].groupBy("conv_id", "session_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    part = F.floor(F.col("turn") / BLOCK).cast("bigint")
+    sessions = t["turns"].groupBy("conv_id", "session_id", part.alias("part")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     session = F.struct(
         (conv % 2).alias("at"), F.col("session_id"), F.col("turns"),
         F.when(conv % 3 == 0, at(conv * 360)).alias("session_date"),
@@ -35,14 +43,15 @@ def nested_requests(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("session_observation"), F.lit(None).cast("string").alias("extra"),
     )
     number = F.floor(conv / 2).cast("bigint")
-    grouped = sessions.groupBy(number.alias("r")).agg(F.sort_array(F.collect_list(session)).alias("history_sessions"))
+    grouped = sessions.groupBy(number.alias("r"), "part").agg(F.sort_array(F.collect_list(session)).alias("history_sessions"))
     name = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
     r = F.col("r")
+    suffix = F.when(F.col("part") > 0, name(".", F.col("part"))).otherwise("")
     return grouped.select(
-        name("r", r).alias("request_id"), name("t", r % 3).alias("tenant_id"), name("u", r % 20).alias("user_id"),
+        F.concat(name("r", r), suffix).alias("request_id"), name("t", r % 3).alias("tenant_id"), name("u", r % 20).alias("user_id"),
         F.lit("CONVERSATION").alias("raw_data_type"), at(r * 720 + 2).alias("event_time"),
         name("a", r % 2).alias("agent_id"), F.lit("").alias("agent_role"), F.lit(None).cast("string").alias("adiu"),
-        F.lit(None).cast("string").alias("session_id"), name("k", F.floor(r / 2)).alias("idempotency_key"),
+        F.lit(None).cast("string").alias("session_id"), F.concat(name("k", F.floor(r / 2)), suffix).alias("idempotency_key"),
         F.lit(0).alias("min_read_consistency"),
         F.create_map(F.lit("src"), F.lit("test"), F.lit("agent_id"), F.lit("x")).alias("metadata"),
         "history_sessions",
@@ -50,8 +59,9 @@ def nested_requests(t: Tables) -> DataFrame:
 
 
 NESTED = """
-base AS (SELECT *, CAST(floor(conv_id / 2) AS BIGINT) AS r, conv_id % 2 AS s FROM turns),
-flat AS (SELECT *, concat('r', r) AS rq, concat('t', r % 3) AS ten, concat('u', r % 20) AS usr,
+base AS (SELECT *, CAST(floor(conv_id / 2) AS BIGINT) AS r, conv_id % 2 AS s,
+  CASE WHEN turn >= 1000 THEN concat('.', turn // 1000) ELSE '' END AS suffix FROM turns),
+flat AS (SELECT *, concat('r', r, suffix) AS rq, concat('t', r % 3) AS ten, concat('u', r % 20) AS usr,
   CASE WHEN conv_id % 3 = 0 THEN conv_id * 360 END AS sdate,
   CASE WHEN conv_id % 3 = 1 THEN conv_id * 360 + 1 END AS sstart, r * 720 + 2 AS rtime FROM base)
 """
@@ -62,7 +72,7 @@ def _minutes(column: str):
 
 
 @query("raw_per_turn", "turns", NESTED + """
-SELECT concat(rq, ':', s, ':', turn) AS raw_id, ten AS tenant_id, usr AS user_id, session_id,
+SELECT concat(rq, ':', s, ':', turn % 1000) AS raw_id, ten AS tenant_id, usr AS user_id, session_id,
   concat(role, ': ', text) AS content,
   coalesce(CASE WHEN turn % 2 = 0 THEN event_min END, sdate, sstart, rtime) AS event_minute FROM flat""")
 def _(t):
@@ -85,9 +95,9 @@ def _(t):
 
 
 @query("raw_metadata", "turns", NESTED + """
-SELECT concat(rq, ':', s, ':', turn) AS raw_id, concat_ws(',', concat('agent_id=a', r % 2),
+SELECT concat(rq, ':', s, ':', turn % 1000) AS raw_id, concat_ws(',', concat('agent_id=a', r % 2),
   CASE WHEN turn % 2 = 1 THEN concat('dia_id=D', turn) END, CASE WHEN turn % 4 = 0 THEN 'has_answer=true' END,
-  concat('idempotency_key=k', CAST(floor(r / 2) AS BIGINT)), 'min_read_consistency=0',
+  concat('idempotency_key=k', CAST(floor(r / 2) AS BIGINT), suffix), 'min_read_consistency=0',
   CASE WHEN conv_id % 2 = 0 THEN 'speaker_a=ann' END, 'speaker_b=bob', 'src=test',
   concat('turn_index=', turn)) AS metadata FROM flat""")
 def _(t):
@@ -337,6 +347,15 @@ def _(t):
     )
 
 
+@query("numbered_text", "raws", SEGMENTS + """,
+p AS (SELECT w.request_id, w.segment, w.i, trim(replace(r.content, chr(10), ' ')) AS line,
+  row_number() OVER (PARTITION BY w.request_id, w.segment ORDER BY w.i) - 1 AS n FROM walk w JOIN raws r USING (raw_id))
+SELECT request_id, segment, string_agg(concat('[', n, '] ', line), chr(10) ORDER BY n) AS body FROM p GROUP BY 1, 2""")
+def _(t):
+    lines = F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda r: r["content"])
+    return segmented(t).groupBy("request_id", "segment").agg(numbered_text(lines).alias("body"))
+
+
 @query("split_at", "raws", SEGMENTS + """,
 answer AS (SELECT request_id, segment, min(length(raw_id)) % 3 AS b FROM walk GROUP BY 1, 2),
 placed AS (SELECT w.*, row_number() OVER (PARTITION BY request_id, segment ORDER BY i) - 1 AS p FROM walk w),
@@ -359,9 +378,9 @@ def _(t):
 
 
 @query("job_ingest", "turns", SESSION_RAWS + """,
-claimed AS (SELECT min(r) AS r FROM base GROUP BY r % 3, r % 20, CAST(floor(r / 2) AS BIGINT)),
+claimed AS (SELECT min(r) AS r, suffix FROM base GROUP BY r % 3, r % 20, CAST(floor(r / 2) AS BIGINT), suffix),
 kept AS (SELECT *, row_number() OVER (PARTITION BY rq ORDER BY s) AS i FROM sess
-  WHERE rq IN (SELECT concat('r', r) FROM claimed)),
+  WHERE rq IN (SELECT concat('r', r, suffix) FROM claimed)),
 walk AS (SELECT rq, i, raw_id, event_minute, content, tenant_id, user_id, CAST(0 AS BIGINT) AS segment, 1 AS turns,
     length(content) AS chars FROM kept WHERE i = 1
   UNION ALL SELECT o.rq, o.i, o.raw_id, o.event_minute, o.content, o.tenant_id, o.user_id, w.segment + cut,
