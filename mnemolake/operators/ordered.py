@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mnemolake.session import cut
+from mnemolake.session import materialize, scratch_path
 
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 256
@@ -189,16 +189,14 @@ def sequential_fold(
         last.update(dict(zip(keys, key)), _state=state)
         return pd.concat([done.astype(object), pd.DataFrame([last], dtype=object)], ignore_index=True)
 
-    chunks = cut(chunks)
-    states = df.sparkSession.createDataFrame([], state_schema)
-    results = []
+    chunks = materialize(chunks, "chunks")
+    spark, root = df.sparkSession, scratch_path(df.sparkSession, "rounds")
+    states = spark.createDataFrame([], state_schema)
     for number in range(chunks.agg(F.max("_chunk")).first()[0] + 1):
         part = chunks.filter(F.col("_chunk") == number)
         both = part.groupBy(*keys).cogroup(states.groupBy(*keys)).applyInPandas(chunk_step, carrying)
-        both = cut(both)
-        results.append(both.filter(F.col("_state").isNull()).drop("_state"))
-        states = both.filter(F.col("_state").isNotNull()).select(*keys, "_state")
-    out = results[0]
-    for more in results[1:]:
-        out = out.unionByName(more)
-    return out
+        path = f"{root}/round={number}"
+        both.write.mode("overwrite").parquet(path)
+        states = spark.read.schema(carrying).parquet(path).filter("_state IS NOT NULL").select(*keys, "_state")
+    done = spark.read.schema(carrying).parquet(root)
+    return done.filter("_state IS NULL").select(*schema.names)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.operators.recall import PLACES
 from mnemolake.schemas import SCOPE
+from mnemolake.session import sized
 
 # Channel weights and rank constant of the fusion.
 RRF_WEIGHTS = {"bm25": 0.30, "vector": 0.40, "entity": 0.15, "graph": 0.15}
@@ -80,9 +81,17 @@ def union_fuse(outputs: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _only(table: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Rows of a per-memory table that the ranked list names: few of many, found without shuffling the table."""
+    named = sized(ranked.select(*SCOPE, "memory_id").distinct())
+    return table.join(named, [*SCOPE, "memory_id"], "left_semi")
+
+
 def signal_boost(ranked: DataFrame, signals: DataFrame) -> DataFrame:
     """score x time decay x (1 + importance); a missing signal counts as 1 and 0."""
-    given = signals.select(*SCOPE, "memory_id", F.col("decay").alias("_d"), F.col("importance").alias("_i"))
+    given = _only(
+        signals.select(*SCOPE, "memory_id", F.col("decay").alias("_d"), F.col("importance").alias("_i")), ranked
+    )
     factor = F.coalesce("_d", F.lit(1.0)) * (1 + F.coalesce("_i", F.lit(0.0)))
     joined = ranked.join(given, [*SCOPE, "memory_id"], "left")
     return joined.withColumn("score", F.col("score") * factor).drop("_d", "_i")
@@ -142,7 +151,7 @@ def mmr_rerank(hits: DataFrame, vectors: DataFrame, k: int | None = None, lam: f
 
     The input order (score down, id) settles ties; the score stays, `mmr_score` and the new rank are added.
     """
-    have = vectors.select(*SCOPE, F.col("mem_cell_id").alias("memory_id"), "embedding")
+    have = _only(vectors.select(*SCOPE, F.col("mem_cell_id").alias("memory_id"), "embedding"), hits)
     joined = rerank(hits).select("query_id", *SCOPE, "memory_id", "score", "rank").join(
         have, [*SCOPE, "memory_id"], "left"
     )

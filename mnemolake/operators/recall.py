@@ -188,12 +188,12 @@ def entity_topk(asked: DataFrame, postings: DataFrame, cells: DataFrame, k: int)
     """
     asked = sized(asked)
     per_query = asked.groupBy("query_id", *SCOPE).agg(F.collect_set("entity").alias("_all"))
-    found = (
-        asked.join(postings.select(*SCOPE, "entity", "mem_cell_id"), [*SCOPE, "entity"])
+    found = sized(
+        postings.select(*SCOPE, "entity", "mem_cell_id").join(asked, [*SCOPE, "entity"])
         .select("query_id", *SCOPE, "mem_cell_id")
         .distinct()
     )
-    texts = found.join(cells.select(*SCOPE, "mem_cell_id", "text"), [*SCOPE, "mem_cell_id"])
+    texts = cells.select(*SCOPE, "mem_cell_id", "text").join(found, [*SCOPE, "mem_cell_id"])
     inside = F.size(F.filter("_all", lambda e: F.contains("text", e)))
     score = F.greatest(F.lit(1), inside) / F.greatest(F.lit(1), F.size("_all"))
     hits = texts.join(per_query, ["query_id", *SCOPE]).select(
@@ -221,9 +221,8 @@ def graph_topk(
     )
     first = Window.partitionBy("query_id").orderBy("_at", "memory_id")
     chosen = memories.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= 2 * k)
-    known = chosen.join(
-        cells.select(*SCOPE, F.col("mem_cell_id").alias("memory_id")), [*SCOPE, "memory_id"], "left_semi"
-    )
+    ids = cells.select(*SCOPE, F.col("mem_cell_id").alias("memory_id"))
+    known = ids.join(sized(chosen), [*SCOPE, "memory_id"])
     score = F.lit(1.0) if hop_decay is None else F.pow(F.lit(hop_decay), F.col("_at.hop") - 1)
     return (
         known.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_r")) - 1)

@@ -443,7 +443,8 @@ b AS (SELECT query_id, f.memory_id, score * decay * (1 + importance) AS score FR
 SELECT query_id, memory_id, round(score, 8) AS score,
   row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank FROM b""")
 def _(t):
-    boosted = ranking.signal_boost(ranking.rrf_fuse(channel_hits(t)), jobs.retrieval_signals(t["cells"]))
+    fused = materialize(ranking.rrf_fuse(channel_hits(t)), "fused")
+    boosted = ranking.signal_boost(fused, jobs.retrieval_signals(t["cells"]))
     return ranking.rerank(boosted).select("query_id", "memory_id", F.round("score", 8).alias("score"), "rank")
 
 
@@ -507,7 +508,8 @@ mmr AS (SELECT p.query_id, memory_id, score, rank, mmr_score FROM pick p JOIN it
 @query("mmr_rerank", "cells queries", FUSED + "," + mmr_sql("fused", 0.7, 10) + """
 SELECT query_id, memory_id, round(score, 6) AS score, rank, round(mmr_score, 6) AS mmr_score FROM mmr""")
 def _(t):
-    out = ranking.mmr_rerank(ranking.rrf_fuse(channel_hits(t)), t["cells"], 10)
+    fused = materialize(ranking.rrf_fuse(channel_hits(t)), "fused")
+    out = ranking.mmr_rerank(fused, t["cells"], 10)
     return out.select("query_id", "memory_id", score6(), "rank", F.round("mmr_score", 6).alias("mmr_score"))
 
 

@@ -128,7 +128,7 @@ def job_retrieve(
 ) -> DataFrame:
     """Recall, fuse, boost, filter, diversify and cut, for all queries at once. `lam=None` skips diversity."""
     found = recall_channels(queries, cells, top_k, channels, entities)
-    fused = ranking.rrf_fuse(ranking.union_fuse(list(found.values())), weights, k)
+    fused = materialize(ranking.rrf_fuse(ranking.union_fuse(list(found.values())), weights, k), "fused")
     boosted = ranking.signal_boost(fused, signals) if signals is not None else fused
     kept = store.threshold_filter(boosted, threshold)
     if lam is None:
