@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import cache
@@ -18,8 +19,37 @@ from pyspark.sql import types as T
 
 from mnemolake.llm.registry import query, table
 
+# Code points that the tokenizer does not yet take for letters or numbers, as first and last of each range.
+NOT_LETTERS = (
+    "558 558 58b 58c 88f 88f c5c c5c cdc cdc 208f 208f 209d 209f a7ce a7cf a7d2 a7d2 a7d4 a7d4 a7dd a7dd a7e2 a7e2 a7f1 a7f1 "
+    "ab6c ab6d 107bb 107bf 10940 10959 10ec5 10ec7 10ed9 10eee 11b0a 11b0a 11db0 11ddb 11df1 11df1 16ea0 16eb8 16ebb 16ed3 "
+    "16ff2 16ff3 187f8 187ff 18cd6 18cda 18d09 18d20 18d80 18df2 18e00 19191 191a0 191d2 1b123 1b128 1b168 1b168 1d6a6 1d6a6 "
+    "1df1f 1df24 1df2b 1df81 1df90 1df96 1dfcd 1dfff 1e6c0 1e6de 1e6e0 1e6e2 1e6e4 1e6e5 1e6e7 1e6ed 1e6f0 1e6f4 1e6fe 1e6ff "
+    "2b73a 2b73f 2b81e 2b81e 2cea2 2cead 323b0 33479 3d000 3fc3f"
+)
+NOT_NUMBERS = "11de0 11de9 1246f 1246f 12475 1247f 12550 12686 16ff4 16ff6"
+# First and last capital of a range and its first small letter, where str.lower() may not know them yet.
+NEW_CAPITALS = (
+    "1c89 1c89 1c8a a7cb a7cb 264 a7cc a7cc a7cd a7ce a7ce a7cf a7d2 a7d2 a7d3 a7d4 a7d4 a7d5 a7da a7da a7db a7dc a7dc 19b "
+    "10d50 10d65 10d70 16ea0 16eb8 16ebb"
+)
+
+
+def _codes(text: str, width: int) -> list[tuple[int, ...]]:
+    codes = [int(x, 16) for x in text.split()]
+    return list(zip(*[codes[i::width] for i in range(width)]))
+
+
+def _class(text: str) -> str:
+    return "[" + "".join(f"{chr(a)}-{chr(z)}" for a, z in _codes(text, 2)) + "]"
+
+
+# Capitals letter by letter: a final sigma is not a case of its own here.
+LOWER = {a + i: small + i for a, z, small in _codes(NEW_CAPITALS, 3) for i in range(z - a + 1)} | {ord("Σ"): "σ"}
+LETTER, NUMBER = rf"[\p{{L}}--{_class(NOT_LETTERS)}]", rf"[\p{{N}}--{_class(NOT_NUMBERS)}]"
 # Fixed values of the tokenizer's file: what it splits a text into, and the white space that its first step folds.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+PIECES = regex.compile(rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d|{LETTER}+|{NUMBER}|[^\s||{LETTER}||{NUMBER}]+")
+PLAIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # the same for printable ASCII
 SPACE = "\t-\r \x85\xa0  -     　"
 CHUNKS = regex.compile(f"[^{SPACE}]+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer does not
@@ -45,6 +75,8 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in held["model"]["merges"]]
+        self.packed = {i: i.to_bytes(4, "little") for i in self.names}
+        self.texts = {i: t.encode("utf-8") for i, t in self.names.items()}
         self.ranks = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
         self.splitter = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         # Tokens that the merges really build; others are never proposed.
@@ -52,7 +84,7 @@ class WordBpe:
         self.longest = max((len(t.removesuffix(WORD_END)) for t in self.built), default=1)
         self.apart: np.ndarray = np.empty(0, np.int64)  # verified pairs, as sorted codes
         self.fresh: dict[int, bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[bytes, bytes, int]] = {}
         self.chunks: dict[str, tuple[bytes, bytes, int]] = {}
 
     def symbols(self, token: str) -> list[int]:
@@ -143,31 +175,36 @@ class WordBpe:
             wrong[owner[pair[~self.compatible(flat[pair], flat[pair + 1])]]] = True
         return [self.merge(self.symbols(w + WORD_END)) if bad else tuple(p) for w, p, bad in zip(words, proposed, wrong)]
 
-    def pieces(self, chunk: str) -> Iterator[str | int]:
+    def pieces(self, chunk: str) -> list[str | int]:
         """A chunk without white space as words in byte letters, and the ids of special tokens in it."""
-        letters = byte_letters()
-        at = 0
+        if chunk.isascii() and chunk.isprintable() and "<|" not in chunk:
+            return PLAIN_PIECES.findall(chunk.lower())
+        letters, out, at = byte_letters(), [], 0
         for found in [*(self.splitter.finditer(chunk) if self.splitter else ()), None]:
             part = chunk[at : found.start() if found else len(chunk)]
-            # Lower case letter by letter: a final sigma is not a case of its own here.
-            low = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            for piece in PIECES.findall(low):
-                yield "".join([letters[b] for b in piece.encode("utf-8", "surrogatepass")])
+            low = unicodedata.normalize("NFC", part).translate(LOWER).lower()
+            out += ["".join([letters[b] for b in p.encode("utf-8", "surrogatepass")]) for p in PIECES.findall(low)]
             if found:
-                yield self.special[found[0]]
+                out.append(self.special[found[0]])
                 at = found.end()
+        return out
 
     def encode_chunks(self, chunks: Iterable[str]) -> None:
         """Put the ids (as bytes), the decoded text and the number of ids of each new chunk into the cache."""
-        split = {c: list(self.pieces(c)) for c in chunks}
-        unknown = list({w for p in split.values() for w in p if isinstance(w, str) and w not in self.words})
+        split = {c: self.pieces(c) for c in chunks}
         if len(self.words) > CACHE:
-            self.words, unknown = {}, list({w for p in split.values() for w in p if isinstance(w, str)})
-        self.words.update(zip(unknown, self.encode_words(unknown)))
+            self.words = {}
+        words = self.words
+        unknown = list({w for p in split.values() for w in p if w not in words and isinstance(w, str)})
+        for word, ids in zip(unknown, self.encode_words(unknown)):
+            words[word] = b"".join([self.packed[i] for i in ids]), b" ".join([self.texts[i] for i in ids]), len(ids)
         for chunk, parts in split.items():
-            ids = [i for p in parts for i in (self.words[p] if isinstance(p, str) else (p,))]
-            text = " ".join([self.names[i] for i in ids]).encode("utf-8")
-            self.chunks[chunk] = np.array(ids, "<u4").tobytes(), text, len(ids)
+            held = [words[p] if isinstance(p, str) else (self.packed[p], self.texts[p], 1) for p in parts]
+            if len(held) == 1:
+                self.chunks[chunk] = held[0]
+            else:
+                ids, texts, sizes = zip(*held) if held else ((), (), ())
+                self.chunks[chunk] = b"".join(ids), b" ".join([t for t in texts if t]), sum(sizes)
 
     def encode_texts(self, texts: list[str | None]) -> list[tuple[int, bytes, bytes]]:
         """(number of ids, ids as little-endian 32-bit numbers, decoded UTF-8) of each whole text; null counts as empty."""

@@ -129,9 +129,17 @@ def _discriminant(sums: dict[int, tuple[float, np.ndarray, np.ndarray]], shrink:
     return Discriminant(np.array(means), np.array(whiten), np.array(constants))
 
 
-def _calibrate(model: Discriminant, x: np.ndarray, y: np.ndarray) -> Discriminant:
+def ratio_udf(model: Discriminant):
+    @F.pandas_udf(T.DoubleType())
+    def ratio(stats: pd.Series) -> pd.Series:
+        return pd.Series(model.ratio(np.array(stats.tolist(), float)) if len(stats) else np.zeros(0))
+
+    return ratio
+
+
+def _calibrate(model: Discriminant, r: np.ndarray, y: np.ndarray) -> Discriminant:
     """Scale and shift of the log ratio by logistic regression, as statistics are not quite normal."""
-    r = np.clip(model.ratio(x), -60, 60)
+    r = np.clip(r, -60, 60)
     a, b = 0.2, 0.0
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a * r + b, -40, 40)))
@@ -167,8 +175,9 @@ def fit(
     if set(sums) != {0, 1}:
         return None
     model = _discriminant(sums, shrink, ridge)
-    some = known.orderBy(F.xxhash64("x"), "y").limit(calibration_rows).collect()
-    return _calibrate(model, np.array([r["x"] for r in some]), np.array([r["y"] for r in some], float))
+    some = known.orderBy(F.xxhash64("x"), "y").limit(calibration_rows).select(ratio_udf(model)(F.col("x")).alias("r"), "y")
+    pairs = np.array([(row["r"], row["y"]) for row in some.collect()])
+    return _calibrate(model, pairs[:, 0], pairs[:, 1])
 
 
 def remainder(doc_id: Column, base: int) -> Column:
@@ -211,3 +220,12 @@ def op9_quality(spark, folder):
         "doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), score_udf(model)(F.col("x")).alias("score")
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def keep_good(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """The documents that score at least `threshold`; columns and rows that stay are as they were. Without labels of both
+    classes nothing can be told apart, so all stay."""
+    model, _ = train(documents, labels)
+    if model is None:
+        return documents
+    return documents.filter(score_udf(model)(statistics_of(F.col("text"))) >= threshold)
