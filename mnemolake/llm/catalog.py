@@ -1,6 +1,6 @@
 """All queries of this subpackage; importing the modules registers them."""
 
-from mnemolake.llm import bpe, mixing, quality, secrets, simhash  # noqa: F401
+from mnemolake.llm import bpe, mixing, quality, secrets, simhash, windows  # noqa: F401
 from mnemolake.llm.registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
