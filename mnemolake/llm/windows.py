@@ -22,10 +22,11 @@ from pyspark.sql import types as T
 from mnemolake.llm.registry import query, table
 from mnemolake.session import materialize
 
-WINDOW, GRAM = 400, 128
+WINDOW = 400
+GRAMS = (128, 336, 384, 400)  # bytes that the first digit of each level looks at; the last one is the whole window
 DEPTH = 100  # bytes of a later digit
 PIECE = 1 << 20  # bytes of a text that are hashed in one go
-LOCAL = 500  # contents of one digit that one task may sort; beyond that the passes are shuffles
+LOCAL = 500  # contents of one digit that one task sorts; beyond that they are dealt out by a longer digit
 BATCH = 1 << 21  # bytes that are sorted in one go
 BASE = 0x9E3779B97F4A7C15 | 1
 _L, _B = T.LongType(), T.BinaryType()
@@ -35,11 +36,10 @@ def _schema(**columns) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in columns.items()])
 
 
-RANGES = T.ArrayType(_schema(first=T.IntegerType(), last=T.IntegerType()))
-RUNS = _schema(doc_id=_L, text_id=_L, lo=_L, hi=_L, digit=_L, content=_L, tied=T.BooleanType())
+RANGES = T.ArrayType(_schema(first=_L, last=_L))
+RUNS = _schema(a=_L, b=_L, lo=_L, hi=_L, digit=_L, content=_L, tied=T.BooleanType())
 PARTS = _schema(digit=_L, content=_L, bytes=_B)
 MARKS = _schema(digit=_L, content=_L, ranges=RANGES)
-PLACES = _schema(digit=_L, hash=_L, content=_L, at=T.IntegerType())
 KEPT = _schema(doc_id=_L, n_bytes=_L, n_removed=_L, n_spans=_L, kept_sha256=T.StringType())
 
 
@@ -70,7 +70,7 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(values) - width + 1], have[width - step :]) if width > step else have
 
 
-def runs_of(data: bytes, window: int = WINDOW, gram: int = GRAM) -> Iterator[tuple[int, int, int, int, bool]]:
+def runs_of(data: bytes, gram: int = GRAMS[0], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, bool]]:
     """(first start, last start, digit, content hash, tied) of each run of windows of one digit. Tied: the digit stands at
     several places of the run, which a repeat within it needs. Long texts go piece by piece; a run ends where a piece does."""
     wide = window - gram + 1
@@ -93,8 +93,8 @@ def runs_of(data: bytes, window: int = WINDOW, gram: int = GRAM) -> Iterator[tup
 
 
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
-    ranges = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
+    ranges = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
     columns = list(zip(*rows)) or [()] * len(schema)
     arrays = [pa.array(c, kinds.get(f.dataType.simpleString(), ranges)) for c, f in zip(columns, schema)]
     return pa.RecordBatch.from_arrays(arrays, names=schema.names)
@@ -105,21 +105,23 @@ def _texts(batch: pa.RecordBatch, step: int = 64) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, step)
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in _texts(batch):
-            out = []
-            for doc, text_id, text in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_id", "text"))):
-                out += [(doc, text_id, *run) for run in runs_of(text.encode("utf-8", "surrogatepass"))]
-            yield _batch(out, RUNS)
+def _runs(gram: int):
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _texts(batch):
+                out = []
+                for a, b, data in zip(*(part.column(c).to_pylist() for c in ("a", "b", "data"))):
+                    out += [(a, b, *run) for run in runs_of(data, gram)]
+                yield _batch(out, RUNS)
+
+    return each
 
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _texts(batch):
             out = []
-            for text, asked in zip(part.column("text").to_pylist(), part.column("asked").to_pylist()):
-                data = text.encode("utf-8", "surrogatepass")
+            for data, asked in zip(part.column("data").to_pylist(), part.column("asked").to_pylist()):
                 out += [(a["digit"], a["content"], data[a["lo"] : a["hi"] + WINDOW]) for a in asked]
             yield _batch(out, PARTS)
 
@@ -183,37 +185,11 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _sort_contents(held)
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each window of a content of a hot digit: the hash of all its later digits."""
-    for batch in batches:
-        for digit, content, data in zip(*(batch.column(c).to_pylist() for c in ("digit", "content", "bytes"))):
-            hashes = block_hashes(np.frombuffer(data, np.uint8), WINDOW).view(np.int64)
-            n = len(hashes)
-            arrays = [pa.array(np.full(n, digit)), pa.array(hashes), pa.array(np.full(n, content)), pa.array(np.arange(n, dtype=np.int32))]
-            yield pa.RecordBatch.from_arrays(arrays, names=PLACES.names)
-
-
-def repeated_ranges(parts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(digit, content, bytes) and (digit, contents) to MARKS. A digit of up to LOCAL contents is sorted by one task; the
-    windows of others are dealt out one by one, counted by hash where they are read, and only repeated ones come back."""
-    sized = parts.join(sizes, "digit")
-    cold = sized.filter(F.col("contents") <= LOCAL).select("digit", "content", "bytes")
-    cold = cold.repartition("digit").sortWithinPartitions("digit").mapInArrow(_sort_groups, MARKS)
-    hot = sized.filter(F.col("contents") > LOCAL).select("digit", "content", "bytes")
-    hot = materialize(hot.repartition(F.col("content")), "hot").mapInArrow(_places, PLACES)
-    twice = hot.groupBy("digit", "hash").count().filter("count > 1").select("digit", "hash")
-    found = hot.join(twice, ["digit", "hash"]).select(
-        "digit", "content", F.struct(F.col("at").alias("first"), F.col("at").alias("last")).alias("range")
-    )
-    return cold.unionByName(found.groupBy("digit", "content").agg(F.collect_list("range").alias("ranges")))
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in _texts(batch):
             out = []
-            for doc, text, spans in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
-                data = text.encode("utf-8", "surrogatepass")
+            for doc, data, spans in zip(*(part.column(c).to_pylist() for c in ("a", "data", "spans"))):
                 kept, at, number = [], 0, 0
                 for lo, hi in merged([(s["first"], s["last"] + WINDOW) for s in spans or ()]):
                     kept.append(data[at:lo])
@@ -235,43 +211,64 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _keyed(documents: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", F.xxhash64(text).alias("text_id"), text.alias("text"))
+    data = F.coalesce("text", F.lit("")).cast("binary")
+    return documents.select(F.col("doc_id").alias("a"), F.xxhash64(data).alias("b"), data.alias("data"))
 
 
-def repeated_spans(documents: DataFrame) -> DataFrame:
-    """(doc_id, text_id, spans): ranges of the starts of repeated windows, in bytes, for documents that have any.
+def _same(left: str, right: str):
+    return F.col(f"{left}.a").eqNullSafe(F.col(f"{right}.a")) & (F.col(f"{left}.b") == F.col(f"{right}.b"))
 
-    Null texts count as empty and texts shorter than the window have no spans. Rows are told apart by doc_id and text, and
-    equal rows count as repeats of each other. Further columns are not read; an empty table gives no rows.
+
+def _gathered(hit: DataFrame) -> DataFrame:
+    return hit.groupBy("a", "b").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+
+
+def spans_of(items: DataFrame, level: int = 0) -> DataFrame:
+    """(a, b, data: bytes) to (a, b, spans): ranges of the starts of repeated windows, for items that have any.
+
+    One level is a pass over runs by a digit of GRAMS[level] bytes. A digit of up to LOCAL contents is sorted to full depth
+    by one task; the contents of a hot one are the items of the next level, whose digits are longer. At the last level a
+    digit is a whole window, and what counts is only how often it comes.
     """
-    texts = _keyed(documents)
-    runs = materialize(texts.mapInArrow(_runs, RUNS), "runs")
-    first = F.min(F.struct("doc_id", "text_id", "lo", "hi")).alias("first")
+    runs = materialize(items.mapInArrow(_runs(GRAMS[level]), RUNS), "runs")
+    all_of_it = F.array(F.struct(F.col("lo").alias("first"), F.col("hi").alias("last")))
+    if GRAMS[level] == WINDOW:
+        twice = runs.groupBy("digit").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("windows")).filter("windows > 1")
+        return _gathered(runs.join(twice, "digit").select("a", "b", all_of_it.alias("spans")))
+    first = F.min(F.struct("a", "b", "lo", "hi")).alias("first")
     contents = runs.groupBy("digit", "content").agg(F.count("*").alias("n"), F.max("tied").alias("tied"), first)
     contents = materialize(contents, "contents")
     sizes = contents.groupBy("digit").agg(F.count("*").alias("contents"), F.max("tied").alias("any_tied"))
     sizes = materialize(sizes.filter("contents > 1 OR any_tied").select("digit", "contents"), "digits")
     asked = contents.join(sizes, "digit").select("digit", "content", "first.*")
-    asked = asked.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("digit", "content", "lo", "hi")).alias("asked"))
-    same = F.col("d.doc_id").eqNullSafe(F.col("a.doc_id")) & (F.col("d.text_id") == F.col("a.text_id"))
-    fetched = texts.alias("d").join(asked.alias("a"), same).select("d.text", "a.asked").mapInArrow(_slices, PARTS)
-    # A text that stands in several equal rows is fetched for each; its contents have n > 1 and are marked as a whole.
-    marks = repeated_ranges(materialize(fetched, "contents"), sizes)
+    asked = asked.groupBy("a", "b").agg(F.collect_list(F.struct("digit", "content", "lo", "hi")).alias("asked"))
+    # An item that stands in several equal rows is fetched for each; its contents have n > 1 and are marked as a whole.
+    fetched = items.alias("d").join(asked.alias("s"), _same("d", "s")).select("d.data", "s.asked").mapInArrow(_slices, PARTS)
+    parts = materialize(fetched, "parts").join(sizes, "digit")
+    cold = parts.filter(F.col("contents") <= LOCAL).select("digit", "content", "bytes")
+    marks = cold.repartition("digit").sortWithinPartitions("digit").mapInArrow(_sort_groups, MARKS)
+    hot = parts.filter(F.col("contents") > LOCAL)
+    hot = hot.select(F.col("digit").alias("a"), F.col("content").alias("b"), F.col("bytes").alias("data")).repartition("a", "b")
+    hot = materialize(hot, "hot")
+    if not hot.isEmpty():
+        deeper = spans_of(hot, level + 1)
+        marks = marks.unionByName(deeper.select(F.col("a").alias("digit"), F.col("b").alias("content"), F.col("spans").alias("ranges")))
     whole = contents.filter("n > 1").select("digit", "content", F.lit(True).alias("whole"), F.lit(None).cast(RANGES).alias("ranges"))
     some = marks.select("digit", "content", F.lit(False).alias("whole"), "ranges")
     marks = materialize(whole.unionByName(some), "marks")
-    within = F.struct(F.col("lo").alias("first"), F.col("hi").alias("last"))
     moved = F.transform("ranges", lambda r: F.struct((F.col("lo") + r["first"]).alias("first"), (F.col("lo") + r["last"]).alias("last")))
-    hit = runs.join(marks, ["digit", "content"]).select("doc_id", "text_id", F.when(F.col("whole"), F.array(within)).otherwise(moved).alias("spans"))
-    return hit.groupBy("doc_id", "text_id").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    hit = runs.join(marks, ["digit", "content"])
+    return _gathered(hit.select("a", "b", F.when(F.col("whole"), all_of_it).otherwise(moved).alias("spans")))
 
 
 def remove_repeats(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that no repeated window covers."""
-    spans = materialize(repeated_spans(documents), "spans")
-    same = F.col("d.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("d.text_id") == F.col("s.text_id"))
-    joined = _keyed(documents).alias("d").join(spans.alias("s"), same, "left").select("d.doc_id", "d.text", "s.spans")
+    """Per document: doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes that no repeated window covers.
+
+    Null texts count as empty, and texts shorter than the window keep all. Rows are told apart by doc_id and text, and
+    equal rows count as repeats of each other. Further columns are not read; an empty table gives no rows.
+    """
+    spans = materialize(spans_of(_keyed(documents)), "spans")
+    joined = _keyed(documents).alias("d").join(spans.alias("s"), _same("d", "s"), "left").select("d.a", "d.data", "s.spans")
     return joined.mapInArrow(_remove, KEPT)
 
 
