@@ -34,6 +34,13 @@ def unnest(df: DataFrame, keep: Sequence, items: Column, pos: str, item: str) ->
     return df.select(*keep, F.posexplode_outer(items).alias(pos, item)).filter(F.col(pos).isNotNull())
 
 
+def significant(value: Column, digits: int = 12) -> Column:
+    """The value at `digits` significant digits: what ranks compare, so that only the order of summation cannot show."""
+    size = F.floor(F.log10(F.abs(value)))
+    scaled = F.round(F.abs(value) * F.pow(F.lit(10.0), digits - 1 - size)) * F.pow(F.lit(10.0), size - digits + 1)
+    return F.when(value == 0, F.lit(0.0)).when(F.isnan(value), value).otherwise(F.signum(value) * scaled)
+
+
 def hash_bucket(value: Column, modulus: int = 100) -> Column:
     """First four bytes of the md5 digest, big-endian, modulo `modulus`."""
     word = F.conv(F.substring(F.md5(value.cast("binary")), 1, 8), 16, 10).cast("bigint")

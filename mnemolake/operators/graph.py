@@ -66,7 +66,7 @@ def entity_index(entities: DataFrame) -> DataFrame:
     return per_cell.groupBy("entity", *SCOPE).agg(*aggs)
 
 
-def entity_lookup(postings: DataFrame, wanted: DataFrame, limit: int | None = 1000) -> DataFrame:
+def entity_lookup(postings: DataFrame, wanted: DataFrame, limit: int | None = None) -> DataFrame:
     """Distinct cell ids per (query_id, scope) of the wanted entities, lowest ids first."""
     found = (
         postings.select(*SCOPE, "entity", "mem_cell_id")

@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.operators.recall import PLACES
-from mnemolake.schemas import SCOPE
+from mnemolake.functions.core import significant
+from mnemolake.schemas import QUERY, SCOPE
 from mnemolake.session import sized
 
 # Channel weights and rank constant of the fusion.
@@ -26,12 +26,12 @@ def overfetch(top_k: int, recall: int = OVER_FETCH, channel: int = OVER_FETCH) -
 
 
 def _by_score(*partition: str) -> Window:
-    return Window.partitionBy(*partition).orderBy(F.round("score", PLACES).desc(), "memory_id")
+    return Window.partitionBy(*partition).orderBy(significant(F.col("score")).desc(), "memory_id")
 
 
 def channel_rank(hits: DataFrame) -> DataFrame:
     """Rank from 0 inside each channel of each query."""
-    return hits.withColumn("rank", F.row_number().over(_by_score("query_id", "channel")) - 1)
+    return hits.withColumn("rank", F.row_number().over(_by_score(*QUERY, "channel")) - 1)
 
 
 def _weight(weights: Mapping[str, float]) -> Column:
@@ -44,14 +44,14 @@ def rrf_fuse(
 ) -> DataFrame:
     """Weighted reciprocal-rank fusion: sum of w / (k + rank + 1) over the channels that found a memory.
 
-    `requests` may carry `weights` (map<string,double>) overriding single channels of a query.
+    `requests` (query_id, scope) may carry `weights` (map<string,double>) overriding single channels of a query.
     """
     table = {**RRF_WEIGHTS, **(weights or {})}
     channels = F.array(*[F.lit(c) for c in table])
     rows = ranked.filter(F.coalesce(F.col("memory_id"), F.lit("")) != "").withColumn("_w", _weight(table))
     if requests is not None:
-        own = requests.select("query_id", F.col("weights").alias("_own"))
-        rows = rows.join(own, "query_id", "left").withColumn(
+        own = requests.select(*QUERY, F.col("weights").alias("_own"))
+        rows = rows.join(own, QUERY, "left").withColumn(
             "_w", F.coalesce(F.try_element_at("_own", F.col("channel")), F.col("_w"))
         )
     place = F.array_position(channels, F.col("channel"))
@@ -68,7 +68,7 @@ def rrf_fuse(
 
 def concat_fuse(ranked: DataFrame) -> DataFrame:
     """Without a fuser: best score per memory and the channel it came from."""
-    best = F.struct(F.round("score", PLACES).alias("s"), F.col("rank") * -1, F.col("channel"))
+    best = F.struct(significant(F.col("score")).alias("s"), F.col("rank") * -1, F.col("channel"))
     return ranked.groupBy("query_id", *SCOPE, "memory_id").agg(
         F.max("score").alias("score"), F.max_by("channel", best).alias("source_channel")
     )
@@ -98,16 +98,23 @@ def signal_boost(ranked: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def rerank(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(_by_score("query_id")) - 1)
+    return hits.withColumn("rank", F.row_number().over(_by_score(*QUERY)) - 1)
+
+
+def checked_topk(k: int) -> int:
+    """A request asks for 1 to 100 memories; anything else is refused, never cut."""
+    if not 1 <= k <= 100:
+        raise ValueError(f"top_k must be from 1 to 100, not {k}")
+    return k
 
 
 def final_topk(ranked: DataFrame, k: int = 10) -> DataFrame:
-    return rerank(ranked).filter(F.col("rank") < max(1, min(100, k)))
+    return rerank(ranked).filter(F.col("rank") < checked_topk(k))
 
 
 def cross_rerank(ranked: DataFrame, scores: DataFrame, k: int | None = None) -> DataFrame:
-    """Re-sort by an external pair score (query_id, memory_id, pair_score); without one the own score stays."""
-    joined = ranked.join(scores.select("query_id", "memory_id", "pair_score"), ["query_id", "memory_id"], "left")
+    """Re-sort by an external pair score (query_id, scope, memory_id, pair_score); without one the own score stays."""
+    joined = ranked.join(scores.select(*QUERY, "memory_id", "pair_score"), [*QUERY, "memory_id"], "left")
     out = rerank(joined.withColumn("score", F.coalesce("pair_score", "score")).drop("pair_score"))
     return out if k is None else out.filter(F.col("rank") < k)
 
@@ -119,7 +126,7 @@ def pair_scores(pairs: DataFrame, model) -> DataFrame:
     def score(query: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series(np.asarray(model(query.tolist(), text.tolist()), dtype="float64"))
 
-    return pairs.select("query_id", "memory_id", score("query", "text").alias("pair_score"))
+    return pairs.select(*QUERY, "memory_id", score("query", "text").alias("pair_score"))
 
 
 def mmr_order(relevance: np.ndarray, vectors: list, k: int, lam: float) -> list[tuple[int, float]]:
@@ -167,4 +174,4 @@ def mmr_rerank(hits: DataFrame, vectors: DataFrame, k: int | None = None, lam: f
         "mmr_score double"
     )
     columns = ["query_id", *SCOPE, "memory_id", "score", "rank", "embedding"]
-    return joined.select(*columns).groupBy("query_id").applyInPandas(choose, schema)
+    return joined.select(*columns).groupBy(*QUERY).applyInPandas(choose, schema)

@@ -12,19 +12,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.functions.core import unnest
+from mnemolake.functions.core import significant, unnest
 from mnemolake.functions.text import term_counts, tokens
 from mnemolake.operators.blocks import blocked
 from mnemolake.operators.graph import graph_traverse, entity_node_id
-from mnemolake.schemas import SCOPE
+from mnemolake.schemas import QUERY, SCOPE
 from mnemolake.session import materialize, sized
 
-PLACES = 9  # ranks compare scores at this precision, so equal texts tie whatever the order of summation
-
 
 def ranked(hits: DataFrame, channel: str, k: int) -> DataFrame:
-    """Top k per query: score down, then id; the score itself stays untouched. Spark cuts before its shuffle."""
-    order = Window.partitionBy("query_id").orderBy(F.round("score", PLACES).desc(), "memory_id")
+    """Top k per query and scope: score down, then id; the score itself stays untouched. Spark cuts before its shuffle."""
+    order = Window.partitionBy(*QUERY).orderBy(significant(F.col("score")).desc(), "memory_id")
     return (
         hits.withColumn("rank", F.row_number().over(order) - 1)
         .filter(F.col("rank") < k)
@@ -111,6 +109,11 @@ def _similarity(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(inner, length, out=np.zeros_like(inner), where=length > 0)
 
 
+def _significant(scores: np.ndarray, digits: int = 12) -> np.ndarray:
+    size = np.floor(np.log10(np.abs(scores), out=np.zeros_like(scores), where=scores != 0))
+    return np.sign(scores) * np.round(np.abs(scores) * 10.0 ** (digits - 1 - size)) * 10.0 ** (size - digits + 1)
+
+
 def _best_vectors(k: int, metric: str):
     def best(queries: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -126,7 +129,7 @@ def _best_vectors(k: int, metric: str):
                 )
             by_id = np.argsort(ids)
             for i, row in enumerate(queries.itertuples()):
-                order = by_id[np.argsort(-np.round(scores[i, by_id], PLACES), kind="stable")][:k]
+                order = by_id[np.argsort(-_significant(scores[i, by_id]), kind="stable")][:k]
                 out.extend((row.query_id, row.tenant_id, row.user_id, ids[j], scores[i, j]) for j in order)
         return pd.DataFrame(out, columns=["query_id", "tenant_id", "user_id", "memory_id", "score"])
 
@@ -212,20 +215,20 @@ def graph_topk(
     reached, _ = graph_traverse(
         seeds.select(F.col("seed_id").alias("query_id"), *SCOPE, "node_id"), nodes, edges, max_depth
     )
-    back = seeds.select("seed_id", F.col("query_id").alias("_q"), "pos")
+    back = seeds.select(F.col("seed_id").alias("query_id"), *SCOPE, F.col("query_id").alias("_q"), "pos")
     memories = (
         reached.filter(F.col("node_type") == "memory")
-        .join(back, reached["query_id"] == back["seed_id"])
+        .join(back, QUERY)
         .groupBy(F.col("_q").alias("query_id"), *SCOPE, "memory_id")
         .agg(F.min(F.struct("pos", "hop")).alias("_at"))
     )
-    first = Window.partitionBy("query_id").orderBy("_at", "memory_id")
+    first = Window.partitionBy(*QUERY).orderBy("_at", "memory_id")
     chosen = memories.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") <= 2 * k)
     ids = cells.select(*SCOPE, F.col("mem_cell_id").alias("memory_id"))
     known = ids.join(sized(chosen), [*SCOPE, "memory_id"])
     score = F.lit(1.0) if hop_decay is None else F.pow(F.lit(hop_decay), F.col("_at.hop") - 1)
     return (
-        known.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_r")) - 1)
+        known.withColumn("rank", F.row_number().over(Window.partitionBy(*QUERY).orderBy("_r")) - 1)
         .filter(F.col("rank") < k)
         .select("query_id", *SCOPE, F.lit("graph").alias("channel"), "memory_id", score.alias("score"), "rank")
     )

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mnemolake.schemas import SCOPE
+from mnemolake.schemas import QUERY, SCOPE
 from mnemolake.operators.ordered import rank_in_key
 
 # --- writes -------------------------------------------------------------------------------------------------------
@@ -180,9 +180,10 @@ def count_cells(cells: DataFrame) -> DataFrame:
 
 
 def user_memories(cells: DataFrame, limit: int = 20) -> DataFrame:
-    """Most recent cells per user; `created_at` may be any orderable type."""
+    """Most recent cells per user, 1 to 200; `created_at` may be any orderable type."""
+    if not 1 <= limit <= 200:
+        raise ValueError(f"limit must be from 1 to 200, not {limit}")
     newest = Window.partitionBy(*SCOPE).orderBy(F.col("created_at").desc(), "mem_cell_id")
-    limit = max(1, min(200, limit))
     return cells.withColumn("pos", F.row_number().over(newest)).filter(F.col("pos") <= limit)
 
 
@@ -209,10 +210,10 @@ def lifecycle_filter(hits: DataFrame, cells: DataFrame) -> DataFrame:
 
 def channel_enable(hits: DataFrame, requests: DataFrame) -> DataFrame:
     """Keep hits of the channels a request names; an empty or missing list keeps all."""
-    wanted = requests.select("query_id", F.col("channels").alias("_wanted"))
+    wanted = requests.select(*QUERY, F.col("channels").alias("_wanted"))
     every = F.col("_wanted").isNull() | (F.size("_wanted") == 0)
     return (
-        hits.join(wanted, "query_id")
+        hits.join(wanted, QUERY)
         .filter(every | F.array_contains("_wanted", F.col("channel")))
         .drop("_wanted")
     )

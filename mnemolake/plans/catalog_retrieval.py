@@ -11,7 +11,7 @@ from mnemolake.functions.vectors import cosine, ip, neg_l2
 from mnemolake.operators import graph, ranking, recall, store
 from mnemolake.plans import jobs
 from mnemolake.plans.registry import query
-from mnemolake.schemas import SCOPE
+from mnemolake.schemas import QUERY, SCOPE
 from mnemolake.session import materialize
 from mnemolake.sources.views import Tables
 
@@ -33,7 +33,7 @@ bscore AS (SELECT query_id, tenant_id, user_id, mem_cell_id AS memory_id,
     / (tf + 1.2::DOUBLE * (1 - 0.75::DOUBLE + 0.75::DOUBLE * dl / al))) AS score
   FROM asked JOIN post USING (tenant_id, user_id, term) JOIN dfs USING (term) JOIN dl USING (mem_cell_id), st
   GROUP BY ALL),
-brank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank
+brank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank
   FROM bscore)
 """
 
@@ -45,7 +45,7 @@ def vector_sql(score: str) -> str:
 vscore AS (SELECT query_id, q.tenant_id, q.user_id, mem_cell_id AS memory_id, {score} AS score
   FROM queries q JOIN cells c ON q.tenant_id = c.tenant_id AND q.user_id = c.user_id
   WHERE c.embedding IS NOT NULL AND q.query_vec IS NOT NULL),
-vrank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank
+vrank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank
   FROM vscore)
 """
 
@@ -166,13 +166,13 @@ def _(t):
 def ann_recall(t: Tables, nprobe: int) -> DataFrame:
     """Recall of the approximate against the exact top 10, per query."""
     near = recall.vector_ann(t["queries"], t["cells"], 10, n_cells=16, nprobe=nprobe)
-    exact = vector_hits(t, 10).select("query_id", "memory_id")
-    found = near.select("query_id", "memory_id", F.lit(1).alias("hit"))
-    joined = exact.join(found, ["query_id", "memory_id"], "left")
-    return joined.groupBy("query_id").agg(
+    exact = vector_hits(t, 10).select(*QUERY, "memory_id")
+    found = near.select(*QUERY, "memory_id", F.lit(1).alias("hit"))
+    joined = exact.join(found, [*QUERY, "memory_id"], "left")
+    return joined.groupBy(*QUERY).agg(
         F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("found"),
         F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"),
-    )
+    ).drop(*SCOPE)
 
 
 @query("vector_ann")
@@ -193,7 +193,7 @@ inside AS (SELECT f.query_id, f.tenant_id, f.user_id, f.mem_cell_id AS memory_id
   count(*) FILTER (contains(c.text, q.entity)) AS hit
   FROM found f JOIN cells c USING (mem_cell_id) JOIN qe q ON q.query_id = f.query_id GROUP BY ALL),
 s AS (SELECT i.*, greatest(1, hit) / greatest(1, n) AS score FROM inside i JOIN n USING (query_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank FROM s)
 SELECT query_id, tenant_id, user_id, memory_id, round(score, 6) AS score, rank FROM r WHERE rank < 20""")
 def _(t):
     hits = recall.entity_topk(asked_ents(t), graph.entity_postings(cell_ents(t)), t["cells"], TOP)
@@ -252,7 +252,7 @@ def _(t):
 
 @query("entity_lookup", "cells queries", CELL_ENTS + "," + QUERY_ENTS + """,
 f AS (SELECT DISTINCT query_id, tenant_id, user_id, mem_cell_id FROM qe JOIN ce USING (tenant_id, user_id, entity))
-SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY mem_cell_id) <= 1000""")
+SELECT * FROM f""")
 def _(t):
     return graph.entity_lookup(graph.entity_postings(cell_ents(t)), asked_ents(t))
 
@@ -362,7 +362,7 @@ def _(t):
 
 @query("channel_rank", "cells queries", HITS + """
 SELECT query_id, channel, memory_id, row_number() OVER (PARTITION BY query_id, channel
-  ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank FROM hits""")
+  ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank FROM hits""")
 def _(t):
     return ranking.channel_rank(channel_hits(t).drop("rank")).select("query_id", "channel", "memory_id", "rank")
 
@@ -384,11 +384,11 @@ def _(t):
 SELECT query_id, channel, memory_id FROM hits WHERE CASE CAST(substr(query_id, 2) AS BIGINT) % 3
   WHEN 0 THEN channel = 'bm25' WHEN 1 THEN true ELSE channel = 'vector' END""")
 def _(t):
-    item = F.substring("query_id", 2, 20).cast("bigint") % 3
+    item = F.col("item_id") % 3
     wanted = F.when(item == 0, F.array(F.lit("bm25"))).when(item == 2, F.array(F.lit("vector"))).otherwise(
         F.array().cast("array<string>")
     )
-    requests = t["queries"].select("query_id", wanted.alias("channels"))
+    requests = t["queries"].select(*QUERY, wanted.alias("channels"))
     return store.channel_enable(channel_hits(t), requests).select("query_id", "channel", "memory_id")
 
 
@@ -412,8 +412,8 @@ w AS (SELECT *, CASE WHEN channel = 'bm25' THEN 0.3::DOUBLE WHEN CAST(substr(que
   ELSE 0.9::DOUBLE END AS wt FROM hits)
 SELECT query_id, memory_id, round(sum(wt / (60 + rank + 1)), 6) AS score FROM w WHERE wt > 0 GROUP BY 1, 2""")
 def _(t):
-    own = F.when(F.substring("query_id", 2, 20).cast("bigint") % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.9))
-    requests = t["queries"].select("query_id", F.create_map(F.lit("vector"), own).alias("weights"))
+    own = F.when(F.col("item_id") % 2 == 0, F.lit(0.0)).otherwise(F.lit(0.9))
+    requests = t["queries"].select(*QUERY, F.create_map(F.lit("vector"), own).alias("weights"))
     return ranking.rrf_fuse(channel_hits(t), requests=requests).select("query_id", "memory_id", score6())
 
 
@@ -441,7 +441,7 @@ signal AS (SELECT tenant_id, user_id, mem_cell_id AS memory_id,
 @query("signal_boost", "cells queries", FUSED + "," + SIGNALS + """,
 b AS (SELECT query_id, f.memory_id, score * decay * (1 + importance) AS score FROM fused f JOIN signal USING (memory_id))
 SELECT query_id, memory_id, round(score, 8) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank FROM b""")
+  row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank FROM b""")
 def _(t):
     fused = materialize(ranking.rrf_fuse(channel_hits(t)), "fused")
     boosted = ranking.signal_boost(fused, jobs.retrieval_signals(t["cells"]))
@@ -462,7 +462,7 @@ def _(t):
 
 
 @query("final_topk", "cells queries", FUSED + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank
   FROM fused)
 SELECT query_id, memory_id, round(score, 6) AS score, rank FROM r WHERE rank < 5""")
 def _(t):
@@ -473,12 +473,12 @@ def _(t):
 p AS (SELECT query_id, memory_id, coalesce(CASE WHEN length(c.text) % 2 = 0 THEN length(c.text) / 100000 END, score) AS score
   FROM fused f JOIN cells c ON c.mem_cell_id = f.memory_id)
 SELECT query_id, memory_id, round(score, 6) AS score,
-  row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank FROM p""")
+  row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank FROM p""")
 def _(t):
     fused = materialize(ranking.rrf_fuse(channel_hits(t)), "fused")
     size = F.length("text")
     given = t["cells"].filter(size % 2 == 0).select(F.col("mem_cell_id").alias("memory_id"), (size / 100000).alias("pair_score"))
-    scores = fused.select("query_id", "memory_id").join(given, "memory_id")
+    scores = fused.select(*QUERY, "memory_id").join(given, "memory_id")
     return ranking.cross_rerank(fused, scores).select("query_id", "memory_id", score6(), "rank")
 
 
@@ -486,7 +486,7 @@ def mmr_sql(source: str, lam: float, k: int) -> str:
     """Greedy diversity over `source` (query_id, memory_id, score) as a recursive walk; candidates sit in rank order."""
     rest = round(1 - lam, 2)
     return f"""
-cand AS (SELECT f.*, c.embedding AS v, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) AS i
+cand AS (SELECT f.*, c.embedding AS v, row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) AS i
   FROM {source} f JOIN cells c ON c.mem_cell_id = f.memory_id),
 sim AS (SELECT x.query_id, x.i, list(CASE WHEN x.v IS NULL OR y.v IS NULL THEN 0 ELSE
   list_cosine_similarity(CAST(x.v AS DOUBLE[]), CAST(y.v AS DOUBLE[])) END ORDER BY y.i) AS sims
@@ -543,7 +543,7 @@ fused AS (SELECT query_id, tenant_id, user_id, memory_id,
 
 
 @query("job_retrieve_lite", "cells queries", WIDE + """,
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank FROM fused)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank FROM fused)
 SELECT query_id, tenant_id, user_id, memory_id, round(score, 6) AS score, rank FROM r WHERE rank < 5""")
 def _(t):
     out = jobs.job_retrieve(t["queries"], t["cells"], 5, lam=None)
@@ -553,7 +553,7 @@ def _(t):
 @query("job_retrieve_boosted", "cells queries", WIDE + "," + SIGNALS + """,
 b AS (SELECT query_id, f.tenant_id, f.user_id, f.memory_id, score * decay * (1 + importance) AS score
   FROM fused f JOIN signal USING (memory_id)),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 AS rank FROM b)
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank FROM b)
 SELECT query_id, tenant_id, user_id, memory_id, round(score, 8) AS score, rank FROM r WHERE rank < 5""")
 def _(t):
     out = jobs.job_retrieve(t["queries"], t["cells"], 5, lam=None, signals=jobs.retrieval_signals(t["cells"]))
@@ -568,8 +568,8 @@ es AS (SELECT m.query_id, m.memory_id, greatest(1, count(*) FILTER (contains(c.t
   FROM m JOIN cells c ON c.mem_cell_id = m.memory_id JOIN qe q ON q.query_id = m.query_id JOIN n ON n.query_id = m.query_id
   GROUP BY 1, 2),
 every AS (SELECT query_id, channel, memory_id, rank FROM hits
-  UNION ALL SELECT query_id, 'entity', memory_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) - 1 FROM es
-    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, memory_id) <= 20
+  UNION ALL SELECT query_id, 'entity', memory_id, row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 FROM es
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) <= 20
   UNION ALL SELECT query_id, 'graph', memory_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, memory_id) - 1 FROM m
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pos, memory_id) <= 20),
 fz AS (SELECT query_id, memory_id, sum(CASE channel WHEN 'bm25' THEN 0.4::DOUBLE WHEN 'vector' THEN 0.6::DOUBLE ELSE 0.15::DOUBLE END

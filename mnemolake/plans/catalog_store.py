@@ -256,7 +256,7 @@ w AS (SELECT query_id, tenant_id, user_id, unnest(['gone', concat('d', CAST(subs
 SELECT query_id, mem_cell_id, min(pos) AS pos, any_value(length(text)) AS n_chars
 FROM w JOIN cells USING (tenant_id, user_id, mem_cell_id) GROUP BY 1, 2""")
 def _(t):
-    item = F.substring("query_id", 2, 20)
+    item = F.col("item_id").cast("string")
     far = F.concat(F.lit("d"), (item.cast("bigint") + 60).cast("string"))
     ids = F.array(F.lit("gone"), far, F.concat(F.lit("d"), item), far)
     requests = t["queries"].select("query_id", *SCOPE, ids.alias("ids"))

@@ -133,7 +133,7 @@ def job_retrieve(
     kept = store.threshold_filter(boosted, threshold)
     if lam is None:
         return ranking.final_topk(kept, top_k)
-    return ranking.mmr_rerank(kept, cells, max(1, min(100, top_k)), lam)
+    return ranking.mmr_rerank(kept, cells, ranking.checked_topk(top_k), lam)
 
 
 # --- feedback -----------------------------------------------------------------------------------------------------

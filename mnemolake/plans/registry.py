@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame
 
 from mnemolake.sources.views import Tables, with_views
 
+# What ranks compare, in SQL: a score at twelve significant digits. `SIGNIFICANT(score)` in a query's SQL stands for it.
+SIGNIFICANT = (
+    "CASE WHEN score = 0 THEN 0 ELSE sign(score) * round(abs(score) * pow(10, 11 - floor(log10(abs(score)))))"
+    " * pow(10, floor(log10(abs(score))) - 11) END"
+)
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -18,7 +23,7 @@ def query(name: str, views: str = "", sql: str | None = None):
     def add(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_views(views, sql)
+            ORACLES[name] = with_views(views, sql).replace("SIGNIFICANT(score)", SIGNIFICANT)
         return build
 
     return add

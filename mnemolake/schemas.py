@@ -1,6 +1,8 @@
 """Schemas of the stored entities as DDL text. Open fields live in one string map."""
 
 SCOPE = ["tenant_id", "user_id"]
+QUERY = [*SCOPE, "query_id"]  # ids of queries and requests are unique within a scope only
+REQUEST = [*SCOPE, "request_id"]
 
 TURN = (
     "struct<role:string,content:string,turn_index:int,timestamp:timestamp,token_count:int,dia_id:string,"

@@ -44,9 +44,9 @@ FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
 SELECT *, CASE WHEN access_count >= 5 OR age_days < 1 THEN 'ACTIVE' WHEN access_count >= 2 OR age_days < 7 THEN 'WARM'
   WHEN age_days < 90 THEN 'COLD' ELSE 'ARCHIVED' END AS state
 FROM cells""",
-    # Benchmark passages as retrieval requests.
+    # Benchmark passages as retrieval requests; two neighbours share a query id in different tenants.
     "queries": """
-SELECT concat('i', CAST(b.item_id AS STRING)) AS query_id,
+SELECT concat('i', CAST(CAST(floor(b.item_id / 2) AS BIGINT) AS STRING)) AS query_id, b.item_id,
   concat('t', CAST(b.item_id % 3 AS STRING)) AS tenant_id,
   concat('u', CAST(b.item_id % 20 AS STRING)) AS user_id,
   b.text AS query, e.embedding AS query_vec
@@ -129,6 +129,15 @@ class Tables:
         return self.spark.sql(text, **parts)
 
 
+def _by_item(blocks: list[str], text: str) -> str:
+    """The SQL works with one id per query of a scope, which is the item's; only its result has the shared ids."""
+    shared = "concat('i', CAST(CAST(floor(b.item_id / 2) AS BIGINT) AS STRING)) AS query_id"
+    own = [b.replace(shared, "concat('i', CAST(b.item_id AS STRING)) AS query_id") for b in blocks]
+    more = text.upper().startswith("SELECT")
+    inner = "WITH RECURSIVE " + ",\n".join(own) + ("\n" if more else ",\n") + text
+    return f"SELECT * REPLACE (concat('i', CAST(substr(query_id, 2) AS BIGINT) // 2) AS query_id) FROM ({inner})"
+
+
 def with_views(names: str, sql: str) -> str:
     """DuckDB text: the needed views (blank-separated names) as WITH blocks in front of `sql`.
 
@@ -146,6 +155,8 @@ def with_views(names: str, sql: str) -> str:
         add(name)
     blocks = [f"{name} AS ({VIEWS[name].strip()})" for name in order]
     text = sql.strip()
+    if "queries" in order:
+        return _by_item(blocks, text)
     if not text.upper().startswith("SELECT"):
         blocks.append(text)
         return "WITH RECURSIVE " + ",\n".join(blocks)
