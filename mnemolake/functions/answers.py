@@ -16,14 +16,15 @@ def strip_fence(answer: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(FENCE)), strip(F.regexp_extract(text, FENCE, 1))).otherwise(text)
 
 
-def read_json(answer: Column) -> Column:
-    """VARIANT of the whole text, else of the widest [...] or {...} inside it, else null."""
+WIDEST = {"list": r"(?s)\[.*\]", "object": r"(?s)\{.*\}"}
+
+
+def read_json(answer: Column, shapes: tuple[str, ...] = ("list", "object")) -> Column:
+    """VARIANT of the whole text, else of the widest [...] or {...} inside it, in the order of `shapes`, else null."""
     return let(
         strip_fence(answer),
         lambda t: F.coalesce(
-            F.try_parse_json(t),
-            F.try_parse_json(F.regexp_extract(t, r"(?s)\[.*\]", 0)),
-            F.try_parse_json(F.regexp_extract(t, r"(?s)\{.*\}", 0)),
+            F.try_parse_json(t), *[F.try_parse_json(F.regexp_extract(t, WIDEST[shape], 0)) for shape in shapes]
         ),
     )
 

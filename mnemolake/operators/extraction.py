@@ -54,8 +54,10 @@ def semantics(episodes_: DataFrame, responses: DataFrame, max_items: int = 20) -
 
 
 def boundary_answers(responses: DataFrame) -> DataFrame:
-    """request_id, segment, boundary_index, reasoning, confidence; unreadable answers give -1 and 0."""
-    value = read_json(F.col("response"))
+    """request_id, segment, boundary_index, reasoning, confidence; unreadable answers give -1 and 0.
+
+    Only an object is an answer here, so a bracketed list in the prose before it does not matter."""
+    value = read_json(F.col("response"), ("object",))
     parsed = responses.withColumn("_v", F.when(is_object(value), value))
     index = F.coalesce(F.try_variant_get("_v", "$.boundary_index", "int"), F.lit(-1))
     absent = F.variant_get("_v", "$.boundary_index", "variant").isNull()

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.operators.ordered import rank_in_key, runs_in_key, split_hot_keys
+from mnemolake.schemas import REQUEST, SCOPE
 
 
 def _sessions(requests: DataFrame) -> DataFrame:
@@ -95,21 +96,22 @@ def event_minutes(moment: Column) -> Column:
 def gap_segments(raws: DataFrame, gap_min: float = 30, rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Segments by the time rule alone: a gap above `gap_min` minutes starts a new one."""
     return runs_in_key(
-        raws, ["request_id"], [F.col("pos"), F.col("raw_id")], F.col("event_min"),
+        raws, REQUEST, [F.col("pos"), F.col("raw_id")], F.col("event_min"),
         lambda before, now: (now - before) > gap_min, "segment", rows_per_chunk,
     )
 
 
 def _fold_small(raws: DataFrame, gap_min: float, max_turns: int, max_tokens: int) -> DataFrame:
     """The sequential rule as one array fold per request."""
-    rest = [c for c in raws.columns if c not in ("request_id", "pos", "raw_id")]
-    by_pos = lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
-    grouped = raws.groupBy("request_id").agg(
+    rest = [c for c in raws.columns if c not in (*REQUEST, "pos", "raw_id")]
+    place = lambda r: F.struct(r["pos"], r["raw_id"])
+    by_pos = lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0)
+    grouped = raws.groupBy(*REQUEST).agg(
         F.array_sort(F.collect_list(F.struct("pos", "raw_id", *rest)), by_pos).alias("_rows")
     )
     slim = F.transform(
         "_rows",
-        lambda r: F.struct(r["event_min"].cast("double").alias("at"), F.length(r["content"]).alias("chars")),
+        lambda r: F.struct(r["event_min"].cast("double").alias("at"), F.coalesce(F.length(r["content"]), F.lit(0)).alias("chars")),
     )
     start = F.struct(
         F.lit(-1).alias("segment"), F.lit(0).alias("turns"), F.lit(0).alias("chars"),
@@ -135,8 +137,8 @@ def _fold_small(raws: DataFrame, gap_min: float, max_turns: int, max_tokens: int
     numbers = F.aggregate(slim, start, step, lambda acc: acc["out"])
     pairs = F.explode(F.arrays_zip(F.col("_rows").alias("row"), numbers.alias("segment")))
     return (
-        grouped.select("request_id", pairs.alias("_p"))
-        .select("request_id", "_p.row.*", F.col("_p.segment").cast("bigint").alias("segment"))
+        grouped.select(*REQUEST, pairs.alias("_p"))
+        .select(*REQUEST, "_p.row.*", F.col("_p.segment").cast("bigint").alias("segment"))
         .select(*raws.columns, "segment")
     )
 
@@ -167,13 +169,13 @@ def _fold_large(raws: DataFrame, gap_min, max_turns, max_tokens, rows_per_chunk)
     walked from every such start; chaining these maps gives the true start of each chunk.
     """
     slim = raws.select(
-        "request_id", "pos", "raw_id", F.col("event_min").cast("double").alias("at"),
-        F.length("content").alias("chars"),
+        *REQUEST, "pos", "raw_id", F.col("event_min").cast("double").alias("at"),
+        F.coalesce(F.length("content"), F.lit(0)).alias("chars"),
     )
     chunks, _ = split_hot_keys(
-        slim, ["request_id"], [F.col("pos"), F.col("raw_id")], rows_per_chunk, min_rows=4 * max_turns
+        slim, REQUEST, [F.col("pos"), F.col("raw_id")], rows_per_chunk, min_rows=4 * max_turns
     )
-    tail = Window.partitionBy("request_id", "_chunk").orderBy(F.col("pos").desc())
+    tail = Window.partitionBy(*REQUEST, "_chunk").orderBy(F.col("pos").desc(), F.col("raw_id").desc())
     halo = (
         chunks.withColumn("_r", F.row_number().over(tail)).filter(F.col("_r") <= max_turns).drop("_r")
         .withColumn("_chunk", F.col("_chunk") + 1).withColumn("halo", F.lit(True))
@@ -182,20 +184,20 @@ def _fold_large(raws: DataFrame, gap_min, max_turns, max_tokens, rows_per_chunk)
     framed = chunks.withColumn("halo", F.lit(False)).unionByName(halo)
 
     def split(pdf):
-        pdf = pdf.sort_values("pos", kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["pos", "raw_id"], kind="stable").reset_index(drop=True)
         return pdf, int(pdf["halo"].sum())
 
     def maps(key, pdf):
         rows, first = split(pdf)
         if first == len(rows):
-            return pd.DataFrame(columns=["request_id", "_chunk", "start_in", "start_out", "cuts"])
+            return pd.DataFrame(columns=[*group, "start_in", "start_out", "cuts"])
         out, known = [], None
         for begin in range(first) if first else [0]:
             walk = _walk(rows, first, begin, gap_min, max_turns, max_tokens, known)
             known = walk
             cuts = len({b for b in walk if b >= first})
-            out.append((key[0], key[1], rows["pos"][begin], rows["pos"][walk[-1]], cuts))
-        return pd.DataFrame(out, columns=["request_id", "_chunk", "start_in", "start_out", "cuts"])
+            out.append((*key, rows["raw_id"][begin], rows["raw_id"][walk[-1]], cuts))
+        return pd.DataFrame(out, columns=[*group, "start_in", "start_out", "cuts"])
 
     def compose(key, pdf):
         pdf = pdf.sort_values("_chunk")
@@ -203,47 +205,51 @@ def _fold_large(raws: DataFrame, gap_min, max_turns, max_tokens, rows_per_chunk)
         for chunk, part in pdf.groupby("_chunk", sort=True):
             row = part if open_at is None else part[part["start_in"] == open_at]
             if len(row) != 1:
-                raise ValueError(f"open segment of {key[0]} is older than the rows kept before chunk {chunk}")
-            out.append((key[0], chunk, row["start_in"].iloc[0], done))
+                raise ValueError(f"open segment of {key} is older than the rows kept before chunk {chunk}")
+            out.append((*key, chunk, row["start_in"].iloc[0], done))
             open_at, done = row["start_out"].iloc[0], done + int(row["cuts"].iloc[0])
-        return pd.DataFrame(out, columns=["request_id", "_chunk", "start_in", "done"])
+        return pd.DataFrame(out, columns=[*group, "start_in", "done"])
 
     def replay(key, pdf):
         rows, first = split(pdf)
         if first == len(rows):
-            return pd.DataFrame(columns=["request_id", "pos", "segment"])
-        begin = int(rows.index[rows["pos"] == rows["start_in"]][0])
+            return pd.DataFrame(columns=[*REQUEST, "pos", "raw_id", "segment"])
+        begin = int(rows.index[rows["raw_id"] == rows["start_in"]][0])
         walk = pd.Series(_walk(rows, first, begin, gap_min, max_turns, max_tokens))
         fresh = walk != walk.shift(fill_value=-1 if first == 0 else begin)
         number = fresh.cumsum().to_numpy() + int(rows["done"].iloc[0]) - 1
-        names = np.full(len(walk), key[0], dtype=object)
-        return pd.DataFrame({"request_id": names, "pos": rows["pos"].to_numpy()[first:], "segment": number})
+        return rows.iloc[first:][[*REQUEST, "pos", "raw_id"]].assign(segment=number)
 
-    group = ["request_id", "_chunk"]
+    group = [*REQUEST, "_chunk"]
+    named = "".join(f"{c} string, " for c in REQUEST)
     ends = framed.groupBy(*group).applyInPandas(
-        maps, "request_id string, _chunk bigint, start_in bigint, start_out bigint, cuts bigint"
+        maps, named + "_chunk bigint, start_in string, start_out string, cuts bigint"
     )
-    starts = ends.groupBy("request_id").applyInPandas(
-        compose, "request_id string, _chunk bigint, start_in bigint, done bigint"
+    starts = ends.groupBy(*REQUEST).applyInPandas(
+        compose, named + "_chunk bigint, start_in string, done bigint"
     )
     numbered = framed.join(starts, group).groupBy(*group).applyInPandas(
-        replay, "request_id string, pos bigint, segment bigint"
+        replay, named + "pos bigint, raw_id string, segment bigint"
     )
-    return raws.join(numbered, ["request_id", "pos"]).select(*raws.columns, "segment")
+    return raws.join(numbered, [*REQUEST, "pos", "raw_id"]).select(*raws.columns, "segment")
 
 
 def segment(
     raws: DataFrame, gap_min: float = 30, max_turns: int = 20, max_tokens: int = 512,
     fold_rows: int = 500, rows_per_chunk: int = 50_000,
 ) -> DataFrame:
-    """Full segmentation per request: time gap, number of turns, or size of the open segment starts a new one."""
-    counts = raws.groupBy("request_id").count().filter(F.col("count") > fold_rows)
+    """Full segmentation per request of a scope: time gap, number of turns, or size of the open segment starts a new one.
+
+    Rows are ordered by pos and raw_id, which is unique within a request; null content counts as no characters. Requests
+    above `fold_rows` rows are worked off in chunks by the same rule, with the same result.
+    """
+    counts = raws.groupBy(*REQUEST).count().filter(F.col("count") > fold_rows)
     if counts.isEmpty():
         return _fold_small(raws, gap_min, max_turns, max_tokens)
-    long_ids = counts.select("request_id")
-    small = _fold_small(raws.join(long_ids, "request_id", "left_anti"), gap_min, max_turns, max_tokens)
+    long_ids = counts.select(*REQUEST)
+    small = _fold_small(raws.join(long_ids, REQUEST, "left_anti"), gap_min, max_turns, max_tokens)
     large = _fold_large(
-        raws.join(long_ids, "request_id", "left_semi"), gap_min, max_turns, max_tokens, rows_per_chunk
+        raws.join(long_ids, REQUEST, "left_semi"), gap_min, max_turns, max_tokens, rows_per_chunk
     )
     return small.unionByName(large)
 
@@ -251,37 +257,46 @@ def segment(
 def split_at(segmented: DataFrame, answers: DataFrame) -> DataFrame:
     """Cut segments once more at a model's boundary index (0 < index < size), then renumber per request.
 
-    `answers`: request_id, segment, boundary_index.
+    `answers`: scope, request_id, segment, boundary_index.
     """
-    place = Window.partitionBy("request_id", "segment").orderBy("pos")
+    part = [*REQUEST, "segment"]
+    place = Window.partitionBy(*part).orderBy("pos", "raw_id")
     joined = (
         segmented.withColumn("_i", F.row_number().over(place) - 1)
-        .join(answers.select("request_id", "segment", "boundary_index"), ["request_id", "segment"], "left")
+        .join(answers.select(*part, "boundary_index"), part, "left")
     )
     valid = F.coalesce(F.col("boundary_index") > 0, F.lit(False)) & (F.col("_i") >= F.col("boundary_index"))
     halves = joined.withColumn("_half", valid.cast("int"))
-    per_part = halves.select("request_id", "segment", "_half").distinct()
+    per_part = halves.select(*part, "_half").distinct()
     order = [F.col("segment"), F.col("_half")]
-    renumbered = rank_in_key(per_part, ["request_id"], order, "_rank").withColumn("_new", F.col("_rank") - 1)
+    renumbered = rank_in_key(per_part, REQUEST, order, "_rank").withColumn("_new", F.col("_rank") - 1)
     return (
-        halves.join(renumbered, ["request_id", "segment", "_half"])
+        halves.join(renumbered, [*part, "_half"])
         .withColumn("segment", F.col("_new"))
         .select(*segmented.columns)
     )
 
 
 def segment_sizes(segmented: DataFrame) -> DataFrame:
-    return segmented.groupBy("request_id", "segment").agg(F.count(F.lit(1)).alias("n_turns"))
+    return segmented.groupBy(*REQUEST, "segment").agg(F.count(F.lit(1)).alias("n_turns"))
+
+
+def scoped_request() -> Column:
+    """tenant/user/request, with empty text for what is null."""
+    return F.array_join(F.array(*REQUEST), "/", "")
 
 
 def build_cells(segmented: DataFrame) -> DataFrame:
-    """One cell per segment (a segment is bounded by the segmentation limits); scope and time of its first raw."""
-    first = F.struct("pos", "tenant_id", "user_id", "session_id", "event_min")
+    """One cell per segment (a segment is bounded by the segmentation limits); session and time of its first raw.
+
+    The cell's id holds the scope: request ids are unique within a tenant and user only.
+    """
+    first = F.struct("pos", "raw_id", "session_id", "event_min")
     rows = F.sort_array(F.collect_list(F.struct("pos", "raw_id", "content")))
-    grouped = segmented.groupBy("request_id", "segment").agg(F.min(first).alias("_f"), rows.alias("_r"))
+    grouped = segmented.groupBy(*REQUEST, "segment").agg(F.min(first).alias("_f"), rows.alias("_r"))
     return grouped.select(
-        F.concat_ws("#", "request_id", "segment").alias("mem_cell_id"),
-        F.col("_f.tenant_id"), F.col("_f.user_id"), F.col("_f.session_id"), "request_id", "segment",
+        F.concat(scoped_request(), F.lit("#"), F.col("segment").cast("string")).alias("mem_cell_id"),
+        *SCOPE, F.col("_f.session_id"), "request_id", "segment",
         F.transform("_r", lambda r: r["raw_id"]).alias("raw_data_ids"),
         F.array_join(F.transform("_r", lambda r: r["content"]), "\n").alias("text"),
         F.col("_f.event_min"),

@@ -33,6 +33,20 @@ def hit_update(cells: DataFrame, hits: DataFrame, delta: float = 0.1, s_max: flo
     )
 
 
+def targeted(feedback: DataFrame) -> DataFrame:
+    """Feedback with its target cell: `mem_cell_id`, else `memory_id` where the table has one."""
+    if "memory_id" not in feedback.columns:
+        return feedback
+    return feedback.withColumn("mem_cell_id", F.coalesce("mem_cell_id", "memory_id"))
+
+
+def touched_at(cells: DataFrame) -> Column:
+    """Microseconds of the cell's last change, null where it is unknown."""
+    if "updated_at" not in cells.columns:
+        return F.lit(None).cast("bigint")
+    return F.unix_micros(F.col("updated_at").cast("timestamp"))
+
+
 def _bounded(value: Column, s_max: float) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(s_max))
 
@@ -43,15 +57,17 @@ def feedback_fold(
 ) -> DataFrame:
     """Replay feedback in time order: S = clip(S + eta * signal - lam * days since the last event, 0, s_max).
 
+    The first event counts its days from the cell's `updated_at`, where that is known.
+
     One step is x -> clip(x + a, lo, hi), and such steps compose to one of the same form, so a cell with any
     number of events is folded chunk by chunk in parallel and the chunk results are chained.
     """
     key = [*SCOPE, "mem_cell_id"]
     order = [F.col("ts"), F.col("event_id")]
-    known = feedback.join(cells.select(*key), key, "left_semi")
+    known = targeted(feedback).join(cells.select(*key, touched_at(cells).alias("_touched")), key)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     timed = previous_in_key(known.withColumn("_at", micros), key, order, F.col("_at"), "_before", rows_per_chunk)
-    days = F.greatest(F.lit(0.0), F.coalesce(F.col("_at") - F.col("_before"), F.lit(0)) / 86_400_000_000.0)
+    days = F.greatest(F.lit(0.0), F.coalesce(F.col("_at") - F.coalesce("_before", "_touched"), F.lit(0)) / 86_400_000_000.0)
     step = eta * signal_map(F.col("feedback_type"), F.col("signal_value")) - lam * days
     slim = timed.select(
         *key, "ts", "event_id", step.alias("a"), F.col("feedback_type").isin(*ACCESS_FEEDBACK).cast("int").alias("used")

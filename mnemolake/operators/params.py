@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from mnemolake.functions.core import hash_bucket
 from mnemolake.operators.ordered import rank_in_key
 
-ENTRY = ["category", "scope", "scope_id", "name"]
+COUNTED = ["category", "scope", "scope_id"]  # versions count up here, over all names
+ENTRY = [*COUNTED, "name"]
 LAYERS = ("global", "tenant", "user", "request")
 
 
@@ -76,13 +77,13 @@ def variant_assign(users: DataFrame, rules: DataFrame, now: Column) -> DataFrame
 
 
 def param_write(entries: DataFrame, writes: DataFrame, **chunking) -> DataFrame:
-    """Writes as the next versions of their entries, in order of `updated_at` and `seq`; new entries start at 1."""
-    heads = entries.groupBy(*ENTRY).agg(F.max("version").alias("_head"))
+    """Writes as the next versions of their category and scope, in order of `updated_at` and `seq`; the first one is 1."""
+    heads = entries.groupBy(*COUNTED).agg(F.max("version").alias("_head"))
     order = [F.col("updated_at"), F.col("seq")]
-    ranked = rank_in_key(writes, ENTRY, order, "_place", **chunking)
-    head = heads.select(*[F.col(c).alias(f"_h_{c}") for c in ENTRY], "_head")
+    ranked = rank_in_key(writes, COUNTED, order, "_place", **chunking)
+    head = heads.select(*[F.col(c).alias(f"_h_{c}") for c in COUNTED], "_head")
     same = F.lit(True)
-    for c in ENTRY:
+    for c in COUNTED:
         same = same & F.col(c).eqNullSafe(F.col(f"_h_{c}"))
     version = (F.coalesce("_head", F.lit(0)) + F.col("_place")).cast("int")
     return ranked.join(head, same, "left").withColumn("version", version).select(*entries.columns)
@@ -91,16 +92,17 @@ def param_write(entries: DataFrame, writes: DataFrame, **chunking) -> DataFrame:
 def param_history(entries: DataFrame) -> DataFrame:
     """All versions with the time each was archived, i.e. when the next version of its entry was written.
 
-    Versions of an entry count up by one, so the successor is an equi-join: no ordering of a hot entry.
+    The versions of an entry are ranked, also within a hot one, and the successor is an equi-join on the rank.
     """
-    later = entries.select(
-        *[F.col(c).alias(f"_{c}") for c in ENTRY], (F.col("version") - 1).alias("_v"),
+    ranked = rank_in_key(entries, ENTRY, [F.col("version")], "_place")
+    later = ranked.select(
+        *[F.col(c).alias(f"_{c}") for c in ENTRY], (F.col("_place") - 1).alias("_v"),
         F.col("updated_at").alias("archived_at"),
     )
-    same = (F.col("version") == F.col("_v"))
+    same = (F.col("_place") == F.col("_v"))
     for c in ENTRY:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return entries.join(later, same, "left").select(
+    return ranked.join(later, same, "left").select(
         *entries.columns, "archived_at", F.col("archived_at").isNull().alias("is_current")
     )
 
@@ -110,7 +112,7 @@ def param_rollback(entries: DataFrame, requests: DataFrame) -> DataFrame:
 
     requests: category, scope, scope_id, target_version, actor, at.
     """
-    scope = ["category", "scope", "scope_id"]
+    scope = COUNTED
     heads = entries.groupBy(*scope).agg(F.max("version").alias("_head"))
     wanted = requests.select(
         *[F.col(c).alias(f"_{c}") for c in scope], F.col("target_version"), F.col("actor").alias("_actor"), "at"

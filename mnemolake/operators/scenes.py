@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 
 import numpy as np
@@ -24,6 +25,16 @@ def scene_key(cells: DataFrame) -> Column:
     return F.coalesce(*given, F.concat(F.lit("u:"), F.col("user_id")))
 
 
+TIMELESS = float("inf")
+
+
+def cell_days(cells: DataFrame) -> Column:
+    given = [F.col("at").cast("double")]
+    if "created_at" in cells.columns:
+        given.append(F.unix_micros(F.col("created_at").cast("timestamp")) / 86_400_000_000.0)
+    return F.coalesce(*given, F.lit(TIMELESS))
+
+
 class SceneState:
     """Open scenes of one key: at most `max_scenes`, the least recently touched leaves first."""
 
@@ -49,7 +60,7 @@ class SceneState:
         else:
             size = len(best["members"]) + 1
             best["centroid"] = (best["centroid"] * (size - 1) + x) / size
-            best["last"] = at
+            best["last"] = at if math.isfinite(at) else best["last"]
             new = False
         best["members"].append(cell_id)
         self.members[cell_id] = best
@@ -67,7 +78,7 @@ class SceneState:
         open_ones = [
             s for s in self.scenes
             if s["centroid"] is not None and len(s["members"]) < self.max_size
-            and abs(at - s["last"]) <= self.gap and len(s["centroid"]) == len(x)
+            and (not math.isfinite(at) or not math.isfinite(s["last"]) or abs(at - s["last"]) <= self.gap) and len(s["centroid"]) == len(x)
         ]
         if not open_ones:
             return None, 0.0
@@ -86,18 +97,20 @@ def cluster_scenes(
     cells: DataFrame, sim: float = 0.65, gap_days: float = 7, max_size: int = 50, max_scenes: int = 256,
     rows_per_chunk: int = 20_000,
 ) -> DataFrame:
-    """Assign cells to scenes. `at` is the cell time in days.
+    """Assign cells to scenes. `at` is the cell time in days, else `created_at` where the cells have it.
+
+    A cell without either comes after the others of its key and meets every time window, so it is never left out.
 
     A time gap above `gap_days` makes every older scene unreachable, so a key is first cut into runs at such gaps
     (exact, and parallel); inside a run the greedy rule is sequential with a bounded state.
     """
     keyed = cells.withColumn("scene_key", F.concat_ws("|", *SCOPE, scene_key(cells))).select(
-        "scene_key", *SCOPE, "mem_cell_id", F.col("at").cast("double").alias("at"), "embedding"
+        "scene_key", *SCOPE, "mem_cell_id", cell_days(cells).alias("at"), "embedding"
     )
     order = [F.col("at"), F.col("mem_cell_id")]
     runs = runs_in_key(
-        keyed.filter(F.col("at").isNotNull()), ["scene_key"], order, F.col("at"),
-        lambda before, now: (now - before) > gap_days, "run",
+        keyed, ["scene_key"], order, F.col("at"),
+        lambda before, now: ((now - before) > gap_days) & (now < TIMELESS), "run",
     )
 
     def step(key, pdf: pd.DataFrame, state: bytes | None):
@@ -110,7 +123,8 @@ def cluster_scenes(
         return pd.DataFrame(out, columns=[f.split()[0] for f in ASSIGNED.split(",")]), pickle.dumps(scenes)
 
     done = sequential_fold(runs, ["scene_key", "run"], ["at", "mem_cell_id"], step, ASSIGNED, rows_per_chunk)
-    return done.select(*SCOPE, "mem_cell_id", "at", F.col("scene").alias("scene_id"), "similarity", "is_new")
+    at = F.when(F.col("at") < TIMELESS, F.col("at")).alias("at")
+    return done.select(*SCOPE, "mem_cell_id", at, F.col("scene").alias("scene_id"), "similarity", "is_new")
 
 
 def scene_centroid(members: DataFrame) -> DataFrame:

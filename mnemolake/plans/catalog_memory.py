@@ -180,7 +180,7 @@ FOLD_SQL = """
 f AS (SELECT fb.*, c.strength, c.access_count, CASE WHEN signal_value <> 0 THEN signal_value ELSE CASE feedback_type
     WHEN 'explicit_confirm' THEN 1::DOUBLE WHEN 'positive' THEN 0.3::DOUBLE WHEN 'negative' THEN -0.5::DOUBLE
     WHEN 'correction' THEN -2::DOUBLE ELSE 0 END END AS sig,
-  coalesce((epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY fb.mem_cell_id ORDER BY ts, event_id))) / 86400e6, 0) AS days
+  coalesce((epoch_us(ts) - epoch_us(coalesce(lag(ts) OVER (PARTITION BY fb.mem_cell_id ORDER BY ts, event_id), c.updated_at))) / 86400e6, 0) AS days
   FROM feedback fb JOIN cells c USING (mem_cell_id, tenant_id, user_id)),
 g AS (SELECT mem_cell_id, tenant_id, user_id, any_value(strength) AS old_strength,
   any_value(access_count) + count(*) FILTER (feedback_type IN ('positive', 'explicit_confirm')) AS access_count,
@@ -505,7 +505,7 @@ def _(t):
     answer = F.when(
         F.col("turn") % 3 == 0,
         F.concat(F.lit('```json\n{"boundary_index": '), n, F.lit(', "reasoning": "topic", "confidence": 0.5}\n```')),
-    ).when(F.col("turn") % 3 == 1, F.lit('I think {"boundary_index": 2} fits')).otherwise("cannot say")
+    ).when(F.col("turn") % 3 == 1, F.lit('Options [1, 2]: {"boundary_index": 2} fits')).otherwise("cannot say")
     return extraction.boundary_answers(t["turns"].select("request_id", "turn", answer.alias("response")))
 
 

@@ -9,17 +9,15 @@ from mnemolake.functions.text import numbered_text
 from mnemolake.operators import ingest, store
 from mnemolake.plans import jobs
 from mnemolake.plans.registry import query
-from mnemolake.schemas import SCOPE
+from mnemolake.schemas import REQUEST, SCOPE
 from mnemolake.sources.views import Tables
 
 
-BLOCK = 1000  # turns of one conversation per request
-
-
 def nested_requests(t: Tables) -> DataFrame:
     """Conversations as nested ingest requests, two sessions each; a conversation is one session's turns.
 
-    A conversation of more than BLOCK turns goes into several requests, as no request may grow without bound.
+    Request ids repeat in three tenants. A third of the requests has no idempotency key; the others repeat a key of their
+    scope every ten hours, so some repeats come within its life of 24 hours and some after it.
     """
     at = lambda minutes: F.timestamp_seconds(minutes * 60)
     conv = F.col("conv_id")
@@ -32,8 +30,7 @@ def nested_requests(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("img_url"), F.lit(None).cast("string").alias("caption"),
         F.lit(None).cast("string").alias("extra"),
     )
-    part = F.floor(F.col("turn") / BLOCK).cast("bigint")
-    sessions = t["turns"].groupBy("conv_id", "session_id", part.alias("part")).agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    sessions = t["turns"].groupBy("conv_id", "session_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
     session = F.struct(
         (conv % 2).alias("at"), F.col("session_id"), F.col("turns"),
         F.when(conv % 3 == 0, at(conv * 360)).alias("session_date"),
@@ -43,15 +40,15 @@ def nested_requests(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("session_observation"), F.lit(None).cast("string").alias("extra"),
     )
     number = F.floor(conv / 2).cast("bigint")
-    grouped = sessions.groupBy(number.alias("r"), "part").agg(F.sort_array(F.collect_list(session)).alias("history_sessions"))
+    grouped = sessions.groupBy(number.alias("r")).agg(F.sort_array(F.collect_list(session)).alias("history_sessions"))
     name = lambda prefix, value: F.concat(F.lit(prefix), value.cast("string"))
     r = F.col("r")
-    suffix = F.when(F.col("part") > 0, name(".", F.col("part"))).otherwise("")
+    hours = F.floor(r / 15) * 10
     return grouped.select(
-        F.concat(name("r", r), suffix).alias("request_id"), name("t", r % 3).alias("tenant_id"), name("u", r % 20).alias("user_id"),
-        F.lit("CONVERSATION").alias("raw_data_type"), at(r * 720 + 2).alias("event_time"),
+        name("r", F.floor(r / 3)).alias("request_id"), name("t", r % 3).alias("tenant_id"), name("u", r % 5).alias("user_id"),
+        F.lit("CONVERSATION").alias("raw_data_type"), at(hours * 60 + 2).alias("event_time"),
         name("a", r % 2).alias("agent_id"), F.lit("").alias("agent_role"), F.lit(None).cast("string").alias("adiu"),
-        F.lit(None).cast("string").alias("session_id"), F.concat(name("k", F.floor(r / 2)), suffix).alias("idempotency_key"),
+        F.lit(None).cast("string").alias("session_id"), F.when(r % 3 > 0, name("k", r % 2)).alias("idempotency_key"),
         F.lit(0).alias("min_read_consistency"),
         F.create_map(F.lit("src"), F.lit("test"), F.lit("agent_id"), F.lit("x")).alias("metadata"),
         "history_sessions",
@@ -59,11 +56,10 @@ def nested_requests(t: Tables) -> DataFrame:
 
 
 NESTED = """
-base AS (SELECT *, CAST(floor(conv_id / 2) AS BIGINT) AS r, conv_id % 2 AS s,
-  CASE WHEN turn >= 1000 THEN concat('.', turn // 1000) ELSE '' END AS suffix FROM turns),
-flat AS (SELECT *, concat('r', r, suffix) AS rq, concat('t', r % 3) AS ten, concat('u', r % 20) AS usr,
+base AS (SELECT *, CAST(floor(conv_id / 2) AS BIGINT) AS r, conv_id % 2 AS s FROM turns),
+flat AS (SELECT *, concat('r', r // 3) AS rq, concat('t', r % 3) AS ten, concat('u', r % 5) AS usr,
   CASE WHEN conv_id % 3 = 0 THEN conv_id * 360 END AS sdate,
-  CASE WHEN conv_id % 3 = 1 THEN conv_id * 360 + 1 END AS sstart, r * 720 + 2 AS rtime FROM base)
+  CASE WHEN conv_id % 3 = 1 THEN conv_id * 360 + 1 END AS sstart, r // 15 * 600 + 2 AS rtime FROM base)
 """
 
 
@@ -72,7 +68,7 @@ def _minutes(column: str):
 
 
 @query("raw_per_turn", "turns", NESTED + """
-SELECT concat(rq, ':', s, ':', turn % 1000) AS raw_id, ten AS tenant_id, usr AS user_id, session_id,
+SELECT concat(rq, ':', s, ':', turn) AS raw_id, ten AS tenant_id, usr AS user_id, session_id,
   concat(role, ': ', text) AS content,
   coalesce(CASE WHEN turn % 2 = 0 THEN event_min END, sdate, sstart, rtime) AS event_minute FROM flat""")
 def _(t):
@@ -81,7 +77,7 @@ def _(t):
 
 
 SESSION_RAWS = NESTED + """, sess AS (
-SELECT concat(rq, ':', s) AS raw_id, rq, s, ten AS tenant_id, usr AS user_id, session_id,
+SELECT concat(rq, ':', s) AS raw_id, r, rq, s, ten AS tenant_id, usr AS user_id, session_id,
   string_agg(concat(CASE WHEN turn % 3 = 1 THEN 'ann' ELSE role END, ': ', text), chr(10) ORDER BY turn) AS content,
   any_value(coalesce(sdate, sstart, rtime)) AS event_minute FROM flat GROUP BY ALL)
 """
@@ -95,9 +91,9 @@ def _(t):
 
 
 @query("raw_metadata", "turns", NESTED + """
-SELECT concat(rq, ':', s, ':', turn % 1000) AS raw_id, concat_ws(',', concat('agent_id=a', r % 2),
+SELECT concat(rq, ':', s, ':', turn) AS raw_id, concat_ws(',', concat('agent_id=a', r % 2),
   CASE WHEN turn % 2 = 1 THEN concat('dia_id=D', turn) END, CASE WHEN turn % 4 = 0 THEN 'has_answer=true' END,
-  concat('idempotency_key=k', CAST(floor(r / 2) AS BIGINT), suffix), 'min_read_consistency=0',
+  CASE WHEN r % 3 > 0 THEN concat('idempotency_key=k', r % 2) END, 'min_read_consistency=0',
   CASE WHEN conv_id % 2 = 0 THEN 'speaker_a=ann' END, 'speaker_b=bob', 'src=test',
   concat('turn_index=', turn)) AS metadata FROM flat""")
 def _(t):
@@ -301,15 +297,16 @@ def _(t):
 
 
 @query("gap_segments", "raws", """
-g AS (SELECT *, event_min - lag(event_min) OVER (PARTITION BY request_id ORDER BY pos) > 30 AS cut FROM raws)
+g AS (SELECT *, event_min - lag(event_min) OVER (PARTITION BY tenant_id, user_id, request_id ORDER BY pos) > 30 AS cut FROM raws)
 SELECT raw_id, request_id, CAST(sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER
-  (PARTITION BY request_id ORDER BY pos) AS BIGINT) AS segment FROM g""")
+  (PARTITION BY tenant_id, user_id, request_id ORDER BY pos) AS BIGINT) AS segment FROM g""")
 def _(t):
     return ingest.gap_segments(t["raws"]).select("raw_id", "request_id", "segment")
 
 
 SEGMENTS = """
-ordered AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY pos) AS i FROM raws),
+ordered AS (SELECT * REPLACE (concat(tenant_id, '/', user_id, '/', request_id) AS request_id),
+  row_number() OVER (PARTITION BY tenant_id, user_id, request_id ORDER BY pos, raw_id) AS i FROM raws),
 walk AS (
   SELECT request_id, i, raw_id, event_min, CAST(0 AS BIGINT) AS segment, 1 AS turns, length(content) AS chars
   FROM ordered WHERE i = 1
@@ -326,7 +323,7 @@ def segmented(t: Tables) -> DataFrame:
     return ingest.segment(t["raws"], 30, 3, 256)
 
 
-@query("segment", "raws", SEGMENTS + "SELECT raw_id, request_id, segment FROM walk")
+@query("segment", "raws", SEGMENTS + "SELECT raw_id, split_part(request_id, '/', 3) AS request_id, segment FROM walk")
 def _(t):
     return segmented(t).select("raw_id", "request_id", "segment")
 
@@ -350,10 +347,11 @@ def _(t):
 @query("numbered_text", "raws", SEGMENTS + """,
 p AS (SELECT w.request_id, w.segment, w.i, trim(replace(r.content, chr(10), ' ')) AS line,
   row_number() OVER (PARTITION BY w.request_id, w.segment ORDER BY w.i) - 1 AS n FROM walk w JOIN raws r USING (raw_id))
-SELECT request_id, segment, string_agg(concat('[', n, '] ', line), chr(10) ORDER BY n) AS body FROM p GROUP BY 1, 2""")
+SELECT split_part(request_id, '/', 3) AS request_id, segment, string_agg(concat('[', n, '] ', line), chr(10) ORDER BY n) AS body
+FROM p GROUP BY p.request_id, 2""")
 def _(t):
     lines = F.transform(F.sort_array(F.collect_list(F.struct("pos", "content"))), lambda r: r["content"])
-    return segmented(t).groupBy("request_id", "segment").agg(numbered_text(lines).alias("body"))
+    return segmented(t).groupBy(*REQUEST, "segment").agg(numbered_text(lines).alias("body")).select("request_id", "segment", "body")
 
 
 @query("split_at", "raws", SEGMENTS + """,
@@ -361,11 +359,11 @@ answer AS (SELECT request_id, segment, min(length(raw_id)) % 3 AS b FROM walk GR
 placed AS (SELECT w.*, row_number() OVER (PARTITION BY request_id, segment ORDER BY i) - 1 AS p FROM walk w),
 halves AS (SELECT p.*, CASE WHEN b > 0 AND p.p >= b THEN 1 ELSE 0 END AS half
   FROM placed p JOIN answer USING (request_id, segment))
-SELECT raw_id, request_id, dense_rank() OVER (PARTITION BY request_id ORDER BY segment, half) - 1 AS segment
-FROM halves""")
+SELECT raw_id, split_part(request_id, '/', 3) AS request_id, dense_rank() OVER (PARTITION BY h.request_id ORDER BY segment, half) - 1 AS segment
+FROM halves h""")
 def _(t):
     parts = segmented(t)
-    answers = parts.groupBy("request_id", "segment").agg((F.min(F.length("raw_id")) % 3).alias("boundary_index"))
+    answers = parts.groupBy(*REQUEST, "segment").agg((F.min(F.length("raw_id")) % 3).alias("boundary_index"))
     return ingest.split_at(parts, answers).select("raw_id", "request_id", "segment")
 
 
@@ -378,9 +376,13 @@ def _(t):
 
 
 @query("job_ingest", "turns", SESSION_RAWS + """,
-claimed AS (SELECT min(r) AS r, suffix FROM base GROUP BY r % 3, r % 20, CAST(floor(r / 2) AS BIGINT), suffix),
-kept AS (SELECT *, row_number() OVER (PARTITION BY rq ORDER BY s) AS i FROM sess
-  WHERE rq IN (SELECT concat('r', r, suffix) FROM claimed)),
+asking AS (SELECT DISTINCT r, r % 30 AS c, r // 15 * 10 AS hour FROM base WHERE r % 3 > 0),
+turn_of AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY hour, r) AS n FROM asking),
+claim AS (SELECT r, c, n, hour AS since, true AS own FROM turn_of WHERE n = 1
+  UNION ALL SELECT t.r, t.c, t.n, CASE WHEN t.hour - p.since >= 24 THEN t.hour ELSE p.since END, t.hour - p.since >= 24
+  FROM claim p JOIN turn_of t ON t.c = p.c AND t.n = p.n + 1),
+kept AS (SELECT * REPLACE (concat(tenant_id, '/', user_id, '/', rq) AS rq), row_number() OVER (PARTITION BY r ORDER BY s) AS i FROM sess
+  WHERE r % 3 = 0 OR r IN (SELECT r FROM claim WHERE own)),
 walk AS (SELECT rq, i, raw_id, event_minute, content, tenant_id, user_id, CAST(0 AS BIGINT) AS segment, 1 AS turns,
     length(content) AS chars FROM kept WHERE i = 1
   UNION ALL SELECT o.rq, o.i, o.raw_id, o.event_minute, o.content, o.tenant_id, o.user_id, w.segment + cut,

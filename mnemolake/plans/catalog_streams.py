@@ -52,7 +52,7 @@ def _(t):
     )
 
 
-@query("stream_segment", "raws", SEGMENTS + "SELECT raw_id, request_id, segment FROM walk")
+@query("stream_segment", "raws", SEGMENTS + "SELECT raw_id, split_part(request_id, '/', 3) AS request_id, segment FROM walk")
 def _(t):
     out = streams.stream_segment(live(t, "conversations")["raws"], 30, 3, 256)
     return to_table(out).select("raw_id", "request_id", "segment")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mnemolake.functions.scoring import FactThresholds, compute_state, fsfm_score, retention
 from mnemolake.functions.text import extract_entities
 from mnemolake.operators import extraction, facts, graph, ingest, lifecycle, ranking, recall, reports, scenes, store
+from mnemolake.operators.ordered import sequential_fold
 from mnemolake.schemas import SCOPE
 from mnemolake.session import materialize
 
@@ -19,10 +22,46 @@ from mnemolake.session import materialize
 
 
 def first_claim(rows: DataFrame, key: Sequence[str], order: Column) -> DataFrame:
-    """Batch form of the idempotency claim: the first row per key wins."""
+    """The first row per key wins; a row with a null in its key claims nothing and stays."""
     rest = [c for c in rows.columns if c not in key]
-    won = rows.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r"))
-    return won.select(*key, "_r.*").select(*rows.columns)
+    absent = F.lit(False)
+    for name in key:
+        absent = absent | F.col(name).isNull()
+    won = rows.filter(~absent).groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("_r"))
+    return won.select(*key, "_r.*").select(*rows.columns).unionByName(rows.filter(absent))
+
+
+CLAIM = [*SCOPE, "idempotency_key"]
+CLAIMED = "tenant_id string, user_id string, idempotency_key string, request_id string, claimed_at bigint, holder string"
+
+
+def claims(requests: DataFrame, held: DataFrame | None = None, hours: float = 24, rows_per_chunk: int = 200_000) -> DataFrame:
+    """Idempotency claims of requests with a key: scope, idempotency_key, request_id, claimed_at, holder.
+
+    In order of event_time and request_id, a request holds its key for `hours`; one that comes meanwhile repeats the
+    holder's request, a later one claims anew. `held`: claims of earlier runs (scope, idempotency_key, holder,
+    claimed_at in microseconds). Requests without a key claim nothing and are not in the result.
+    """
+    life = hours * 3_600_000_000
+    at = F.coalesce(F.unix_micros(F.col("event_time").cast("timestamp")), F.lit(0)).alias("at")
+    given = requests.filter(F.col("idempotency_key").isNotNull()).select(*CLAIM, "request_id", at, F.lit(1).alias("now"))
+    if held is not None:
+        given = given.unionByName(
+            held.select(*CLAIM, F.col("holder").alias("request_id"), F.col("claimed_at").alias("at"), F.lit(0).alias("now")).distinct()
+        )
+    given = given.na.fill("", SCOPE)
+
+    def step(key, pdf, state):
+        holder, since = pickle.loads(state) if state else (None, None)
+        out = []
+        for row in pdf.itertuples(index=False):
+            if since is None or row.at - since >= life:
+                holder, since = row.request_id, row.at
+            if row.now:
+                out.append((*key, row.request_id, since, holder))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in CLAIMED.split(", ")]), pickle.dumps((holder, since))
+
+    return sequential_fold(given, CLAIM, ["at", "now", "request_id"], step, CLAIMED, rows_per_chunk)
 
 
 @dataclass(frozen=True)
@@ -31,14 +70,25 @@ class Ingested:
     text_docs: DataFrame
     vectors: DataFrame
     dead_letters: DataFrame
+    claims: DataFrame
 
 
 def job_ingest(
     requests: DataFrame, existing: DataFrame, at: Column, per_turn: bool = False, gap_min: float = 30,
-    max_turns: int = 20, max_tokens: int = 512,
+    max_turns: int = 20, max_tokens: int = 512, held: DataFrame | None = None,
 ) -> Ingested:
-    """Claim, raw records, segments, new cells, and the two derived indexes with their dead letters."""
-    claimed = first_claim(requests, ["tenant_id", "user_id", "idempotency_key"], F.col("request_id"))
+    """Claim, raw records, segments, new cells, and the two derived indexes with their dead letters.
+
+    `held`: the claims of earlier runs, as this job returns them; a repeat is not stored again, and its row in the claims
+    names the request (`holder`) whose cells answer it.
+    """
+    taken = materialize(claims(requests, held), "claims")
+    own = F.coalesce("tenant_id", F.lit("")).alias("_t"), F.coalesce("user_id", F.lit("")).alias("_u")
+    repeated = taken.filter(F.col("holder") != F.col("request_id")).select(
+        F.col("tenant_id").alias("_t"), F.col("user_id").alias("_u"), "request_id", "idempotency_key"
+    )
+    keyed = requests.select("*", *own).join(repeated, ["_t", "_u", "request_id", "idempotency_key"], "left_anti")
+    claimed = keyed.select(*requests.columns)
     raws = (ingest.raw_per_turn if per_turn else ingest.raw_per_session)(claimed)
     timed = raws.withColumn("event_min", ingest.event_minutes(F.col("event_time")))
     cells = ingest.build_cells(ingest.segment(timed, gap_min, max_turns, max_tokens))
@@ -46,7 +96,7 @@ def job_ingest(
         "embedding", F.lit(None).cast("array<float>")
     )
     docs, vectors, dead = store.index_fanout(fresh, at)
-    return Ingested(fresh, docs, vectors, dead)
+    return Ingested(fresh, docs, vectors, dead, taken)
 
 
 # --- cold path ----------------------------------------------------------------------------------------------------
@@ -188,6 +238,6 @@ def job_consolidate(
 
 
 __all__ = [
-    "first_claim", "job_ingest", "job_cold_path", "job_retrieve", "job_feedback", "job_consolidate",
+    "first_claim", "claims", "job_ingest", "job_cold_path", "job_retrieve", "job_feedback", "job_consolidate",
     "retrieval_signals", "recall_channels",
 ]

@@ -11,13 +11,13 @@ from mnemolake.sources.tables import spread
 TEXT_HEAVY = ("documents",)
 
 VIEWS = {
-    # Conversations as an ingest stream; event_min = minutes since an epoch.
+    # Conversations as an ingest stream; event_min = minutes since an epoch. A request id repeats in three tenants.
     "turns": """
 SELECT conv_id, turn, role, text,
   concat('t', CAST(conv_id % 3 AS STRING)) AS tenant_id,
   concat('u', CAST(conv_id % 20 AS STRING)) AS user_id,
   concat('c', CAST(conv_id AS STRING)) AS session_id,
-  concat('q', CAST(conv_id AS STRING)) AS request_id,
+  concat('q', CAST(CAST(floor(conv_id / 3) AS BIGINT) AS STRING)) AS request_id,
   conv_id * 360 + turn * 20 + (conv_id * 7 + turn * 13) % 23 AS event_min
 FROM conversations""",
     # One raw record per turn (pos = order inside the request).
@@ -37,7 +37,8 @@ SELECT concat('d', CAST(d.doc_id AS STRING)) AS mem_cell_id,
   CASE WHEN d.doc_id % 97 = 5 THEN CAST(-10 AS DOUBLE) ELSE (d.doc_id * 11 % 100) / CAST(100 AS DOUBLE) END
     AS importance_score,
   CAST(1 + d.doc_id % 5 AS INT) AS n_raw,
-  CAST(d.doc_id * 29 % 200 AS DOUBLE) + CAST(0.25 AS DOUBLE) AS age_days
+  CAST(d.doc_id * 29 % 200 AS DOUBLE) + CAST(0.25 AS DOUBLE) AS age_days,
+  CASE WHEN d.doc_id % 3 > 0 THEN CAST('2023-12-11 00:00:00' AS TIMESTAMP) END AS updated_at
 FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""",
     # Cells with their lifecycle state.
     "stated": """
@@ -91,10 +92,10 @@ SELECT mem_cell_id, CASE doc_id % 4
   WHEN 2 THEN concat('Here it is: {"summary":"s', CAST(doc_id AS STRING), '","key_entities":[]} Done.')
   ELSE 'no json here' END AS response
 FROM cells""",
-    # Events as versions of parameters: one entry per event user, versions in event order.
+    # Events as versions of parameters: two names per event user, which share one version counter in event order.
     "params": """
 SELECT concat('cat', CAST(user_id % 5 AS STRING)) AS category, 'user' AS scope,
-  concat('u', CAST(user_id AS STRING)) AS scope_id, 'p' AS name, CAST(value AS STRING) AS params,
+  concat('u', CAST(user_id AS STRING)) AS scope_id, concat('p', CAST(event_id % 2 AS STRING)) AS name, CAST(value AS STRING) AS params,
   CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS version,
   ts AS updated_at, event_type AS actor
 FROM events""",

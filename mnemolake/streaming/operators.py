@@ -16,16 +16,22 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from mnemolake.functions.scoring import signal_map
 from mnemolake.operators import store
 from mnemolake.operators.limits import Limiter
-from mnemolake.operators.lifecycle import ACCESS_FEEDBACK
+from mnemolake.operators.lifecycle import ACCESS_FEEDBACK, targeted, touched_at
 from mnemolake.operators.scenes import SceneState, scene_key
-from mnemolake.schemas import SCOPE
+from mnemolake.schemas import REQUEST, SCOPE
 from mnemolake.streaming.runs import run_available
 
 
 def stream_dedupe(stream: DataFrame, key: Sequence[str], ts: str, ttl: str = "24 hours") -> DataFrame:
-    """The first row per key within `ttl` of event time; the watermark bounds the kept keys."""
+    """The first row per key within `ttl` of event time; the watermark bounds the kept keys.
+
+    A row with a null in its key claims nothing: each gets a claim of its own, so none is lost."""
     timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
-    return timed.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(key))
+    absent = F.lit(False)
+    for name in key:
+        absent = absent | F.col(name).isNull()
+    single = timed.withColumn("_claim", F.when(absent, F.uuid()).otherwise(F.lit("")))
+    return single.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([*key, "_claim"]).drop("_claim")
 
 
 class _Folding(StatefulProcessor):
@@ -67,7 +73,7 @@ class _Folding(StatefulProcessor):
 
 class _Segmenter(_Folding):
     order = ["pos", "raw_id"]
-    columns = ["request_id", "raw_id", "pos", "segment"]
+    columns = [*REQUEST, "raw_id", "pos", "segment"]
 
     def __init__(self, gap_min: float, max_turns: int, max_tokens: int) -> None:
         self.gap_min, self.max_turns, self.max_tokens = gap_min, max_turns, max_tokens
@@ -81,14 +87,15 @@ class _Segmenter(_Folding):
         if s["segment"] < 0 or gap or full:
             s.update(segment=s["segment"] + 1, turns=0, chars=0)
         s.update(turns=s["turns"] + 1, chars=s["chars"] + row.chars, last=row.event_min)
-        return key[0], row.raw_id, row.pos, s["segment"]
+        return *key, row.raw_id, row.pos, s["segment"]
 
 
 def stream_segment(raws: DataFrame, gap_min: float = 30, max_turns: int = 20, max_tokens: int = 512) -> DataFrame:
-    slim = raws.select("request_id", "raw_id", "pos", "event_min", F.length("content").alias("chars"))
-    return slim.groupBy("request_id").transformWithStateInPandas(
+    chars = F.coalesce(F.length("content"), F.lit(0)).alias("chars")
+    slim = raws.select(*REQUEST, "raw_id", "pos", "event_min", chars)
+    return slim.groupBy(*REQUEST).transformWithStateInPandas(
         _Segmenter(gap_min, max_turns, max_tokens),
-        "request_id string, raw_id string, pos bigint, segment bigint", "Append", "None",
+        "tenant_id string, user_id string, request_id string, raw_id string, pos bigint, segment bigint", "Append", "None",
     )
 
 
@@ -136,7 +143,8 @@ class _Strength(_Folding):
             if row.batch_day != s["hit"]:  # one hit per batch
                 s.update(s=min(s["s"] + self.delta, self.s_max), access=s["access"] + 1, hit=row.batch_day)
             return None
-        days = 0.0 if s["at"] is None else max(0.0, (row.at - s["at"]) / 86_400_000_000.0)
+        before = row.updated if s["at"] is None else s["at"]
+        days = max(0.0, (row.at - before) / 86_400_000_000.0) if before == before and before is not None else 0.0
         value = s["s"] + self.eta * row.signal - self.lam * days
         s.update(s=max(0.0, min(self.s_max, value)), access=s["access"] + row.used, n=s["n"] + 1, at=row.at)
         return None
@@ -147,23 +155,23 @@ class _Strength(_Folding):
 
 def feedback_events(feedback: DataFrame, cells: DataFrame) -> DataFrame:
     """Feedback as strength events; unknown cells and foreign scopes fall out in the join."""
-    base = cells.select(*SCOPE, "mem_cell_id", "strength", "access_count")
-    return feedback.join(base, [*SCOPE, "mem_cell_id"]).select(
+    base = cells.select(*SCOPE, "mem_cell_id", "strength", "access_count", touched_at(cells).alias("updated"))
+    return targeted(feedback).join(base, [*SCOPE, "mem_cell_id"]).select(
         *SCOPE, "mem_cell_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         F.lit("feedback").alias("kind"), signal_map(F.col("feedback_type"), F.col("signal_value")).alias("signal"),
         F.col("feedback_type").isin(*ACCESS_FEEDBACK).cast("int").alias("used"), F.lit("").alias("batch_day"),
-        F.coalesce("strength", F.lit(0.0)).alias("strength"), "access_count",
+        F.coalesce("strength", F.lit(0.0)).alias("strength"), "access_count", "updated",
     )
 
 
 def hit_events(hits: DataFrame, cells: DataFrame) -> DataFrame:
-    base = cells.select(*SCOPE, "mem_cell_id", "strength", "access_count")
+    base = cells.select(*SCOPE, "mem_cell_id", "strength", "access_count", touched_at(cells).alias("updated"))
     day = F.col("batch_day").cast("string")
     key = [*(c for c in SCOPE if c in hits.columns), "mem_cell_id"]
     return hits.join(base, key).select(
         *SCOPE, "mem_cell_id", "event_id", F.unix_micros(F.col("batch_day").cast("timestamp")).alias("at"),
         F.lit("hit").alias("kind"), F.lit(0.0).alias("signal"), F.lit(0).alias("used"), day.alias("batch_day"),
-        F.coalesce("strength", F.lit(0.0)).alias("strength"), "access_count",
+        F.coalesce("strength", F.lit(0.0)).alias("strength"), "access_count", "updated",
     )
 
 

@@ -10,13 +10,13 @@ from mnemolake.operators import ingest
 from mnemolake.plans import jobs
 from mnemolake.sources.tables import latest_snapshot, read_requests, write_snapshot
 
-RAW = "request_id string, pos bigint, raw_id string, content string, event_min double"
+RAW = "tenant_id string, user_id string, request_id string, pos bigint, raw_id string, content string, event_min double"
 
 
 def raws(spark, per_request):
     data = []
     for request, items in per_request.items():
-        data += [(request, i, f"{request}:{i}", "x" * chars, float(at)) for i, (at, chars) in enumerate(items)]
+        data += [("t", "u", request, i, f"{request}:{i}", "x" * chars, float(at)) for i, (at, chars) in enumerate(items)]
     return spark.createDataFrame(data, RAW)
 
 
@@ -62,17 +62,52 @@ def test_hot_request_without_gaps(spark):
 
 
 def test_gap_segments_and_cells(spark):
-    table = raws(spark, {"q": [(0, 3), (45, 3)]}).withColumns(
-        {"tenant_id": F.lit("t"), "user_id": F.lit("u"), "session_id": F.lit("s")}
-    )
+    table = raws(spark, {"q": [(0, 3), (45, 3)]}).withColumn("session_id", F.lit("s"))
     assert rows(ingest.gap_segments(table), "pos", "segment") == [(0, 0), (1, 1)]
     cells = ingest.build_cells(ingest.segment(table.withColumn("event_min", F.lit(1.0))))
-    assert rows(cells, "mem_cell_id", "raw_data_ids", "text") == [("q#0", ["q:0", "q:1"], "xxx\nxxx")]
+    assert rows(cells, "mem_cell_id", "raw_data_ids", "text") == [("t/u/q#0", ["q:0", "q:1"], "xxx\nxxx")]
+
+
+def test_request_ids_repeat_across_tenants(spark):
+    one = raws(spark, {"q": [(0, 3), (1, 4)]}).withColumn("session_id", F.lit("s"))
+    both = one.unionByName(one.withColumn("tenant_id", F.lit("t2")).withColumn("content", F.lit("other")))
+    cells = ingest.build_cells(ingest.segment(both))
+    assert rows(cells, "mem_cell_id", "text") == [("t/u/q#0", "xxx\nxxxx"), ("t2/u/q#0", "other\nother")]
+    assert ingest.gap_segments(both).count() == 4
+    answers = ingest.segment(both).select("tenant_id", "user_id", "request_id", "segment").distinct().withColumn(
+        "boundary_index", F.when(F.col("tenant_id") == "t", 1)
+    )
+    split = ingest.split_at(ingest.segment(both), answers)
+    assert rows(split, "tenant_id", "pos", "segment") == [("t", 0, 0), ("t", 1, 1), ("t2", 0, 0), ("t2", 1, 0)]
+
+
+def test_large_and_small_requests_follow_one_rule(spark):
+    r = random.Random(5)
+    table = raws(spark, {"q": [(i * 3, r.randint(1, 60)) for i in range(120)]})
+    odd = table.withColumn("pos", F.floor(F.col("pos") / 5)).withColumn("content", F.when(F.length("content") > 9, F.col("content")))
+    small = rows(ingest.segment(odd, 30, 7, 40), "raw_id", "segment")
+    assert len(small) == 120 and small == rows(ingest.segment(odd, 30, 7, 40, fold_rows=50, rows_per_chunk=40), "raw_id", "segment")
+
+
+CLAIMED = "request_id string, tenant_id string, user_id string, idempotency_key string, event_time timestamp"
+
+
+def test_claims_live_a_day_and_across_runs(spark):
+    at = lambda hour: dt.datetime(2026, 1, 1) + dt.timedelta(hours=hour)
+    data = [("a", "t", "u", "k", at(0)), ("b", "t", "u", "k", at(23)), ("c", "t", "u", "k", at(24)), ("d", "t", "u", "k", at(47)),
+            ("a", "t2", "u", "k", at(1)), ("e", "t", "u", None, at(0)), ("f", "t", "u", None, at(0))]
+    table = spark.createDataFrame(data, CLAIMED)
+    first = jobs.claims(table)
+    assert rows(first, "tenant_id", "request_id", "holder") == [("t", "a", "a"), ("t", "b", "a"), ("t", "c", "c"), ("t", "d", "c"), ("t2", "a", "a")]
+    later = jobs.claims(spark.createDataFrame([("g", "t", "u", "k", at(40)), ("h", "t", "u", "k", at(60))], CLAIMED), first)
+    assert rows(later, "request_id", "holder") == [("g", "c"), ("h", "h")]
+    kept = jobs.first_claim(table, ["tenant_id", "user_id", "idempotency_key"], F.col("request_id"))
+    assert rows(kept, "tenant_id", "request_id") == [("t", "a"), ("t", "e"), ("t", "f"), ("t2", "a")]
 
 
 def test_split_at(spark):
     table = ingest.segment(raws(spark, {"q": [(0, 1), (1, 1), (2, 1), (90, 1)]}))
-    answers = spark.createDataFrame([("q", 0, 2), ("q", 1, 1)], "request_id string, segment bigint, boundary_index int")
+    answers = spark.createDataFrame([("t", "u", "q", 0, 2), ("t", "u", "q", 1, 1)], "tenant_id string, user_id string, request_id string, segment bigint, boundary_index int")
     assert rows(ingest.split_at(table, answers), "pos", "segment") == [(0, 0), (1, 0), (2, 1), (3, 2)]
 
 

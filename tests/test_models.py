@@ -26,9 +26,9 @@ def test_generate(spark):
 
 
 def test_pair_scores(spark):
-    pairs = spark.createDataFrame([("q", "a", "x", "xx"), ("q", "b", "x", "y")], "query_id string, memory_id string, query string, text string")
+    pairs = spark.createDataFrame([("t", "u", "q", "a", "x", "xx"), ("t", "u", "q", "b", "x", "y")], "tenant_id string, user_id string, query_id string, memory_id string, query string, text string")
     scored = ranking.pair_scores(pairs, lambda q, t: [float(b.count(a)) for a, b in zip(q, t)])
-    assert rows(scored) == [("q", "a", 2.0), ("q", "b", 0.0)]
+    assert rows(scored) == [("t", "u", "q", "a", 2.0), ("t", "u", "q", "b", 0.0)]
 
 
 def test_prompts(spark):

@@ -34,9 +34,9 @@ def test_segment(spark, tmp_path):
         at = 0
         for pos in range(30):
             at += r.choice([1, 5, 40])
-            data.append((pos, f"q{q}", f"q{q}:{pos:02d}", "x" * r.randint(1, 80), float(at)))
+            data.append((pos, "t", "u", f"q{q}", f"q{q}:{pos:02d}", "x" * r.randint(1, 80), float(at)))
     data.sort()
-    table, stream = stream_of(spark, parts_of(data), "pos bigint, request_id string, raw_id string, content string, event_min double", tmp_path / "in")
+    table, stream = stream_of(spark, parts_of(data), "pos bigint, tenant_id string, user_id string, request_id string, raw_id string, content string, event_min double", tmp_path / "in")
     got = to_table(streams.stream_segment(stream, 30, 4, 30))
     assert rows(got, "raw_id", "segment") == rows(ingest.segment(table, 30, 4, 30), "raw_id", "segment")
 
