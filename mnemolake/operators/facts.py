@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemolake.functions.scoring import FactThresholds, decide
@@ -17,8 +17,18 @@ from mnemolake.session import cut
 # a group of copies of any size is one row in every comparison below.
 
 
-def fact_forms(facts: DataFrame, order: str | None = None) -> DataFrame:
-    """scope, form id, characters, vector, number of facts, first id (and first order)."""
+def self_similarity(w_jaccard: float = 0.4, w_cosine: float = 0.6) -> Column:
+    """Composite similarity of a form with an equal one: below 1 for zero vectors and texts without characters."""
+    jaccard = F.when(F.col("chars") != "", 1.0).otherwise(0.0)
+    cosine = F.when(F.exists("vec", lambda x: x != 0), 1.0).otherwise(0.0)
+    mixed = (w_jaccard * jaccard + w_cosine * cosine) / (w_jaccard + w_cosine)
+    return F.when(F.size("vec") > 0, mixed).otherwise(jaccard)
+
+
+def fact_forms(facts: DataFrame, order: str | None = None, fold_from: float = 0.0) -> DataFrame:
+    """scope, form id, characters, vector, number of facts, first id (and first order).
+
+    Equal facts are one form if their similarity is at least `fold_from`; else each is a form of its own."""
     vector = "embedding" if "embedding" in facts.columns else None
     packed = facts.select(
         *SCOPE, "semantic_id", *([order] if order else []),
@@ -26,7 +36,8 @@ def fact_forms(facts: DataFrame, order: str | None = None) -> DataFrame:
         (F.col(vector).cast("array<double>") if vector else F.lit(None).cast("array<double>")).alias("vec"),
     )
     first = F.min(F.struct(*([order] if order else []), "semantic_id")).alias("_first")
-    grouped = packed.groupBy(*SCOPE, "chars", "vec").agg(first, F.count(F.lit(1)).alias("n"))
+    apart = F.when(self_similarity() < fold_from, F.col("semantic_id")).alias("_apart")
+    grouped = packed.groupBy(*SCOPE, "chars", "vec", apart).agg(first, F.count(F.lit(1)).alias("n"))
     return grouped.select(
         *SCOPE, "chars", "vec", "n", F.col("_first.semantic_id").alias("form_id"),
         *([F.col(f"_first.{order}").alias("at")] if order else []),
@@ -171,14 +182,12 @@ def consolidate_facts(
     """Sequential consolidation per user: a candidate also meets the candidates accepted before it.
 
     A candidate is dropped (NOOP) when a known fact or an earlier accepted candidate is close enough. Only the
-    first of equal candidates can survive, so the rule runs on forms: forms close to a known fact go first, then
+    first of equal candidates can survive (unless even equal ones are not close enough), so the rule runs on forms: forms close to a known fact go first, then
     rounds settle every form whose earlier close forms are all settled. Each round is a join; their number is the
     longest chain of close forms, not the number of candidates.
     """
-    if thresholds.noop > 1:
-        raise ValueError("a NOOP threshold above 1 keeps equal candidates apart; use decide_facts")
     key = [*SCOPE, "form_id"]
-    forms = cut(fact_forms(candidates, order))
+    forms = cut(fact_forms(candidates, order, thresholds.noop))
     known = fact_forms(existing)
     stopped = _compare(forms, known, _close(thresholds.noop), block).select(*key).distinct()
     links = _compare(forms, forms, _close(thresholds.noop), block).select(*key, "target_id")

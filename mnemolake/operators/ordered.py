@@ -19,7 +19,7 @@ from mnemolake.session import materialize, scratch_path
 
 ROWS_PER_CHUNK = 1_000_000
 MAX_CHUNKS = 256
-MAX_LEVELS = 4
+MAX_LEVELS = 8  # of 256 chunks each, far beyond any table; more means that order values are not unique
 SAMPLES_PER_CHUNK = 64
 
 
@@ -59,11 +59,13 @@ def split_hot_keys(
     spec = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
     level, at = 0, [*keys, "_chunk"]
     out = df.withColumn("_chunk", F.lit(0).cast("bigint"))
-    while level < MAX_LEVELS:
+    while True:
         counts = out.groupBy(*(at if level else keys)).agg(F.count(F.lit(1)).alias("_o_n"))
         hot = counts.filter(F.col("_o_n") > rows_per_chunk)
         if hot.isEmpty():
             break
+        if level == MAX_LEVELS:
+            raise ValueError(f"a chunk of {list(keys)} stays above {rows_per_chunk} rows: its order values repeat")
         hot = hot if level else hot.withColumn("_chunk", F.lit(0).cast("bigint"))
         cuts = _splitters(out, hot, at, spec, min_rows, rows_per_chunk)
         inner = F.coalesce(F.size(F.filter("_o_cuts", lambda c: c <= F.col("_o_at"))), F.lit(0))

@@ -5,6 +5,8 @@ Every channel returns query_id, scope, channel, memory_id, score and rank from 0
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -145,18 +147,20 @@ def vector_topk(queries: DataFrame, cells: DataFrame, k: int, metric: str = "COS
 
 
 def vector_ann(
-    queries: DataFrame, cells: DataFrame, k: int, n_cells: int = 64, nprobe: int = 16, seed: int = 7,
-    train_rows: int = 1_000_000, block: int = 4096,
+    queries: DataFrame, cells: DataFrame, k: int, n_cells: int | None = None, nprobe: int | None = None, seed: int = 7,
+    block: int = 4096,
 ) -> DataFrame:
     """Approximate top k: coarse k-means lists, the `nprobe` nearest lists per query, exact scores inside them.
 
-    The centroids are trained on at most about `train_rows` vectors; every vector is assigned to a list.
+    The centroids are trained on all vectors. Their number follows the square root of the vectors' (at most 4096), and a
+    quarter of the lists is probed, unless given. Queries without a vector find nothing.
     """
     stored = materialize(cells.filter(F.size("embedding") > 0).select(*SCOPE, "mem_cell_id", "embedding"), "vectors")
     points = stored.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
     total = points.count()
-    train = points if total <= train_rows else points.sample(train_rows / total, seed=seed)
-    model = KMeans(k=min(n_cells, max(1, total)), seed=seed, maxIter=10).fit(train.select("features"))
+    wanted = n_cells or max(8, min(4096, math.isqrt(total)))
+    probed = nprobe or math.ceil(wanted / 4)
+    model = KMeans(k=min(wanted, max(1, total)), seed=seed, maxIter=10).fit(points.select("features"))
     listed = model.transform(points).select(
         *SCOPE, "mem_cell_id", "embedding", F.col("prediction").alias("list")
     )
@@ -165,9 +169,9 @@ def vector_ann(
     @F.pandas_udf("array<int>")
     def nearest(vectors: pd.Series) -> pd.Series:
         gaps = -_similarity(_matrix(vectors), centers, "L2")
-        return pd.Series(list(np.argsort(gaps, axis=1, kind="stable")[:, :nprobe].astype("int32")))
+        return pd.Series(list(np.argsort(gaps, axis=1, kind="stable")[:, :probed].astype("int32")))
 
-    probes = queries.select(
+    probes = queries.filter(F.size("query_vec") > 0).select(
         "query_id", *SCOPE, "query_vec", F.explode(nearest(F.col("query_vec").cast("array<double>"))).alias("list")
     )
     local = blocked(

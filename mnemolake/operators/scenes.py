@@ -40,12 +40,11 @@ class SceneState:
 
     def __init__(self, sim: float, gap: float, max_size: int, max_scenes: int) -> None:
         self.sim, self.gap, self.max_size, self.max_scenes = sim, gap, max_size, max_scenes
-        self.made = 0
         self.scenes: list[dict] = []  # least recently touched first
         self.members: dict[str, dict] = {}
 
-    def place(self, cell_id: str, vector, at: float) -> tuple[int, float, bool]:
-        """(scene ordinal, similarity, whether it is new) for the next cell in time order."""
+    def place(self, cell_id: str, vector, at: float) -> tuple[str, float, bool]:
+        """(first cell of the scene, similarity, whether it is new) for the next cell in time order."""
         owner = self.members.get(cell_id)
         if owner is not None:
             return self._touch(owner), 1.0, False
@@ -53,8 +52,7 @@ class SceneState:
         x = np.asarray(vector, dtype="float64") if usable else None
         best, score = self._nearest(x, at) if usable else (None, 0.0)
         if best is None:
-            best = {"ordinal": self.made, "centroid": x, "members": [], "last": at}
-            self.made += 1
+            best = {"name": cell_id, "centroid": x, "members": [], "last": at}
             self.scenes.append(best)
             new = True
         else:
@@ -64,15 +62,15 @@ class SceneState:
             new = False
         best["members"].append(cell_id)
         self.members[cell_id] = best
-        ordinal = self._touch(best)
+        name = self._touch(best)
         while len(self.scenes) > self.max_scenes:
             for member in self.scenes.pop(0)["members"]:
                 self.members.pop(member, None)
-        return ordinal, score, new
+        return name, score, new
 
-    def _touch(self, scene: dict) -> int:
+    def _touch(self, scene: dict) -> str:
         self.scenes = [s for s in self.scenes if s is not scene] + [scene]
-        return scene["ordinal"]
+        return scene["name"]
 
     def _nearest(self, x: np.ndarray, at: float):
         open_ones = [
@@ -97,7 +95,7 @@ def cluster_scenes(
     cells: DataFrame, sim: float = 0.65, gap_days: float = 7, max_size: int = 50, max_scenes: int = 256,
     rows_per_chunk: int = 20_000,
 ) -> DataFrame:
-    """Assign cells to scenes. `at` is the cell time in days, else `created_at` where the cells have it.
+    """Assign cells to scenes, which are named by their key and first cell, as in the stream form. `at` is the cell time in days, else `created_at` where the cells have it.
 
     A cell without either comes after the others of its key and meets every time window, so it is never left out.
 
@@ -117,8 +115,8 @@ def cluster_scenes(
         scenes = pickle.loads(state) if state else SceneState(sim, gap_days, max_size, max_scenes)
         out = []
         for row in pdf.itertuples(index=False):
-            ordinal, score, new = scenes.place(row.mem_cell_id, row.embedding, row.at)
-            name = f"{row.scene_key}#{row.run}.{ordinal}"
+            first, score, new = scenes.place(row.mem_cell_id, row.embedding, row.at)
+            name = f"{row.scene_key}#{first}"
             out.append((*key, row.tenant_id, row.user_id, row.mem_cell_id, row.at, name, score, new))
         return pd.DataFrame(out, columns=[f.split()[0] for f in ASSIGNED.split(",")]), pickle.dumps(scenes)
 

@@ -14,9 +14,10 @@ from mnemolake.operators.ordered import rank_in_key
 
 
 def insert_new(existing: DataFrame, incoming: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
-    """Rows of `incoming` that may be inserted: first per key (by `order`), key not stored yet."""
+    """Rows of `incoming` that may be inserted: first per key, key not stored yet. Without `order` the rows of a key are
+    compared as JSON text, which any column type has."""
     rest = [c for c in incoming.columns if c != key]
-    by = F.struct(*(order or rest))
+    by = F.struct(*order) if order else F.to_json(F.struct(*rest))
     first = incoming.groupBy(key).agg(F.min_by(F.struct(*rest), by).alias("_r")).select(key, "_r.*")
     return first.select(*incoming.columns).join(existing.select(key), key, "left_anti")
 

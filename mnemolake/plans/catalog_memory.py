@@ -285,13 +285,13 @@ c AS (SELECT *, CAST(embedding AS DOUBLE[]) AS v, sum(CASE WHEN far THEN 1 ELSE
 o AS (SELECT *, concat(k, '#', {run}) AS g, row_number() OVER (PARTITION BY concat(k, '#', {run})
   ORDER BY at_day, mem_cell_id) AS i FROM c),
 walk AS (
-  SELECT g, i, mem_cell_id, tenant_id, user_id, [{{'c': v, 'n': 1, 't': at_day}}] AS scenes, 0 AS ordinal,
+  SELECT g, i, mem_cell_id, tenant_id, user_id, [{{'c': v, 'n': 1, 't': at_day, 'f': mem_cell_id}}] AS scenes, 0 AS ordinal,
     CAST(0 AS DOUBLE) AS similarity, true AS is_new FROM o WHERE i = 1
   UNION ALL
   SELECT g, i, mem_cell_id, tenant_id, user_id,
-    CASE WHEN p IS NULL THEN list_append(scenes, {{'c': v, 'n': 1, 't': at_day}})
+    CASE WHEN p IS NULL THEN list_append(scenes, {{'c': v, 'n': 1, 't': at_day, 'f': mem_cell_id}})
       ELSE list_concat(list_concat(scenes[1:p-1], [{{'c': list_transform(range(1, len(v) + 1),
-        lambda j: (scenes[p].c[j] * scenes[p].n + v[j]) / (scenes[p].n + 1)), 'n': scenes[p].n + 1, 't': at_day}}]),
+        lambda j: (scenes[p].c[j] * scenes[p].n + v[j]) / (scenes[p].n + 1)), 'n': scenes[p].n + 1, 't': at_day, 'f': scenes[p].f}}]),
         scenes[p+1:]) END,
     CASE WHEN p IS NULL THEN len(scenes) ELSE p - 1 END, CASE WHEN p IS NULL THEN 0 ELSE sims[p] END, p IS NULL
   FROM (SELECT *, CASE WHEN list_max(sims) >= 0.2 THEN list_position(sims, list_max(sims)) END AS p
@@ -299,7 +299,7 @@ walk AS (
       list_transform(w.scenes, lambda s: CASE WHEN o.v IS NULL OR s.c IS NULL OR s.n >= 50 OR abs(o.at_day - s.t) > 30
         THEN -1::DOUBLE ELSE list_cosine_similarity(s.c, o.v) END) AS sims
       FROM walk w JOIN o ON o.g = w.g AND o.i = w.i + 1)))
-SELECT tenant_id, user_id, mem_cell_id, concat(g, ordinal) AS scene_id, round(similarity, 6) AS similarity, is_new FROM walk"""
+SELECT tenant_id, user_id, mem_cell_id, concat(split_part(g, '#', 1), '#', scenes[ordinal + 1].f) AS scene_id, round(similarity, 6) AS similarity, is_new FROM walk"""
 
 
 def timed_cells(t: Tables) -> DataFrame:
@@ -528,13 +528,12 @@ def _(t):
     return extraction.render_prompts(rows, templates).select("id", "prompt", "error")
 
 
-@query("entity_source", "cells", """
+@query("entity_source", "cells", CELL_ENTS + """,
 named AS (SELECT tenant_id, user_id, mem_cell_id, unnest(['alpha', 'beta', 'gamma']) AS entity FROM cells WHERE doc_id % 4 = 0)
-SELECT * FROM named""")
+SELECT * FROM named
+UNION ALL SELECT ce.tenant_id, ce.user_id, mem_cell_id, entity FROM ce JOIN cells USING (mem_cell_id) WHERE doc_id % 4 <> 0""")
 def _(t):
-    found = extraction.episodes(t["cells"], t["responses"])
-    answered = t["cells"].join(t["responses"].filter(F.contains("response", F.lit("alpha"))), "mem_cell_id", "left_semi")
-    return entity_source(answered, found)
+    return entity_source(t["cells"], extraction.episodes(t["cells"], t["responses"]))
 
 
 # --- parameters ---------------------------------------------------------------------------------------------------

@@ -312,7 +312,7 @@ e AS (SELECT tenant_id, user_id, concat('memory:', mem_cell_id) AS a,
   concat('entity:', tenant_id, ':', user_id, ':', entity) AS b FROM ce),
 step AS (SELECT tenant_id, user_id, a AS f, b AS t FROM e UNION ALL SELECT tenant_id, user_id, b, a FROM e),
 h0 AS (SELECT query_id, tenant_id, user_id, concat('entity:', tenant_id, ':', user_id, ':', entity) AS n
-  FROM qe WHERE pos = 0),
+  FROM qe),
 h1 AS (SELECT DISTINCT query_id, h.tenant_id, h.user_id, t AS n FROM h0 h JOIN step s
   ON h.tenant_id = s.tenant_id AND h.user_id = s.user_id AND h.n = s.f),
 h2 AS (SELECT DISTINCT query_id, h.tenant_id, h.user_id, t AS n FROM h1 h JOIN step s
@@ -324,8 +324,8 @@ h3 AS (SELECT DISTINCT query_id, h.tenant_id, h.user_id, t AS n FROM h2 h JOIN s
 """
 
 
-def first_seeds(t: Tables) -> DataFrame:
-    return asked_ents(t).filter("pos = 0").select(
+def seeds(t: Tables) -> DataFrame:
+    return asked_ents(t).select(
         "query_id", *SCOPE, graph.entity_node_id("entity").alias("node_id"), "entity"
     )
 
@@ -340,7 +340,7 @@ WHERE hop < 2""")
 def _(t):
     ents = materialize(cell_ents(t), "entities")
     nodes, edges = graph.graph_traverse(
-        first_seeds(t), graph.graph_nodes(ents, t["cells"]), graph.graph_edges(ents), 2, ["mentions"]
+        seeds(t), graph.graph_nodes(ents, t["cells"]), graph.graph_edges(ents), 2, ["mentions"]
     )
     return nodes.select(F.lit("node").alias("what"), "query_id", *SCOPE, F.col("node_id").alias("id"), "hop").unionAll(
         edges.select(F.lit("edge"), "query_id", *SCOPE, "edge_id", F.lit(-1))
@@ -353,7 +353,7 @@ UNION ALL SELECT query_id, tenant_id, user_id, substr(n, 8), 3 FROM h3""")
 def _(t):
     ents = materialize(cell_ents(t), "entities")
     return graph.related_memories(
-        first_seeds(t), graph.graph_nodes(ents, t["cells"]), graph.graph_edges(ents), 3
+        seeds(t), graph.graph_nodes(ents, t["cells"]), graph.graph_edges(ents), 3
     )
 
 
@@ -584,3 +584,32 @@ def _(t):
         signals=jobs.retrieval_signals(t["cells"]),
     )
     return out.select("query_id", *SCOPE, "memory_id", score6(), "rank", F.round("mmr_score", 6).alias("mmr_score"))
+
+
+@query("job_retrieve_options", "stated queries", WIDE + "," + SIGNALS.replace("FROM cells", "FROM stated") + """,
+asked_for AS (SELECT concat('i', item_id) AS query_id, 1 + item_id % 5 AS top_k, item_id % 3 AS wants, item_id % 2 AS heavy,
+  0.00001::DOUBLE * (item_id % 4) AS least FROM benchmark),
+chosen AS (SELECT h.*, a.top_k, CASE WHEN channel = 'bm25' THEN 0.4::DOUBLE WHEN heavy = 1 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END AS wt
+  FROM hits h JOIN asked_for a USING (query_id)
+  WHERE h.rank < 16 * a.top_k AND CASE wants WHEN 0 THEN channel = 'bm25' WHEN 1 THEN true ELSE channel = 'vector' END),
+fz AS (SELECT query_id, tenant_id, user_id, memory_id, sum(wt / (90 + rank + 1)) AS score, string_agg(channel, ',' ORDER BY channel) AS channels
+  FROM chosen GROUP BY ALL),
+b AS (SELECT f.query_id, f.tenant_id, f.user_id, f.memory_id, f.channels, f.score * decay * (1 + importance) AS score, length(c.text) AS n_chars
+  FROM fz f JOIN signal USING (memory_id) JOIN stated c ON c.mem_cell_id = f.memory_id WHERE state <> 'ARCHIVED'),
+r AS (SELECT b.*, top_k, row_number() OVER (PARTITION BY b.query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank
+  FROM b JOIN asked_for a USING (query_id) WHERE score >= least)
+SELECT query_id, tenant_id, user_id, memory_id, channels, n_chars, rank FROM r WHERE rank < top_k""")
+def _(t):
+    item = F.col("item_id")
+    wanted = F.when(item % 3 == 0, F.array(F.lit("bm25"))).when(item % 3 == 2, F.array(F.lit("vector"))).otherwise(
+        F.array().cast("array<string>")
+    )
+    requests = t["queries"].withColumns({
+        "top_k": (1 + item % 5).cast("int"), "channels": wanted, "threshold": 0.00001 * (item % 4),
+        "weights": F.when(item % 2 == 1, F.create_map(F.lit("vector"), F.lit(0.9))),
+    })
+    signals = jobs.retrieval_signals(t["stated"])
+    out, _ = jobs.job_retrieve_requests(requests, t["stated"], signals)
+    return out.select(
+        "query_id", *SCOPE, "memory_id", F.array_join("channels", ",").alias("channels"), F.length("content").alias("n_chars"), "rank"
+    )

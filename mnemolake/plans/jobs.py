@@ -14,7 +14,7 @@ from mnemolake.functions.scoring import FactThresholds, compute_state, fsfm_scor
 from mnemolake.functions.text import extract_entities
 from mnemolake.operators import extraction, facts, graph, ingest, lifecycle, ranking, recall, reports, scenes, store
 from mnemolake.operators.ordered import sequential_fold
-from mnemolake.schemas import SCOPE
+from mnemolake.schemas import QUERY, SCOPE
 from mnemolake.session import materialize
 
 
@@ -186,6 +186,40 @@ def job_retrieve(
     return ranking.mmr_rerank(kept, cells, ranking.checked_topk(top_k), lam)
 
 
+def job_retrieve_requests(
+    requests: DataFrame, cells: DataFrame, signals: DataFrame | None = None, channels: Sequence[str] = SERVED_CHANNELS,
+    entities: DataFrame | None = None, weights: Mapping[str, float] = SERVED_WEIGHTS, k: int = SERVED_RRF_K,
+) -> tuple[DataFrame, DataFrame]:
+    """Retrieval with the options of each request, and the hit log that `hit_update` reads.
+
+    `requests`: the columns of queries with top_k (1 to 100), channels (empty or null: all), weights (map of overrides)
+    and threshold (null: 0). Archived cells are left out where the cells have a `state`. The result holds content, type and
+    channels of every memory; the log has one row per memory and request.
+    """
+    largest, least = requests.agg(F.max("top_k"), F.min("top_k")).first()
+    for asked in (largest, least):
+        if asked is not None:
+            ranking.checked_topk(asked)
+    if largest is None:
+        largest = 1
+    own = requests.select(*QUERY, F.col("top_k").alias("_k"), F.coalesce("threshold", F.lit(0.0)).alias("_least"))
+    found = recall_channels(requests, cells, largest, channels, entities)
+    deep = F.create_map(*(F.lit(x) for pair in ranking.overfetch(1).items() for x in pair))
+    hits = ranking.union_fuse(list(found.values())).join(own, QUERY)
+    hits = hits.filter(F.col("rank") < deep[F.col("channel")] * F.col("_k")).drop("_k", "_least")
+    fused = ranking.rrf_fuse(store.channel_enable(hits, requests), weights, k, requests)
+    fused = materialize(fused, "fused")
+    boosted = ranking.signal_boost(fused, signals) if signals is not None else fused
+    if "state" in cells.columns:
+        boosted = store.lifecycle_filter(boosted, cells)
+    kept = boosted.join(own, QUERY).filter(F.col("score") >= F.col("_least"))
+    top = materialize(ranking.rerank(kept).filter(F.col("rank") < F.col("_k")).drop("_k", "_least"), "retrieved")
+    kind = F.col("memory_type") if "memory_type" in cells.columns else F.lit("EPISODIC")
+    texts = cells.select(*SCOPE, F.col("mem_cell_id").alias("memory_id"), F.col("text").alias("content"), kind.alias("memory_type"))
+    log = top.select(*QUERY, F.col("memory_id").alias("mem_cell_id"), "rank")
+    return top.join(texts, [*SCOPE, "memory_id"], "left"), log
+
+
 # --- feedback -----------------------------------------------------------------------------------------------------
 
 

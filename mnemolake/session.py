@@ -16,7 +16,8 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 def build_session(app: str = "mnemolake", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings every job here relies on; on a cluster the submit-time conf wins."""
+    """A session with the settings every job here relies on, and the package on its workers; on a cluster the submit-time
+    conf wins."""
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
@@ -29,7 +30,9 @@ def build_session(app: str = "mnemolake", master: str | None = None, **conf: str
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def scratch_dir(spark: SparkSession) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +41,7 @@ def latest_snapshot(spark: SparkSession, root: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer files than cores is dealt out once, so that work on its texts uses every core."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """On a single machine, where a test table is one file, its rows are dealt out to the cores once. On a cluster the scan
+    is split by `spark.sql.files.maxPartitionBytes`, and no text is shuffled for it."""
+    context = df.sparkSession.sparkContext
+    return df.repartition(context.defaultParallelism) if re.fullmatch(r"local(\[.*\])?", context.master) else df

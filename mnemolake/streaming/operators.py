@@ -17,7 +17,7 @@ from mnemolake.functions.scoring import signal_map
 from mnemolake.operators import store
 from mnemolake.operators.limits import Limiter
 from mnemolake.operators.lifecycle import ACCESS_FEEDBACK, targeted, touched_at
-from mnemolake.operators.scenes import SceneState, scene_key
+from mnemolake.operators.scenes import TIMELESS, SceneState, cell_days, scene_key
 from mnemolake.schemas import REQUEST, SCOPE
 from mnemolake.streaming.runs import run_available
 
@@ -110,8 +110,9 @@ class _Clusterer(_Folding):
         return SceneState(*self.limits)
 
     def step(self, key, scenes, row):
-        ordinal, score, new = scenes.place(row.mem_cell_id, row.embedding, row.at)
-        return row.tenant_id, row.user_id, row.mem_cell_id, row.at, f"{key[0]}#{ordinal}", score, new
+        first, score, new = scenes.place(row.mem_cell_id, row.embedding, row.at)
+        at = row.at if row.at < TIMELESS else None
+        return row.tenant_id, row.user_id, row.mem_cell_id, at, f"{key[0]}#{first}", score, new
 
 
 def stream_cluster(
@@ -119,7 +120,7 @@ def stream_cluster(
 ) -> DataFrame:
     keyed = cells.select(
         F.concat_ws("|", *SCOPE, scene_key(cells)).alias("scene_key"), *SCOPE, "mem_cell_id",
-        F.col("at").cast("double").alias("at"), "embedding",
+        cell_days(cells).alias("at"), "embedding",
     )
     return keyed.groupBy("scene_key").transformWithStateInPandas(
         _Clusterer(sim, gap_days, max_size, max_scenes),

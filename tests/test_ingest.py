@@ -155,9 +155,14 @@ def test_metadata_layers(requests):
 def test_job_claims_once(spark, requests):
     none = requests.select(F.lit("").alias("mem_cell_id")).filter(F.lit(False))
     done = jobs.job_ingest(requests, none, F.lit(0))
-    assert rows(done.cells, "mem_cell_id") == [("q1#0",), ("q1#1",)]
+    assert rows(done.cells, "mem_cell_id") == [("t1/u1/q1#0",), ("t1/u1/q1#1",)]
+    assert rows(done.claims, "request_id", "holder") == [("q1", "q1"), ("q2", "q1")]
     again = jobs.job_ingest(requests, done.cells.select("mem_cell_id"), F.lit(0))
     assert again.cells.count() == 0
+    later = requests.filter("request_id = 'q2'").withColumn("request_id", F.lit("q3"))
+    assert jobs.job_ingest(later, none, F.lit(0), held=done.claims).cells.count() == 0  # held by an earlier run
+    unkeyed = requests.withColumn("idempotency_key", F.lit(None).cast("string"))
+    assert jobs.job_ingest(unkeyed, none, F.lit(0)).cells.count() == 4  # no key, no claim, nothing lost
 
 
 def test_snapshots(spark, tmp_path):
