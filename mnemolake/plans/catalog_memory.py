@@ -400,6 +400,40 @@ def _(t):
     return facts.decide_facts(new_facts(t), old_facts(t)).select(*SCOPE, "semantic_id", "decision", "target_id")
 
 
+VECTOR_PAIR_SQL = """
+s AS (SELECT *, list_sort(list_filter(list_distinct(string_split(content, '')),
+  lambda ch: ch NOT IN ('', ' ', chr(10), chr(9), chr(13)))) AS a, CAST(embedding AS DOUBLE[]) AS v FROM vfacts),
+forms AS (SELECT tenant_id, user_id, is_new, a, v, min(semantic_id) AS first_id FROM s GROUP BY ALL),
+pairs AS (SELECT x.tenant_id, x.user_id, x.first_id AS form_id, y.first_id AS target_id, x.v AS xv, y.v AS yv,
+  len(list_intersect(x.a, y.a)) AS i, len(x.a) + len(y.a) AS total
+  FROM forms x JOIN forms y USING (tenant_id, user_id) WHERE x.is_new AND NOT y.is_new),
+jac AS (SELECT *, CASE WHEN total - i = 0 THEN 0 ELSE i / (total - i) END AS jac FROM pairs),
+sims AS (SELECT *, CASE WHEN xv IS NULL THEN jac ELSE 0.4::DOUBLE * jac
+  + 0.6::DOUBLE * CASE WHEN yv IS NULL THEN 0 ELSE list_cosine_similarity(xv, yv) END END AS sim FROM jac),
+best AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY tenant_id, user_id, form_id
+  ORDER BY round(sim, 9) DESC, target_id) = 1),
+matched AS (SELECT s.tenant_id, s.user_id, s.semantic_id, target_id, sim FROM s JOIN forms f ON f.is_new AND s.tenant_id = f.tenant_id
+  AND s.user_id = f.user_id AND s.a = f.a AND s.v IS NOT DISTINCT FROM f.v LEFT JOIN best b ON b.form_id = f.first_id WHERE s.is_new)
+"""
+
+
+@query("best_match_vectors", "vfacts", VECTOR_PAIR_SQL + """
+SELECT tenant_id, user_id, semantic_id, target_id, round(sim, 6) AS sim FROM matched""")
+def _(t):
+    rows = t["vfacts"]
+    out = facts.best_match(rows.filter("is_new"), rows.filter("NOT is_new"))
+    return out.select(*SCOPE, "semantic_id", "target_id", r6(F.col("sim"), "sim"))
+
+
+@query("decide_facts_vectors", "vfacts", VECTOR_PAIR_SQL + """
+SELECT tenant_id, user_id, semantic_id, CASE WHEN round(sim, 9) >= 0.97 THEN 'NOOP' WHEN round(sim, 9) >= 0.93 THEN 'SUPERSEDE'
+  WHEN round(sim, 9) >= 0.85 THEN 'UPDATE' ELSE 'ADD' END AS decision, CASE WHEN round(sim, 9) >= 0.85 THEN target_id END AS target_id
+FROM matched""")
+def _(t):
+    rows = t["vfacts"]
+    return facts.decide_facts(rows.filter("is_new"), rows.filter("NOT is_new")).select(*SCOPE, "semantic_id", "decision", "target_id")
+
+
 CONSOLIDATE_SQL = """
 s AS (SELECT *, list_sort(list_filter(list_distinct(string_split(content, '')),
   lambda ch: ch NOT IN ('', ' ', chr(10), chr(9), chr(13)))) AS a FROM facts),

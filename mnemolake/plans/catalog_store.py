@@ -375,25 +375,49 @@ def _(t):
     return first.select("tenant_id", "user_id", "role", "event_min", "session_id")
 
 
-@query("job_ingest", "turns", SESSION_RAWS + """,
+INGEST_SQL = SESSION_RAWS + """,
 asking AS (SELECT DISTINCT r, r % 30 AS c, r // 15 * 10 AS hour FROM base WHERE r % 3 > 0),
 turn_of AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY hour, r) AS n FROM asking),
-claim AS (SELECT r, c, n, hour AS since, true AS own FROM turn_of WHERE n = 1
-  UNION ALL SELECT t.r, t.c, t.n, CASE WHEN t.hour - p.since >= 24 THEN t.hour ELSE p.since END, t.hour - p.since >= 24
+claim AS (SELECT r, c, n, hour AS since, r AS holder FROM turn_of WHERE n = 1
+  UNION ALL SELECT t.r, t.c, t.n, CASE WHEN t.hour - p.since >= 24 THEN t.hour ELSE p.since END,
+    CASE WHEN t.hour - p.since >= 24 THEN t.r ELSE p.holder END
   FROM claim p JOIN turn_of t ON t.c = p.c AND t.n = p.n + 1),
 kept AS (SELECT * REPLACE (concat(tenant_id, '/', user_id, '/', rq) AS rq), row_number() OVER (PARTITION BY r ORDER BY s) AS i FROM sess
-  WHERE r % 3 = 0 OR r IN (SELECT r FROM claim WHERE own)),
+  WHERE r % 3 = 0 OR r IN (SELECT r FROM claim WHERE holder = r)),
 walk AS (SELECT rq, i, raw_id, event_minute, content, tenant_id, user_id, CAST(0 AS BIGINT) AS segment, 1 AS turns,
     length(content) AS chars FROM kept WHERE i = 1
   UNION ALL SELECT o.rq, o.i, o.raw_id, o.event_minute, o.content, o.tenant_id, o.user_id, w.segment + cut,
     CASE WHEN cut = 1 THEN 1 ELSE w.turns + 1 END, CASE WHEN cut = 1 THEN 0 ELSE w.chars END + length(o.content)
   FROM walk w JOIN kept o ON o.rq = w.rq AND o.i = w.i + 1, LATERAL (SELECT CASE
-    WHEN o.event_minute - w.event_minute > 30 OR w.turns >= 20 OR w.chars // 4 >= 512 THEN 1 ELSE 0 END AS cut))
-SELECT concat(rq, '#', segment) AS mem_cell_id, min(tenant_id) AS tenant_id, min(user_id) AS user_id,
+    WHEN o.event_minute - w.event_minute > 30 OR w.turns >= 20 OR w.chars // 4 >= 512 THEN 1 ELSE 0 END AS cut)),
+made AS (SELECT concat(rq, '#', segment) AS mem_cell_id, min(tenant_id) AS tenant_id, min(user_id) AS user_id,
   string_agg(raw_id, ',' ORDER BY i) AS raw_ids, string_agg(content, chr(10) ORDER BY i) AS text
-FROM walk GROUP BY rq, segment""")
-def _(t):
+  FROM walk GROUP BY rq, segment HAVING NOT (min(tenant_id) = 't1' AND segment = 0))
+"""
+
+
+def ingested(t: Tables) -> jobs.Ingested:
+    """The first cell of every request of tenant t1 counts as stored already."""
     requests = nested_requests(t)
-    none = requests.select(F.lit("").alias("mem_cell_id")).filter(F.lit(False))
-    done = jobs.job_ingest(requests, none, F.lit(0))
-    return done.cells.select("mem_cell_id", *SCOPE, F.array_join("raw_data_ids", ",").alias("raw_ids"), "text")
+    first = F.concat_ws("/", "tenant_id", "user_id", "request_id")
+    stored = requests.filter("tenant_id = 't1'").select(F.concat(first, F.lit("#0")).alias("mem_cell_id"))
+    return jobs.job_ingest(requests, stored, F.lit(0))
+
+
+@query("job_ingest", "turns", INGEST_SQL + "SELECT * FROM made")
+def _(t):
+    return ingested(t).cells.select("mem_cell_id", *SCOPE, F.array_join("raw_data_ids", ",").alias("raw_ids"), "text")
+
+
+@query("job_ingest_tables", "turns", INGEST_SQL + """
+SELECT 'text' AS "table", mem_cell_id AS id, md5(text) AS value FROM made
+UNION ALL SELECT 'claim', concat(t.r // 3, '/', t.r % 3, '/', t.r % 5), concat('r', holder // 3) FROM claim t""")
+def _(t):
+    """Text documents and claims; no cell has a vector yet, and nothing is rejected."""
+    done = ingested(t)
+    held = F.concat_ws("/", F.substring("request_id", 2, 20), F.substring("tenant_id", 2, 20), F.substring("user_id", 2, 20))
+    rows = lambda df, name, key, value: df.select(F.lit(name).alias("table"), key.alias("id"), value.alias("value"))
+    out = rows(done.text_docs, "text", F.col("mem_cell_id"), F.md5(F.col("text").cast("binary")))
+    out = out.unionByName(rows(done.claims, "claim", held, F.col("holder")))
+    out = out.unionByName(rows(done.vectors, "vector", F.col("mem_cell_id"), F.lit("")))
+    return out.unionByName(rows(done.dead_letters, "dead", F.col("mem_cell_id"), F.col("error")))

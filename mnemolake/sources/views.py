@@ -71,6 +71,9 @@ FROM events WHERE event_type = 'view'""",
 SELECT concat('f', CAST(doc_id AS STRING)) AS semantic_id, 't0' AS tenant_id, concat('u_', lang) AS user_id,
   text AS content, doc_id % 2 = 1 AS is_new, doc_id AS seq
 FROM documents""",
+    # The same facts with a vector where one exists.
+    "vfacts": """
+SELECT f.*, e.embedding FROM facts f LEFT JOIN embeddings e ON e.vec_id = f.seq""",
     # Error events as dead letters; some ids have no cell.
     "dlq": """
 SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'milvus' WHEN 1 THEN 'cold_path' ELSE 'es' END AS target,
@@ -103,7 +106,7 @@ FROM events""",
 
 NEEDS = {
     "turns": ["conversations"], "raws": ["turns"], "cells": ["documents", "embeddings"], "stated": ["cells"],
-    "queries": ["benchmark", "embeddings"], "feedback": ["events"], "hits": ["events"], "facts": ["documents"],
+    "queries": ["benchmark", "embeddings"], "feedback": ["events"], "hits": ["events"], "facts": ["documents"], "vfacts": ["facts", "embeddings"],
     "dlq": ["events"], "serving_log": ["events"], "responses": ["cells"], "params": ["events"],
 }
 
