@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemolake.llm import bpe, mixing, quality, secrets, simhash
+from mnemolake.llm.registry import small_batches
 from mnemolake.session import materialize, ship_package
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -18,6 +19,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 def _documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The columns of `documents`; whatever else came along is left behind."""
     ship_package(spark)
+    small_batches(spark)
     return docs.select(*COLUMNS)
 
 
