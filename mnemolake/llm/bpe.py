@@ -54,7 +54,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 CHUNKS = regex.compile(f"[^{SPACE}]+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer does not
 WORD_END = "</w>"
-CACHE = 300_000  # entries of a worker's caches; they start anew when full
+CACHE = 200_000  # entries of a worker's caches; they start anew when full
 
 
 @cache

@@ -20,5 +20,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long, so few of them go to a Python worker at a time; the default of 10,000 rows would fill its memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
