@@ -12,10 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.session import sized
+
 
 def _blocks(df: DataFrame, keys: Sequence[str], size: int, name: str) -> DataFrame:
     """Per key the number of blocks its rows need."""
-    n = F.ceil(F.count(F.lit(1)) / size).cast("int")
+    n = F.ceil(F.count(F.lit(1)) / size).cast("bigint")
     return df.groupBy(*keys).agg(n.alias(name))
 
 
@@ -25,13 +27,14 @@ def blocked(
 ) -> DataFrame:
     """Apply `best(left block, right block)` to all block pairs of a key."""
     keys = list(keys)
-    shape = _blocks(left, keys, block, "_ln").join(_blocks(right, keys, block, "_rn"), keys)
+    # One slim row per key, counted first, so that neither side is gathered by key before it is split.
+    shape = sized(_blocks(left, keys, block, "_ln").join(_blocks(right, keys, block, "_rn"), keys))
 
     def placed(df: DataFrame, own: str, other: str, row_id: str, mine: str, theirs: str) -> DataFrame:
-        spread = F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+        spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))
         return (
             df.join(shape, keys)
-            .withColumn(mine, F.pmod(F.xxhash64(row_id), F.col(own)).cast("int"))
+            .withColumn(mine, F.pmod(F.xxhash64(row_id), F.col(own)))
             .withColumn(theirs, spread)
             .drop("_ln", "_rn")
         )

@@ -17,9 +17,11 @@ from mnemolake.session import cut
 # a group of copies of any size is one row in every comparison below.
 
 
-def self_similarity(w_jaccard: float = 0.4, w_cosine: float = 0.6) -> Column:
+def self_similarity(vectors: bool, w_jaccard: float = 0.4, w_cosine: float = 0.6) -> Column:
     """Composite similarity of a form with an equal one: below 1 for zero vectors and texts without characters."""
     jaccard = F.when(F.col("chars") != "", 1.0).otherwise(0.0)
+    if not vectors:
+        return jaccard
     cosine = F.when(F.exists("vec", lambda x: x != 0), 1.0).otherwise(0.0)
     mixed = (w_jaccard * jaccard + w_cosine * cosine) / (w_jaccard + w_cosine)
     return F.when(F.size("vec") > 0, mixed).otherwise(jaccard)
@@ -36,7 +38,7 @@ def fact_forms(facts: DataFrame, order: str | None = None, fold_from: float = 0.
         (F.col(vector).cast("array<double>") if vector else F.lit(None).cast("array<double>")).alias("vec"),
     )
     first = F.min(F.struct(*([order] if order else []), "semantic_id")).alias("_first")
-    apart = F.when(self_similarity() < fold_from, F.col("semantic_id")).alias("_apart")
+    apart = F.when(self_similarity(vector is not None) < fold_from, F.col("semantic_id")).alias("_apart")
     grouped = packed.groupBy(*SCOPE, "chars", "vec", apart).agg(first, F.count(F.lit(1)).alias("n"))
     return grouped.select(
         *SCOPE, "chars", "vec", "n", F.col("_first.semantic_id").alias("form_id"),

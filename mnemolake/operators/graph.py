@@ -14,10 +14,11 @@ from mnemolake.session import sized
 
 MENTIONS_CONFIDENCE = 0.9
 MAX_HOPS = 3
+MEMORY_PREFIX = "memory:"
 
 
 def memory_node_id(cell: str) -> Column:
-    return F.concat(F.lit("memory:"), F.col(cell))
+    return F.concat(F.lit(MEMORY_PREFIX), F.col(cell))
 
 
 def entity_node_id(entity: str) -> Column:
@@ -144,13 +145,14 @@ def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def graph_traverse(
     seeds: DataFrame, nodes: DataFrame, edges: DataFrame, max_hops: int = 2,
-    edge_types: Iterable[str] | None = None,
+    edge_types: Iterable[str] | None = None, last_prefix: str = "",
 ) -> tuple[DataFrame, DataFrame]:
     """Undirected BFS per query inside its scope, at most 3 hops.
 
     Seeds: query_id, scope, node_id. Invalid or unknown nodes are crossed but not returned; invalid edges are not
     crossed. Each hop is one equi-join on (scope, node) and one distinct; its frontier is written and counted, so a
-    small one is broadcast to the edges where they lie and a large one is shuffled.
+    small one is broadcast to the edges where they lie and a large one is shuffled. The last hop only goes to nodes whose
+    id starts with `last_prefix`, so a caller that wants memories does not pay for the entities behind them.
     """
     max_hops = max(0, min(MAX_HOPS, max_hops))
     usable = edges.filter("is_valid")
@@ -168,8 +170,9 @@ def graph_traverse(
     frontier = sized(seeds.select(*at).distinct())
     visited = frontier.withColumn("hop", F.lit(0))
     for hop in range(1, max_hops + 1):
+        ways = steps.filter(F.startswith("_to", F.lit(last_prefix))) if hop == max_hops and last_prefix else steps
         reached = (
-            steps.join(frontier, [*SCOPE, "node_id"])
+            ways.join(frontier, [*SCOPE, "node_id"])
             .select("query_id", *SCOPE, F.col("_to").alias("node_id"))
             .distinct()
         )
@@ -188,6 +191,6 @@ def graph_traverse(
 def related_memories(wanted: DataFrame, nodes: DataFrame, edges: DataFrame, max_depth: int = 2) -> DataFrame:
     """query_id, scope, entity -> memory ids within `max_depth` hops (1..3)."""
     seeds = wanted.select("query_id", *SCOPE, entity_node_id("entity").alias("node_id"))
-    reached, _ = graph_traverse(seeds, nodes, edges, max(1, min(MAX_HOPS, max_depth)))
+    reached, _ = graph_traverse(seeds, nodes, edges, max(1, min(MAX_HOPS, max_depth)), last_prefix=MEMORY_PREFIX)
     memory = reached.filter(F.col("node_type") == "memory")
     return memory.select("query_id", *SCOPE, F.coalesce("memory_id", "label").alias("memory_id"), "hop")

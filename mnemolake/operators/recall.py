@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from mnemolake.functions.core import significant, unnest
 from mnemolake.functions.text import term_counts, tokens
 from mnemolake.operators.blocks import blocked
-from mnemolake.operators.graph import graph_traverse, entity_node_id
+from mnemolake.operators.graph import MEMORY_PREFIX, entity_node_id, graph_traverse
 from mnemolake.schemas import QUERY, SCOPE
 from mnemolake.session import materialize, sized
 
@@ -195,15 +195,16 @@ def entity_topk(asked: DataFrame, postings: DataFrame, cells: DataFrame, k: int)
     """
     asked = sized(asked)
     per_query = asked.groupBy("query_id", *SCOPE).agg(F.collect_set("entity").alias("_all"))
-    found = sized(
+    found = (
         postings.select(*SCOPE, "entity", "mem_cell_id").join(asked, [*SCOPE, "entity"])
         .select("query_id", *SCOPE, "mem_cell_id")
         .distinct()
     )
-    texts = cells.select(*SCOPE, "mem_cell_id", "text").join(found, [*SCOPE, "mem_cell_id"])
+    # The query's entities travel with the pair, so the text is read in one join and goes no further.
+    pairs = sized(found.join(per_query, ["query_id", *SCOPE]))
     inside = F.size(F.filter("_all", lambda e: F.contains("text", e)))
     score = F.greatest(F.lit(1), inside) / F.greatest(F.lit(1), F.size("_all"))
-    hits = texts.join(per_query, ["query_id", *SCOPE]).select(
+    hits = cells.select(*SCOPE, "mem_cell_id", "text").join(pairs, [*SCOPE, "mem_cell_id"]).select(
         "query_id", *SCOPE, F.col("mem_cell_id").alias("memory_id"), score.alias("score")
     )
     return ranked(hits, "entity", k)
@@ -217,7 +218,7 @@ def graph_topk(
     seeds = asked.select("query_id", *SCOPE, "pos", entity_node_id("entity").alias("node_id"))
     seeds = seeds.withColumn("seed_id", F.concat_ws("|", "query_id", "pos"))
     reached, _ = graph_traverse(
-        seeds.select(F.col("seed_id").alias("query_id"), *SCOPE, "node_id"), nodes, edges, max_depth
+        seeds.select(F.col("seed_id").alias("query_id"), *SCOPE, "node_id"), nodes, edges, max_depth, last_prefix=MEMORY_PREFIX
     )
     back = seeds.select(F.col("seed_id").alias("query_id"), *SCOPE, F.col("query_id").alias("_q"), "pos")
     memories = (

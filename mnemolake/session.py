@@ -63,7 +63,13 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return os.path.join(scratch_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    return os.path.join(scratch_dir(spark), spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the tables this application wrote between steps; call it when the results that read them are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(os.path.join(scratch_dir(spark), spark.sparkContext.applicationId))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
