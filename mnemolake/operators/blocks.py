@@ -31,7 +31,7 @@ def blocked(
     shape = sized(_blocks(left, keys, block, "_ln").join(_blocks(right, keys, block, "_rn"), keys))
 
     def placed(df: DataFrame, own: str, other: str, row_id: str, mine: str, theirs: str) -> DataFrame:
-        spread = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))
+        spread = F.explode_outer(F.sequence(F.lit(0).cast("bigint"), F.col(other) - 1))
         return (
             df.join(shape, keys)
             .withColumn(mine, F.pmod(F.xxhash64(row_id), F.col(own)))

@@ -208,8 +208,9 @@ def consolidate_facts(
         if fresh.isEmpty():
             break
         settled = cut(settled.unionByName(fresh))
-    accepted = forms.join(settled.filter("kept"), key, "left_semi")
-    pool = known.withColumn("at", F.lit(-1).cast(forms.schema["at"].dataType)).unionByName(
+    accepted = cut(forms.join(settled.filter("kept"), key, "left_semi"))
+    before = F.when(F.col("n") > 0, F.lit(-1)).cast(forms.schema["at"].dataType)
+    pool = known.withColumn("at", before).unionByName(
         accepted.select(*known.columns, "at")
     )
     near = _compare(accepted, pool, _best, block)
