@@ -132,13 +132,13 @@ def asked_ents(t: Tables) -> DataFrame:
 
 
 @query("bm25_postings", "cells queries", BM25 + """
-SELECT tenant_id, user_id, mem_cell_id, term, tf, dl FROM post JOIN dl USING (mem_cell_id)""")
+SELECT tenant_id, user_id, mem_cell_id, term, tf, dl FROM post JOIN dl USING (mem_cell_id)""", query_ids=False)
 def _(t):
     return recall.bm25_postings(t["cells"]).select(*SCOPE, "mem_cell_id", "term", "tf", "dl")
 
 
 @query("corpus_stats", "cells queries", BM25 + """
-SELECT n AS n_docs, (SELECT count(*) FROM tok) AS n_terms, round(al, 6) AS avg_len FROM st""")
+SELECT n AS n_docs, (SELECT count(*) FROM tok) AS n_terms, round(al, 6) AS avg_len FROM st""", query_ids=False)
 def _(t):
     return recall.corpus_stats(t["cells"]).withColumn("avg_len", F.round("avg_len", 6))
 

@@ -17,13 +17,14 @@ QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, views: str = "", sql: str | None = None):
-    """`views`: names of the views the SQL starts from; without SQL the query is checked in tests only."""
+def query(name: str, views: str = "", sql: str | None = None, query_ids: bool = True):
+    """`views`: names of the views the SQL starts from; without SQL the query is checked in tests only.
+    `query_ids`: whether its result has query ids, if it starts from the view of queries."""
 
     def add(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_views(views, sql).replace("SIGNIFICANT(score)", SIGNIFICANT)
+            ORACLES[name] = with_views(views, sql, query_ids).replace("SIGNIFICANT(score)", SIGNIFICANT)
         return build
 
     return add

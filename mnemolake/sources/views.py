@@ -142,7 +142,7 @@ def _by_item(blocks: list[str], text: str) -> str:
     return f"SELECT * REPLACE (concat('i', CAST(substr(query_id, 2) AS BIGINT) // 2) AS query_id) FROM ({inner})"
 
 
-def with_views(names: str, sql: str) -> str:
+def with_views(names: str, sql: str, query_ids: bool = True) -> str:
     """DuckDB text: the needed views (blank-separated names) as WITH blocks in front of `sql`.
 
     `sql` is a SELECT, or further WITH blocks followed by one.
@@ -159,7 +159,7 @@ def with_views(names: str, sql: str) -> str:
         add(name)
     blocks = [f"{name} AS ({VIEWS[name].strip()})" for name in order]
     text = sql.strip()
-    if "queries" in order:
+    if "queries" in order and query_ids:
         return _by_item(blocks, text)
     if not text.upper().startswith("SELECT"):
         blocks.append(text)
