@@ -155,7 +155,9 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, rows: int = SAMP
                 )
 
     coded = materialize(forms.select("label", "size", "form", "n", "embedding").mapInPandas(encode, CODED), "codes")
-    asking = coded.select("label", "size", "form", "embedding", F.explode("probes").alias("list"))
+    # A pair across two lists is found from the lower one and counts for both sides.
+    upward = F.filter("probes", lambda p: p >= F.col("list"))
+    asking = coded.select("label", "size", "form", "n", "embedding", F.col("list").alias("own"), F.explode(upward).alias("list"))
     keys = ["label", "size", "list"]
     held = coded.select(*[F.col(c).alias(c) for c in coded.columns if c != "probes"])  # columns of its own, beside `asking`
     left, right = in_blocks(asking, held, keys, BLOCK, BLOCK, "form", "form")
@@ -169,10 +171,12 @@ def near_vectors(embeddings: DataFrame, cosine: float = COSINE, rows: int = SAMP
         a, b = linked_pairs(index, x, int(right["list"].iloc[0]), codes, right["error"].to_numpy(), y, cosine)
         other = mine[a] != theirs[b]
         a, b = a[other], b[other]
-        links = np.bincount(a, weights=right["n"].to_numpy(float)[b], minlength=len(left)).astype(np.int64)
+        across = left["own"].to_numpy()[a] != right["list"].iloc[0]
+        links = np.bincount(a, right["n"].to_numpy(float)[b], len(left)).astype(np.int64)
+        back = np.bincount(b[across], left["n"].to_numpy(float)[a[across]], len(right)).astype(np.int64)
         names = np.concatenate([mine, theirs])
         root = names[roots(len(names), a, b + len(left))]
-        links = np.concatenate([links, np.zeros(len(right), np.int64)])
+        links = np.concatenate([links, back])
         hit = (root != names) | (links > 0)
         return pd.DataFrame({"form": names[hit], "links": links[hit], "root": root[hit]})
 
