@@ -212,7 +212,7 @@ def training_rows(documents: DataFrame, labels: DataFrame, column: str, held_out
 def train(documents: DataFrame, labels: DataFrame, column: str = "toxic", rows: int = SAMPLE) -> Machine | None:
     """Learn from labelled sentences: each sentence has its document's label, rows with crc32(doc_id) mod 5 = 0 are left out.
 
-    Words are counted by the sentences of either label that hold them. Landmarks are the words with the largest likelihood
+    Words (up to 64 characters here, any length when scored) are counted by the sentences of either label that hold them. Landmarks are the words with the largest likelihood
     ratio towards toxic sentences, with some frequent others; the machine is fitted on such words and bounded samples of the
     others, a second time with those others that it ranked highest. None without words that tell toxic sentences apart.
     """
