@@ -54,7 +54,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 CHUNKS = regex.compile(f"[^{SPACE}]+")
 ODD_SPACE = regex.compile("[\x1c-\x1f]")  # str.split() takes these for white space, the tokenizer does not
 WORD_END = "</w>"
-CACHE = 200_000  # entries of a worker's caches; they start anew when full
+CACHE = 200_000  # entries of a worker's caches; chunks start anew when full, words keep the generation before
+NEVER = 1 << 62
 
 
 @cache
@@ -77,7 +78,8 @@ class WordBpe:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in held["model"]["merges"]]
         self.packed = {i: i.to_bytes(4, "little") for i in self.names}
         self.texts = {i: t.encode("utf-8") for i, t in self.names.items()}
-        self.ranks = {(self.vocab[a], self.vocab[b]): (r, self.vocab[a + b]) for r, (a, b) in enumerate(merges)}
+        # Rank and merged token of a pair in one number, so that the least number is the pair to merge first.
+        self.ranks = {(self.vocab[a], self.vocab[b]): r << 32 | self.vocab[a + b] for r, (a, b) in enumerate(merges)}
         self.splitter = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         # Tokens that the merges really build; others are never proposed.
         self.built = {t for t, i in self.vocab.items() if self.merge(self.symbols(t)) == (i,)}
@@ -85,6 +87,7 @@ class WordBpe:
         self.apart: np.ndarray = np.empty(0, np.int64)  # verified pairs, as sorted codes
         self.fresh: dict[int, bool] = {}
         self.words: dict[str, tuple[bytes, bytes, int]] = {}
+        self.older: dict[str, tuple[bytes, bytes, int]] = {}
         self.chunks: dict[str, tuple[bytes, bytes, int]] = {}
 
     def symbols(self, token: str) -> list[int]:
@@ -97,16 +100,33 @@ class WordBpe:
         return [self.vocab[x] for x in letters if x in self.vocab]
 
     def merge(self, symbols: list[int]) -> tuple[int, ...]:
-        """Exact merging: the pair of lowest rank first, the leftmost of equal ones, by a heap over a linked list."""
+        """Exact merging: the pair of lowest rank first, the leftmost of equal ones. Long words go over a heap."""
+        if len(symbols) > 64:
+            return self.merge_long(symbols)
+        ids, rank = list(symbols), self.ranks.get
+        pairs = [rank(p, NEVER) for p in zip(ids, ids[1:])]
+        while pairs and (least := min(pairs)) < NEVER:
+            i = pairs.index(least)
+            ids[i : i + 2] = [least & 0xFFFFFFFF]
+            del pairs[i]
+            if i:
+                pairs[i - 1] = rank((ids[i - 1], ids[i]), NEVER)
+            if i < len(pairs):
+                pairs[i] = rank((ids[i], ids[i + 1]), NEVER)
+        return tuple(ids)
+
+    def merge_long(self, symbols: list[int]) -> tuple[int, ...]:
+        """The same by a heap over a linked list, in time that is not quadratic in the word's length."""
         n = len(symbols)
         ids, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
         heap = []
         for i in range(n - 1):
             if (found := self.ranks.get((ids[i], ids[i + 1]))) is not None:
-                heap.append((found[0], i, ids[i], ids[i + 1], found[1]))
+                heap.append((found, i, ids[i], ids[i + 1]))
         heapify(heap)
         while heap:
-            _, i, a, b, new = heappop(heap)
+            found, i, a, b = heappop(heap)
+            new = found & 0xFFFFFFFF
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
@@ -115,9 +135,9 @@ class WordBpe:
             if after[i] < n:
                 before[after[i]] = i
                 if (found := self.ranks.get((new, ids[after[i]]))) is not None:
-                    heappush(heap, (found[0], i, new, ids[after[i]], found[1]))
+                    heappush(heap, (found, i, new, ids[after[i]]))
             if before[i] >= 0 and (found := self.ranks.get((ids[before[i]], new))) is not None:
-                heappush(heap, (found[0], before[i], ids[before[i]], new, found[1]))
+                heappush(heap, (found, before[i], ids[before[i]], new))
         return tuple(x for x in ids if x >= 0)
 
     def propose(self, word: str) -> list[int]:
@@ -193,9 +213,14 @@ class WordBpe:
         """Put the ids (as bytes), the decoded text and the number of ids of each new chunk into the cache."""
         split = {c: self.pieces(c) for c in chunks}
         if len(self.words) > CACHE:
-            self.words = {}
-        words = self.words
-        unknown = list({w for p in split.values() for w in p if w not in words and isinstance(w, str)})
+            self.words, self.older = {}, self.words
+        words, older = self.words, self.older
+        unknown = []
+        for word in {w for p in split.values() for w in p if w not in words and isinstance(w, str)}:
+            if word in older:
+                words[word] = older[word]
+            else:
+                unknown.append(word)
         for word, ids in zip(unknown, self.encode_words(unknown)):
             words[word] = b"".join([self.packed[i] for i in ids]), b" ".join([self.texts[i] for i in ids]), len(ids)
         for chunk, parts in split.items():

@@ -291,6 +291,14 @@ def test_bpe_as_the_library(library):
         assert decoded.decode() == library.decode(want, skip_special_tokens=False)
 
 
+def test_bpe_merges_long_and_short_words_alike(library):
+    model = bpe.WordBpe(bpe.vocabulary_path())
+    rnd = random.Random(12)
+    for _ in range(300):
+        symbols = model.symbols("".join(rnd.choice("aabcdeinrst") for _ in range(rnd.randint(1, 64))) + "</w>")
+        assert model.merge(symbols) == model.merge_long(symbols)
+
+
 def test_bpe_caches_start_anew(library, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE", 20)
     model = bpe.WordBpe(bpe.vocabulary_path())
