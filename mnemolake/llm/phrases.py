@@ -16,6 +16,7 @@ from itertools import count, islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,7 +38,8 @@ SIEVE_BITS = 1 << 30  # at most; 16 bits a frequent phrase otherwise
 BITS = 21
 RUN_ROWS = 100_000
 STOPS = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz.........")
-RUNS = "lang string, prefix long, size int, phrase string, f long"
+PREFIXES = 1 << 14  # prefix partitions of a language
+RUNS = "lang string, prefix int, phrase string, f long"
 _FOLD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -84,22 +86,18 @@ class Node:
         self.children: dict[int, Node] | None = None
         self.words = words  # of the packed keys here
 
-    def add(self, key: int, n: int) -> int:
-        """Count a key n times; how many entries came in."""
-        at = self
+    def leaf(self, key: int) -> tuple[Node, int]:
+        """The container of a key, and the first key that would be there."""
+        at, base = self, 0
         while at.children is not None:
             shift = BITS * (at.words - 1)
-            word, key = key >> shift, key & (1 << shift) - 1
+            word = key - base >> shift
+            base += word << shift
             below = at.children.get(word)
             if below is None:
                 below = at.children[word] = Node(at.words - 1)
             at = below
-        held = at.table
-        before = len(held)
-        held[key] = held.get(key, 0) + n
-        if len(held) > BURST and at.words > 1:
-            at.burst()
-        return len(held) - before
+        return at, base
 
     def burst(self) -> None:
         held, self.table, self.children = self.table, None, {}
@@ -113,41 +111,64 @@ class Node:
     def size(self) -> int:
         return len(self.table) if self.children is None else sum(c.size() for c in self.children.values())
 
-    def entries(self) -> Iterator[tuple[int, int]]:
-        if self.children is None:
-            yield from self.table.items()
-        else:
-            shift = BITS * (self.words - 1)
+    def columns(self, before: tuple[int, ...] = ()) -> Iterator[np.ndarray]:
+        """Per container an array whose rows are the words of its phrases, one after the other, and the counts."""
+        if self.children is not None:
             for word, below in self.children.items():
-                for key, n in below.entries():
-                    yield word << shift | key, n
+                yield from below.columns((*before, word))
+        elif self.table:
+            n, mask = len(self.table), (1 << BITS) - 1
+            out = np.empty((len(before) + self.words + 1, n), np.int64)
+            out[: len(before)] = np.array(before, np.int64)[:, None]
+            if self.words > 3:  # too long for a number of 64 bits
+                last = np.array([k & mask for k in self.table], np.int64)
+                keys = np.array([k >> BITS for k in self.table], np.int64)
+                rest, out[-2] = self.words - 1, last
+            else:
+                keys, rest = np.fromiter(self.table, np.int64, n), self.words
+            for i in range(rest):
+                out[len(before) + i] = keys >> BITS * (rest - 1 - i) & mask
+            out[-1] = np.fromiter(self.table.values(), np.int64, n)
+            yield out
 
 
 class Trie:
-    """Counts of phrases of one size; `spill` takes whole subtrees out as (packed key, count)."""
+    """Counts of phrases of one size; `spill` takes whole subtrees out."""
 
     def __init__(self, size: int):
         self.root, self.held = Node(size), 0
 
     def add(self, keys: list[int], counts: list[int]) -> None:
-        add = self.root.add
+        """Keys come in order, so that neighbours mostly meet the same container."""
+        end, base, at, table = -1, 0, self.root, {}
         for key, n in zip(keys, counts):
-            self.held += add(key, n)
-
-    def spill(self, keep: int) -> list[tuple[int, int]]:
-        """The largest subtrees, until at most `keep` entries are left."""
+            if key >= end:
+                at, base = self.root.leaf(key)
+                table, end = at.table, base + (1 << BITS * at.words)
+            own = key - base
+            if own in table:
+                table[own] += n
+            else:
+                table[own] = n
+                self.held += 1
+                if len(table) > BURST and at.words > 1:
+                    at.burst()
+                    end = -1
+
+    def spill(self, keep: int) -> np.ndarray:
+        """The largest subtrees, until at most `keep` entries are left: rows of words, and one of counts."""
         root = self.root
         if root.children is None or not keep:
-            out, self.root, self.held = list(root.entries()), Node(root.words), 0
-            return out
-        out, shift = [], BITS * (root.words - 1)
-        for word, _ in sorted(((w, c.size()) for w, c in root.children.items()), key=lambda x: -x[1]):
-            if self.held <= keep:
-                break
-            below = list(root.children.pop(word).entries())
-            self.held -= len(below)
-            out += [(word << shift | key, n) for key, n in below]
-        return out
+            out, self.root, self.held = list(root.columns()), Node(root.words), 0
+        else:
+            out = []
+            for word, _ in sorted(((w, c.size()) for w, c in root.children.items()), key=lambda x: -x[1]):
+                if self.held <= keep:
+                    break
+                below = list(root.children.pop(word).columns((word,)))
+                self.held -= sum(c.shape[1] for c in below)
+                out += below
+        return np.concatenate([np.empty((root.words + 1, 0), np.int64), *out], 1)
 
 
 class Counting:
@@ -203,8 +224,8 @@ class Counting:
             if 4 in self.sizes:
                 follows = np.flatnonzero(np.append(triple, False)[at + 1])
                 codes, often = np.unique(name[follows] << BITS | ids[at[follows] + 3], return_counts=True)
-                first = held[codes >> BITS].tolist()
-                self.keep(4, [t << BITS | w for t, w in zip(first, (codes & (1 << BITS) - 1).tolist())], often)
+                first, last = held[codes >> BITS].tolist(), (codes & (1 << BITS) - 1).tolist()
+                self.keep(4, [t << BITS | w for t, w in zip(first, last)], often)
 
     def keep(self, size: int, keys, counts) -> None:
         self.tries[size].add(keys if isinstance(keys, list) else keys.tolist(), counts.tolist())
@@ -217,29 +238,25 @@ class Counting:
             return
         for size, trie in self.tries.items():
             spilled = trie.spill(0 if anew else trie.held // 2)
-            for at in range(0, len(spilled), RUN_ROWS):
-                yield self.run(size, spilled[at : at + RUN_ROWS])
+            for at in range(0, spilled.shape[1], RUN_ROWS):
+                yield self.run(spilled[:-1, at : at + RUN_ROWS], spilled[-1, at : at + RUN_ROWS])
         if anew:
             self.begin()
 
-    def run(self, size: int, spilled: list[tuple[int, int]]) -> pa.RecordBatch:
-        mask = (1 << BITS) - 1
-        columns = [np.array([k >> BITS * (size - 1 - i) & mask for k, _ in spilled], np.int64) for i in range(size)]
-        prefix = fold([self.hashes[c] for c in columns[:3]]).view(np.int64)
-        names = self.names
-        phrases = [b" ".join([names[w] for w in row]) for row in zip(*(c.tolist() for c in columns))]
-        order = sorted(range(len(phrases)), key=phrases.__getitem__)
+    def run(self, words: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        names = pa.array(self.names, pa.binary())
+        phrases = pc.binary_join_element_wise(*(names.take(pa.array(w)) for w in words), b" ")
+        order = pc.sort_indices(phrases)
+        prefix = places(fold([self.hashes[w] for w in words[:3]]), PREFIXES).astype(np.int32)
+        lang = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(counts), np.int32)), [self.lang]).cast(pa.string())
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([self.lang] * len(order)), pa.array(prefix[order]), pa.array([size] * len(order), pa.int32()),
-                pa.array([phrases[i] for i in order], pa.binary()).cast(pa.string()), pa.array([spilled[i][1] for i in order], pa.int64()),
-            ],
-            names=["lang", "prefix", "size", "phrase", "f"],
-        )
+            [lang, pa.array(prefix).take(order), phrases.take(order).cast(pa.string()), pa.array(counts).take(order)],
+            names=["lang", "prefix", "phrase", "f"],
+        )
 
 
 def count_phrases(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray | None = None, pairs: np.ndarray | None = None) -> DataFrame:
-    """(lang, text), without nulls, to lang, prefix, size, phrase and f, the number of its occurrences.
+    """(lang, text), without nulls, to lang, phrase and f, the number of its occurrences.
 
     With sieves (packed bitmaps of the frequent words and pairs) phrases that cannot be frequent are left out."""
     context = texts.sparkSession.sparkContext
@@ -264,7 +281,7 @@ def count_phrases(texts: DataFrame, sizes: tuple[int, ...], words: np.ndarray |
             yield from own.runs(True)
 
     runs = texts.select("lang", "text").mapInArrow(each, RUNS)
-    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "size", "phrase").agg(F.sum("f").alias("f")).drop("prefix")
+    return runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("f").alias("f")).drop("prefix")
 
 
 def sieve_of(frequent: DataFrame, most: int = SIEVE_BITS) -> np.ndarray:
@@ -289,7 +306,7 @@ def sieve_of(frequent: DataFrame, most: int = SIEVE_BITS) -> np.ndarray:
 
 
 def phrase_counts(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(lang, n) and the table of frequent phrases (lang, size, phrase, f) of 1 to 4 words, in three passes over the texts."""
+    """(lang, n) and the table of frequent phrases (lang, phrase, f) of 1 to 4 words, in three passes over the texts."""
     texts = documents.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     words = materialize(count_phrases(texts, (1,)), "words")
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
@@ -312,6 +329,7 @@ def collocations(documents: DataFrame, least: int = LEAST, top: int = TOP, cover
     shorter first part; ranks go by score and a, descending, then by the phrase's bytes, so they have no ties.
     """
     totals, counted = phrase_counts(documents, least)
+    counted = counted.withColumn("size", F.length("phrase") - F.length(F.replace("phrase", F.lit(" "))) + 1)
     words = F.split("phrase", " ")
     candidates = counted.filter("size > 1").select("lang", "size", "phrase", F.col("f").alias("a"), words.alias("words"))
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("size") - 1)))
