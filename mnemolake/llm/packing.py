@@ -110,8 +110,8 @@ class Plan:
     """Which ranks of each length go where. A row: length, first rank, number of sequences, pieces in each, first sequence,
     offset. The r-th piece of a row stands in sequence first + r // pieces, at offset + r % pieces * length."""
 
-    def __init__(self, counts: dict[int, int], capacity: int):
-        self.capacity = capacity
+    def __init__(self, counts: dict[int, int], capacity: int, partners: int = 3):
+        self.capacity, self.partners = capacity, partners  # pieces that may fill a gap exactly
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] = n
@@ -125,7 +125,8 @@ class Plan:
             if len(small) and small[-1] == a and self.left[a] < 2:
                 small = small[:-1]
             self.pair[small + a] = a
-        self.exact()
+        if partners:
+            self.exact()
         self.best_fit()
 
     def put(self, length: int, sequences: int, each: int, first: int, offset: int) -> None:
@@ -156,8 +157,10 @@ class Plan:
         """One, two or three available lengths whose sum is the gap."""
         if self.free(gap, taken):
             return [gap]
-        if both := self.two(gap, taken):
+        if self.partners > 1 and (both := self.two(gap, taken)):
             return both
+        if self.partners < 3:
+            return None
         third = np.arange(gap - 1, 0, -1)
         for c in third[(self.left[third] > 0) & (self.pair[gap - third] > 0)].tolist():
             if self.free(c, taken):
@@ -234,6 +237,12 @@ class Plan:
         return np.array(sorted(self.rows) or np.empty((0, 6)), np.int64).reshape(-1, 6).T
 
 
+def best_plan(counts: dict[int, int], capacity: int) -> Plan:
+    """The plan with fewest sequences of those whose gaps take up to three, two or one exact partners. Where long pieces are
+    many, exact triples can use up what others need; so that it is never worse than best-fit alone, that is tried too."""
+    return min((Plan(counts, capacity, partners) for partners in (3, 2, 1, 0)), key=lambda p: p.sequences)
+
+
 def place_udf(plan: np.ndarray):
     """(length, rank) to sequence_id and offset by the rows of a plan: at most 64 for each combination of lengths."""
     schema = T.StructType([T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
@@ -259,7 +268,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     totals = {r["length"]: r["pieces"] for r in counts.groupBy("length").agg(F.sum("pieces").alias("pieces")).collect()}
     before = F.sum("pieces").over(Window.partitionBy("length").orderBy("part")) - F.col("pieces")
     begins = sized(counts.select("part", "length", before.alias("begin")))
-    place = place_udf(Plan(totals, capacity).arrays())
+    place = place_udf(best_plan(totals, capacity).arrays())
     joined = pieces.join(begins, ["part", "length"]).withColumn("at", place("length", F.col("begin") + F.col("nth")))
     return joined.select(*(c for c in pieces.columns if c not in ("part", "nth")), "at.*")
 
