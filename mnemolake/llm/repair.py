@@ -312,7 +312,8 @@ def plan_repairs(turns: DataFrame) -> DataFrame:
     dropped gets zeros and an empty audit. Further columns are not read; an empty table gives no rows. A text is looked at
     whole, whatever its length; of a conversation only one letter a row is held at a time.
     """
-    return with_audit(signatures(marked_turns(turns)))
+    # Written once: the range exchange looks at its input twice.
+    return with_audit(materialize(signatures(marked_turns(turns)), "signatures"))
 
 
 SQL = r"""
