@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,9 +11,12 @@ from pyspark.sql import functions as F
 
 from mnemolake.functions.scoring import FactThresholds, decide
 from mnemolake.functions.text import char_set
+from mnemolake.functions.vectors import composite_sim, cosine
 from mnemolake.operators.blocks import blocked
+from mnemolake.operators.setjoin import candidates as set_candidates
+from mnemolake.operators.setjoin import jaccard_of
 from mnemolake.schemas import SCOPE
-from mnemolake.session import cut
+from mnemolake.session import cut, materialize
 
 # Facts that share scope, character set and vector compare alike, so they are collapsed to one "form" first:
 # a group of copies of any size is one row in every comparison below.
@@ -135,10 +140,71 @@ def _compare(new_forms: DataFrame, old_forms: DataFrame, best, block: int) -> Da
     return blocked(new_forms, old, SCOPE, "form_id", "target_id", best, PAIR, block)
 
 
+SETS_FROM = 0.7  # Jaccard floor from which on character sets select candidates; below it almost all pairs would be
+
+
+def jaccard_floor(min_sim: float, vectors: bool, w_jaccard: float = 0.4, w_cosine: float = 0.6) -> float:
+    """The least Jaccard similarity of a pair that reaches `min_sim`: with vectors, when they are equal."""
+    return (min_sim * (w_jaccard + w_cosine) - w_cosine) / w_jaccard if vectors else min_sim
+
+
+def candidate_pairs(new_forms: DataFrame, old_forms: DataFrame, floor: float) -> DataFrame:
+    """Pairs of forms of one user whose character sets may be alike enough, each new form with earlier old ones only."""
+    a, b = (f.withColumn("elements", F.split("chars", "")).filter("chars <> ''") for f in (new_forms, old_forms))
+    ordered = "at" in new_forms.columns and "at" in old_forms.columns
+    own = ["form_id", "vec", *(["at"] if ordered else [])]
+    pairs = set_candidates(a, b, SCOPE, floor, (own, own))
+    return pairs.filter(F.col("r_at") < F.col("l_at")) if ordered else pairs
+
+
+def _close_by_sets(new_forms: DataFrame, old_forms: DataFrame, min_sim: float, vectors: bool) -> DataFrame:
+    pairs = candidate_pairs(new_forms, old_forms, jaccard_floor(min_sim, vectors))
+    sim = jaccard_of(pairs)
+    if vectors:
+        # The set similarity bounds the composite one, so vectors are only multiplied where it leaves room.
+        room = composite_sim(sim, F.lit(1.0), F.lit(True)) >= min_sim - 1e-9
+        sim = F.when(room, composite_sim(sim, cosine(F.col("l_vec"), F.col("r_vec")), F.lit(True))).otherwise(-1.0)
+    found = pairs.select(*[F.col(f"l_{c}").alias(c) for c in SCOPE], F.col("l_form_id").alias("form_id"), F.col("r_form_id").alias("target_id"), sim.alias("sim"))
+    return found.filter(F.round("sim", 9) >= min_sim)
+
+
+def close_forms(new_forms: DataFrame, old_forms: DataFrame, min_sim: float, vectors: bool = True, block: int = 2048) -> DataFrame:
+    """All pairs of forms of one user with at least this similarity: tenant_id, user_id, form_id, target_id, sim.
+
+    Character sets select the candidates where the threshold asks for a set similarity of SETS_FROM or more, apart for new
+    forms with and without vectors (`vectors`: whether any has one); otherwise blocks compare all."""
+    if jaccard_floor(min_sim, False) < SETS_FROM:
+        return _compare(new_forms, old_forms, _close(min_sim), block)
+    if not vectors:
+        return _close_by_sets(new_forms, old_forms, min_sim, False)
+    has = F.coalesce(F.size("vec") > 0, F.lit(False))
+    plain = _close_by_sets(new_forms.filter(~has), old_forms, min_sim, False)
+    mixed = new_forms.filter(has)
+    if jaccard_floor(min_sim, True) < SETS_FROM:
+        return plain.unionByName(_compare(mixed, old_forms, _close(min_sim), block))
+    return plain.unionByName(_close_by_sets(mixed, old_forms, min_sim, True))
+
+
+LIKELY = 0.88  # similarity at which the best match of most forms is looked for first; with vectors still above SETS_FROM
+
+
+def best_forms(new_forms: DataFrame, old_forms: DataFrame, vectors: bool = True, block: int = 2048) -> DataFrame:
+    """Per new form its most similar old form (ties: least id): tenant_id, user_id, form_id, target_id, sim.
+
+    All pairs from LIKELY on come from the set-similarity join, and the best of them is the best of all. Only forms without
+    such a pair are compared with all others of their user, by blocks, so that matches below LIKELY are as exact."""
+    key = [*SCOPE, "form_id"]
+    order = Window.partitionBy(*key).orderBy(F.round("sim", 9).desc(), "target_id")
+    top = lambda pairs: pairs.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
+    likely = materialize(top(close_forms(new_forms, old_forms, LIKELY, vectors, block)), "likely")
+    rest = new_forms.join(likely, key, "left_anti")
+    return likely.unionByName(top(_compare(rest, old_forms, _best, block)))
+
+
 def fact_pairs(new: DataFrame, existing: DataFrame, min_sim: float = 0.85, block: int = 2048) -> DataFrame:
     """Pairs of forms that can matter (similarity at least `min_sim`), with the number of facts on both sides."""
     a, b = fact_forms(new), fact_forms(existing)
-    close = _compare(a, b, _close(min_sim), block)
+    close = close_forms(a, b, min_sim, "embedding" in new.columns, block)
     sizes_a = a.select(*SCOPE, "form_id", F.col("n").alias("n_new"))
     sizes_b = b.select(*SCOPE, F.col("form_id").alias("target_id"), F.col("n").alias("n_old"))
     return close.join(sizes_a, [*SCOPE, "form_id"]).join(sizes_b, [*SCOPE, "target_id"])
@@ -146,10 +212,8 @@ def fact_pairs(new: DataFrame, existing: DataFrame, min_sim: float = 0.85, block
 
 def best_match(new: DataFrame, existing: DataFrame, block: int = 2048) -> DataFrame:
     """Per new fact the most similar existing fact of its user (ties: lowest id)."""
-    forms = fact_forms(new)
-    local = _compare(forms, fact_forms(existing), _best, block)
-    order = Window.partitionBy(*SCOPE, "form_id").orderBy(F.round("sim", 9).desc(), "target_id")
-    top = local.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") == 1).drop("_r")
+    forms = materialize(fact_forms(new), "forms")
+    top = best_forms(forms, materialize(fact_forms(existing), "forms"), "embedding" in new.columns, block)
     by_form = forms.join(top, [*SCOPE, "form_id"], "left").select(*SCOPE, "chars", "vec", "target_id", "sim")
     return _join_forms(_forms_of(new), by_form).select(*SCOPE, "semantic_id", "target_id", "sim")
 
@@ -183,39 +247,39 @@ def consolidate_facts(
 ) -> DataFrame:
     """Sequential consolidation per user: a candidate also meets the candidates accepted before it.
 
-    A candidate is dropped (NOOP) when a known fact or an earlier accepted candidate is close enough. Only the
-    first of equal candidates can survive (unless even equal ones are not close enough), so the rule runs on forms: forms close to a known fact go first, then
-    rounds settle every form whose earlier close forms are all settled. Each round is a join; their number is the
-    longest chain of close forms, not the number of candidates.
+    A candidate is dropped (NOOP) when a known fact or an earlier accepted candidate is close enough. Only the first of equal
+    candidates can survive (unless even equal ones are not close enough), so the rule runs on forms: forms close to a known
+    fact go first, then rounds settle every form whose earlier close forms are all settled. A round writes what it settles and
+    what stays open, so rounds shrink; their number is the longest chain of close forms, not the number of candidates.
     """
     key = [*SCOPE, "form_id"]
     forms = cut(fact_forms(candidates, order, thresholds.noop))
-    known = fact_forms(existing)
-    stopped = _compare(forms, known, _close(thresholds.noop), block).select(*key).distinct()
-    links = _compare(forms, forms, _close(thresholds.noop), block).select(*key, "target_id")
-    links = cut(links.filter(F.col("form_id") != F.col("target_id")))
-    settled = cut(stopped.withColumn("kept", F.lit(False)))
+    known = cut(fact_forms(existing))
+    vectors = "embedding" in candidates.columns
+    stopped = close_forms(forms, known, thresholds.noop, vectors, block).select(*key).distinct()
+    open_forms = cut(forms.select(*key).join(stopped, key, "left_anti"))
+    as_target = lambda df: df.withColumnRenamed("form_id", "target_id")
+    target = [*SCOPE, "target_id"]
+    links = close_forms(forms, forms, thresholds.noop, vectors, block).select(*key, "target_id").filter(F.col("form_id") != F.col("target_id"))
+    links = cut(links.join(open_forms, key, "left_semi").join(as_target(open_forms), target, "left_semi"))
+    settled: list[DataFrame] = []
     while True:
-        open_forms = forms.select(*key).join(settled, key, "left_anti")
-        earlier = settled.withColumnRenamed("form_id", "target_id")
-        judged = links.join(earlier, [*SCOPE, "target_id"], "left")
-        per_form = judged.groupBy(*key).agg(
-            F.bool_or(F.coalesce("kept", F.lit(False))).alias("hit"), F.bool_or(F.col("kept").isNull()).alias("waits")
-        )
-        state = open_forms.join(per_form, key, "left")
-        ready = state.filter(F.coalesce("hit", F.lit(False)) | ~F.coalesce("waits", F.lit(False)))
-        fresh = cut(ready.select(*key, (~F.coalesce("hit", F.lit(False))).alias("kept")))
+        # Open links lead to earlier forms that are not settled: a form without one meets no accepted form.
+        fresh = cut(open_forms.join(links.select(*key).distinct(), key, "left_anti"))
         if fresh.isEmpty():
             break
-        settled = cut(settled.unionByName(fresh))
-    accepted = cut(forms.join(settled.filter("kept"), key, "left_semi"))
+        settled.append(fresh)
+        dropped = cut(links.join(as_target(fresh), target, "left_semi").select(*key).distinct())
+        gone = fresh.unionByName(dropped)
+        open_forms = cut(open_forms.join(gone, key, "left_anti"))
+        links = cut(links.join(gone, key, "left_anti").join(as_target(dropped), target, "left_anti"))
+    kept = reduce(DataFrame.unionByName, settled) if settled else open_forms
+    accepted = cut(forms.join(kept, key, "left_semi"))
     before = F.when(F.col("n") > 0, F.lit(-1)).cast(forms.schema["at"].dataType)
     pool = known.withColumn("at", before).unionByName(
         accepted.select(*known.columns, "at")
     )
-    near = _compare(accepted, pool, _best, block)
-    first = Window.partitionBy(*key).orderBy(F.round("sim", 9).desc(), "target_id")
-    top = near.withColumn("_r", F.row_number().over(first)).filter(F.col("_r") == 1)
+    top = best_forms(accepted, pool, vectors, block)
     sim = F.coalesce(F.round("sim", 9), F.lit(0.0))
     decision = decide(sim, thresholds)
     return accepted.select(*key).join(top.select(*key, "target_id", "sim"), key, "left").select(

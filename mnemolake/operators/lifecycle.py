@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemolake.functions.core import significant
 from mnemolake.functions.scoring import compute_state, recency, signal_map
 from mnemolake.operators.ordered import previous_in_key, rank_in_key, split_hot_keys
 from mnemolake.schemas import SCOPE
@@ -124,7 +125,7 @@ def enforce_capacity(
     live = cells.filter(F.col("state") != "ARCHIVED").join(due, SCOPE).select(
         *SCOPE, "mem_cell_id", score.alias("score"), "total", "_quota"
     )
-    ranked = rank_in_key(live, SCOPE, [F.round("score", 6), F.col("mem_cell_id")], "position", **chunking)
+    ranked = rank_in_key(live, SCOPE, [significant(F.col("score")), F.col("mem_cell_id")], "position", **chunking)
     return ranked.filter(F.col("position") <= F.col("_quota")).drop("_quota")
 
 

@@ -66,6 +66,8 @@ def index_fanout(
     has_vector = F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     text_ok = text_ok if text_ok is not None else F.col("text").isNotNull() & (F.trim("text") != "")
     vector_ok = vector_ok if vector_ok is not None else ~F.exists("embedding", lambda x: F.isnan(x) | x.isNull())
+    # A rule that gives null has not accepted the row: it is a dead letter, never lost.
+    text_ok, vector_ok = F.coalesce(text_ok, F.lit(False)), F.coalesce(vector_ok, F.lit(False))
     docs = cells.filter(text_ok)
     vectors = cells.filter(has_vector & vector_ok).select("mem_cell_id", *SCOPE, "embedding")
     failures = F.array_compact(

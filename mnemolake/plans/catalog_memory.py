@@ -213,7 +213,7 @@ def capacity_sql(table: str, cap: str) -> str:
 cap AS (SELECT tenant_id, user_id, count(*) AS total, least(count(*) - {cap}, greatest(1, CAST(floor(count(*) * 0.1) AS BIGINT)))
   AS quota FROM {table} GROUP BY 1, 2 HAVING count(*) > {cap}),
 worst AS (SELECT s.tenant_id, s.user_id, s.mem_cell_id, total, quota, round(total_score, 6) AS score,
-  row_number() OVER (PARTITION BY s.tenant_id, s.user_id ORDER BY round(total_score, 6), s.mem_cell_id) AS position
+  row_number() OVER (PARTITION BY s.tenant_id, s.user_id ORDER BY SIGNIFICANT(total_score), s.mem_cell_id) AS position
   FROM {table} s JOIN cap USING (tenant_id, user_id) JOIN (SELECT mem_cell_id, total AS total_score FROM scored) x
   USING (mem_cell_id) WHERE state <> 'ARCHIVED')
 """

@@ -161,9 +161,9 @@ def _(t):
 @query("index_fanout", "cells", """
 SELECT 'text' AS sink, mem_cell_id, NULL AS error FROM cells WHERE length(text) <= 20000
 UNION ALL SELECT 'vector', mem_cell_id, NULL FROM cells WHERE embedding IS NOT NULL AND importance_score > -10
-UNION ALL SELECT 'dlq:es', mem_cell_id, 'text rejected' FROM cells WHERE length(text) > 20000
+UNION ALL SELECT 'dlq:es', mem_cell_id, 'text rejected' FROM cells WHERE length(text) <= 20000 IS NOT TRUE
 UNION ALL SELECT 'dlq:milvus', mem_cell_id, 'vector rejected' FROM cells
-  WHERE embedding IS NOT NULL AND importance_score <= -10""")
+  WHERE embedding IS NOT NULL AND importance_score > -10 IS NOT TRUE""")
 def _(t):
     docs, vectors, dead = store.index_fanout(
         t["cells"], F.lit(0), F.length("text") <= 20000, F.col("importance_score") > -10

@@ -82,8 +82,8 @@ def _(t):
 @query("stream_fanout", "cells", """
 SELECT 'text' AS sink, mem_cell_id FROM cells WHERE length(text) <= 20000
 UNION ALL SELECT 'vector', mem_cell_id FROM cells WHERE embedding IS NOT NULL AND importance_score > -10
-UNION ALL SELECT 'dlq', mem_cell_id FROM cells WHERE length(text) > 20000
-UNION ALL SELECT 'dlq', mem_cell_id FROM cells WHERE embedding IS NOT NULL AND importance_score <= -10""")
+UNION ALL SELECT 'dlq', mem_cell_id FROM cells WHERE length(text) <= 20000 IS NOT TRUE
+UNION ALL SELECT 'dlq', mem_cell_id FROM cells WHERE embedding IS NOT NULL AND importance_score > -10 IS NOT TRUE""")
 def _(t):
     root = scratch_path(t.spark, "fanout")
     paths = {name: f"{root}/{name}" for name in ("text", "vector", "dlq")}

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
 from mnemolake.sources.views import Tables, with_views
 
-# What ranks compare, in SQL: a score at twelve significant digits. `SIGNIFICANT(score)` in a query's SQL stands for it.
+# What ranks compare, in SQL: a score at twelve significant digits. `SIGNIFICANT(column)` in a query's SQL stands for it.
 SIGNIFICANT = (
     "CASE WHEN score = 0 THEN 0 ELSE sign(score) * round(abs(score) * pow(10, 11 - floor(log10(abs(score)))))"
     " * pow(10, floor(log10(abs(score))) - 11) END"
@@ -24,7 +25,9 @@ def query(name: str, views: str = "", sql: str | None = None, query_ids: bool =
     def add(build: Callable[[Tables], DataFrame]):
         QUERIES[name] = lambda spark, folder: build(Tables(spark, folder))
         if sql is not None:
-            ORACLES[name] = with_views(views, sql, query_ids).replace("SIGNIFICANT(score)", SIGNIFICANT)
+            ORACLES[name] = re.sub(
+                r"SIGNIFICANT\((\w+)\)", lambda m: SIGNIFICANT.replace("score", m[1]), with_views(views, sql, query_ids)
+            )
         return build
 
     return add
