@@ -6,7 +6,7 @@ Rows of one key that arrive in one micro-batch are sorted first; across micro-ba
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,23 +15,58 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from mnemolake.functions.scoring import signal_map
 from mnemolake.operators import store
-from mnemolake.operators.limits import Limiter
 from mnemolake.operators.lifecycle import ACCESS_FEEDBACK, targeted, touched_at
 from mnemolake.operators.scenes import TIMELESS, SceneState, cell_days, scene_key
 from mnemolake.schemas import REQUEST, SCOPE
+from mnemolake.session import scratch_path
 from mnemolake.streaming.runs import run_available
+from mnemolake.streaming.sinks import Ledger, Retry, deliver, to_folder
 
 
 def stream_dedupe(stream: DataFrame, key: Sequence[str], ts: str, ttl: str = "24 hours") -> DataFrame:
     """The first row per key within `ttl` of event time; the watermark bounds the kept keys.
 
     A row with a null in its key claims nothing: each gets a claim of its own, so none is lost."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, ttl)
     absent = F.lit(False)
     for name in key:
         absent = absent | F.col(name).isNull()
-    single = timed.withColumn("_claim", F.when(absent, F.uuid()).otherwise(F.lit("")))
-    return single.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([*key, "_claim"]).drop("_claim")
+    return timed.filter(~absent).dropDuplicatesWithinWatermark(list(key)).unionByName(timed.filter(absent))
+
+
+class _Expiring(StatefulProcessor):
+    """State that goes by event time: one timer per key, moved with the key's last event; when the watermark passes it, nothing
+    that may still arrive can reach the state, so all of it is cleared."""
+
+    expires = False
+
+    def expire_at(self, millis: int) -> None:
+        if not self.expires:
+            return
+        for old in self._handle.listTimers():
+            if (old := old if isinstance(old, int) else int(old[0])) != millis:
+                self._handle.deleteTimer(old)
+        self._handle.registerTimer(millis)
+
+    def drop(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: ANN001, N802, N803
+        self.drop()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _keyed(stream: DataFrame, keys: Sequence[str], micros: Column, delay: str | None, processor: _Expiring, schema: str) -> DataFrame:
+    """Without a delay state stays for ever. With one, event time has a watermark: state expires, and rows behind the watermark
+    or without a time are dropped."""
+    if delay is None:
+        return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
+    processor.expires = True
+    timed = stream.withColumn("_time", F.timestamp_micros(micros.cast("bigint"))).withWatermark("_time", delay)
+    return timed.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "EventTime")
 
 
 class _Folding(StatefulProcessor):
@@ -71,32 +106,47 @@ class _Folding(StatefulProcessor):
         pass
 
 
-class _Segmenter(_Folding):
-    order = ["pos", "raw_id"]
+class _Segmenter(_Expiring):
     columns = [*REQUEST, "raw_id", "pos", "segment"]
 
-    def __init__(self, gap_min: float, max_turns: int, max_tokens: int) -> None:
-        self.gap_min, self.max_turns, self.max_tokens = gap_min, max_turns, max_tokens
-
-    def start(self, first):
-        return {"segment": -1, "turns": 0, "chars": 0, "last": None}
-
-    def step(self, key, s, row):
-        gap = s["last"] is not None and row.event_min - s["last"] > self.gap_min
-        full = s["turns"] >= self.max_turns or s["chars"] // 4 >= self.max_tokens
-        if s["segment"] < 0 or gap or full:
-            s.update(segment=s["segment"] + 1, turns=0, chars=0)
-        s.update(turns=s["turns"] + 1, chars=s["chars"] + row.chars, last=row.event_min)
-        return *key, row.raw_id, row.pos, s["segment"]
-
+    def __init__(self, gap_min: float, max_turns: int, max_tokens: int, forget_min: float) -> None:
+        self.gap_min, self.max_turns, self.max_tokens, self.forget_min = gap_min, max_turns, max_tokens, forget_min
 
-def stream_segment(raws: DataFrame, gap_min: float = 30, max_turns: int = 20, max_tokens: int = 512) -> DataFrame:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getValueState("open", "segment bigint, turns int, chars bigint, last double")
+
+    def drop(self) -> None:
+        self._open.clear()
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, N802, N803
+        batch = pd.concat([r[["pos", "raw_id", "event_min", "chars"]] for r in rows]).sort_values(["pos", "raw_id"], kind="stable")
+        segment, turns, chars, last = self._open.get() if self._open.exists() else (-1, 0, 0, None)
+        numbers = []
+        for at, size in zip(batch["event_min"].tolist(), batch["chars"].tolist()):
+            gap = last is not None and at - last > self.gap_min
+            if segment < 0 or gap or turns >= self.max_turns or chars // 4 >= self.max_tokens:
+                segment, turns, chars = segment + 1, 0, 0
+            turns, chars, last = turns + 1, chars + int(size), at
+            numbers.append(segment)
+        self._open.update((segment, turns, chars, last))
+        if last is not None and last == last:
+            self.expire_at(int((last + self.forget_min) * 60_000) + 1)
+        out = pd.DataFrame({"raw_id": batch["raw_id"].to_numpy(), "pos": batch["pos"].to_numpy(), "segment": numbers})
+        yield out.assign(**dict(zip(REQUEST, key)))[self.columns]
+
+
+def stream_segment(
+    raws: DataFrame, gap_min: float = 30, max_turns: int = 20, max_tokens: int = 512, forget_min: float = 1440, delay: str | None = None,
+) -> DataFrame:
+    """Rows with the number of their segment. A segment that is idle for `gap_min` is closed by whatever comes next; a request
+    that is idle for `forget_min` of event time is over if a `delay` is given: its state goes once the watermark, `delay` behind
+    the newest row, is past that, and an id that comes again is a new request. Times must then be those of one clock."""
     chars = F.coalesce(F.length("content"), F.lit(0)).alias("chars")
     slim = raws.select(*REQUEST, "raw_id", "pos", "event_min", chars)
-    return slim.groupBy(*REQUEST).transformWithStateInPandas(
-        _Segmenter(gap_min, max_turns, max_tokens),
-        "tenant_id string, user_id string, request_id string, raw_id string, pos bigint, segment bigint", "Append", "None",
-    )
+    schema = "tenant_id string, user_id string, request_id string, raw_id string, pos bigint, segment bigint"
+    processor = _Segmenter(gap_min, max_turns, max_tokens, max(forget_min, gap_min))
+    return _keyed(slim, REQUEST, F.col("event_min") * 60_000_000, delay, processor, schema)
 
 
 class _Clusterer(_Folding):
@@ -187,36 +237,79 @@ def stream_feedback(
     )
 
 
-class _Limit(_Folding):
-    order = ["at", "event_id"]
-    columns = ["key", "event_id", "accepted"]
+class _Limit(_Expiring):
+    """The last n accepted times stand in a ring: an event looks at the one n places back and, if accepted, replaces it."""
 
     def __init__(self, n: int, seconds: float) -> None:
-        self.n, self.seconds = n, seconds
-
-    def start(self, first):
-        return Limiter(self.n, self.seconds)
+        self.n, self.width = n, int(seconds * 1_000_000)
 
-    def step(self, key, limiter, row):
-        return key[0], row.event_id, limiter.hit(row.at)
-
-
-def stream_limit(events: DataFrame, key: str, ts: str, n: int = 120, seconds: float = 60) -> DataFrame:
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._taken = handle.getMapState("taken", "slot int", "at bigint")
+        self._count = handle.getValueState("count", "accepted bigint")
+
+    def drop(self) -> None:
+        self._taken.clear()
+        self._count.clear()
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: ANN001, N802, N803
+        batch = pd.concat([r[["at", "event_id"]] for r in rows]).sort_values(["at", "event_id"], kind="stable")
+        count = self._count.get()[0] if self._count.exists() else 0
+        ring: dict[int, int] = {}  # entries this batch has looked at or written, n at most
+        written, accepted, newest = set(), [], None
+        for at in batch["at"].tolist():
+            slot = count % self.n if self.n else 0
+            if self.n and count >= self.n and slot not in ring:
+                ring[slot] = self._taken.getValue((slot,))[0]
+            free = self.n > 0 and (count < self.n or ring[slot] <= at - self.width)
+            if free:
+                ring[slot], newest, count = at, at, count + 1
+                written.add(slot)
+            accepted.append(free)
+        for slot in written:
+            self._taken.updateValue((slot,), (ring[slot],))
+        if newest is not None:
+            self._count.update((count,))
+            self.expire_at((newest + self.width) // 1000 + 1)
+        yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"].to_numpy(), "accepted": accepted})
+
+
+def stream_limit(events: DataFrame, key: str, ts: str, n: int = 120, seconds: float = 60, delay: str | None = None) -> DataFrame:
+    """key, event_id, accepted, as the batch form on ordered input. A key's state is n times at most. With a `delay` it
+    goes once the watermark, `delay` behind the newest event, is a full window past its last accepted event."""
     slim = events.select(
         F.col(key).cast("string").alias("key"), "event_id", (F.unix_micros(F.col(ts).cast("timestamp"))).alias("at")
     )
-    return slim.groupBy("key").transformWithStateInPandas(
-        _Limit(n, seconds), "key string, event_id bigint, accepted boolean", "Append", "None"
-    )
+    return _keyed(slim, ["key"], F.col("at"), delay, _Limit(n, seconds), "key string, event_id bigint, accepted boolean")
+
+
+TARGETS = {"text": "es", "vector": "milvus"}  # names that dead letters give to the sinks
+
 
+def stream_fanout(
+    stream: DataFrame, paths: dict[str, str], at: Column, checkpoint: str | None = None, retry: Retry = Retry(),
+    writers: dict[str, Callable[[DataFrame, int], None]] | None = None, ledger: str | None = None, **rules,
+) -> None:
+    """Each micro-batch of cells to the text, vector and dead-letter sinks, by default one directory per batch id in `paths`.
 
-def stream_fanout(stream: DataFrame, paths: dict[str, str], at: Column, checkpoint: str | None = None, **rules) -> None:
-    """Each micro-batch of cells to the text, vector and dead-letter sinks, one directory per batch id."""
+    A sink that fails is tried again (`retry`); after the last try its rows become dead letters of that sink, and the other
+    sinks complete. A replayed batch writes no sink again that the ledger knows to have ended. Only dead letters that cannot
+    be written fail the batch. `writers` replaces the folders of single sinks."""
+    write_to = {name: to_folder(path) for name, path in paths.items()} | (writers or {})
+    kept = Ledger(stream.sparkSession, ledger or scratch_path(stream.sparkSession, "ledger"))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        for name, rows in zip(("text", "vector", "dlq"), store.index_fanout(batch, at, **rules)):
-            rows.write.mode("overwrite").parquet(f"{paths[name]}/batch={number}")
+        docs, vectors, dead = store.index_fanout(batch, at, **rules)
+        for name, rows in (("text", docs), ("vector", vectors)):
+            tries, error = deliver(rows, number, name, write_to[name], kept, retry)
+            if error is not None:
+                lost = rows.select(
+                    F.lit(TARGETS[name]).alias("target"), "mem_cell_id", F.lit("index").alias("operation"),
+                    F.lit(error).alias("error"), F.lit(tries).alias("retry_count"), at.alias("ts"),
+                )
+                dead = dead.unionByName(lost)
+        write_to["dlq"](dead, number)
         batch.unpersist()
 
     run_available(stream, write, checkpoint=checkpoint)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StreamingQuery
 
 from mnemolake.session import ROCKSDB, scratch_path
 
 
 def run_available(
     stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None,
-) -> None:
+) -> StreamingQuery:
     """Process all available input; `write(batch, id)` must overwrite what an earlier try of the same id wrote."""
     spark = stream.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
@@ -23,6 +24,7 @@ def run_available(
         .start()
     )
     running.awaitTermination()
+    return running
 
 
 def to_table(stream: DataFrame, mode: str = "append", path: str | None = None, checkpoint: str | None = None) -> DataFrame:
