@@ -61,7 +61,7 @@ WORD_END = "</w>"
 CACHE = 200_000  # entries of a generation of a worker's caches, which keep the one before
 NEVER = 1 << 62
 ID_BITS, NO_ID = 20, (1 << 20) - 1  # of a token's number; the number that none has
-SEGMENT = 1 << 21  # characters that are worked on at a time
+SEGMENT = 1 << 19  # characters that are worked on at a time
 BASE = 0x9E3779B97F4A7C15
 LONG = 64  # bytes of a word from which on it is merged by a heap at once
 
@@ -500,7 +500,7 @@ ENCODED = T.StructType([
 DIGESTS = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
 ])
-STEP = 512  # texts that are encoded together
+STEP = 128  # texts that are encoded together
 
 
 def _stepwise(path: str | None, texts: pd.Series) -> Iterator[tuple[int, bytes, bytes]]:
