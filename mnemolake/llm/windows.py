@@ -4,7 +4,8 @@ The most significant digit of a window is the least hash of its grams, which dep
 neighbouring windows mostly have the same digit, a text is a short list of runs of windows, and the first pass moves runs,
 not suffixes. Runs of one digit whose bytes are equal fold to one content with a count. Only contents that share a digit
 with another one go through the further passes, digit by digit, up to the window's length; windows alone in their group
-leave after each pass. What is left in groups at full depth are exactly the repeated windows.
+leave after each pass. Hashes only deal the work out: what is left in a group at full depth is compared byte by byte, runs
+are told apart by 128 bits of BLAKE2b, and so is a whole window where it is its own digit.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +28,7 @@ DEPTH = 100  # bytes of a later digit
 PIECE = 1 << 20  # bytes of a text that are hashed in one go
 LOCAL = 500  # contents of one digit that one task sorts; beyond that they are dealt out by a longer digit
 BATCH = 1 << 21  # bytes that are sorted in one go
+CHECKED = 1 << 22  # bytes that are compared in one go
 BASE = 0x9E3779B97F4A7C15 | 1
 _L, _B = T.LongType(), T.BinaryType()
 
@@ -37,9 +38,9 @@ def _schema(**columns) -> T.StructType:
 
 
 RANGES = T.ArrayType(_schema(first=_L, last=_L))
-RUNS = _schema(a=_L, b=_L, lo=_L, hi=_L, digit=_L, content=_L, tied=T.BooleanType())
-PARTS = _schema(digit=_L, content=_L, bytes=_B)
-MARKS = _schema(digit=_L, content=_L, ranges=RANGES)
+RUNS = _schema(a=_L, b=_B, lo=_L, hi=_L, digit=_L, content=_B, tied=T.BooleanType())
+PARTS = _schema(digit=_L, content=_B, bytes=_B)
+MARKS = _schema(digit=_L, content=_B, ranges=RANGES)
 KEPT = _schema(doc_id=_L, n_bytes=_L, n_removed=_L, n_spans=_L, kept_sha256=T.StringType())
 
 
@@ -70,9 +71,14 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(have[: len(values) - width + 1], have[width - step :]) if width > step else have
 
 
-def runs_of(data: bytes, gram: int = GRAMS[0], window: int = WINDOW) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(first start, last start, digit, content hash, tied) of each run of windows of one digit. Tied: the digit stands at
-    several places of the run, which a repeat within it needs. Long texts go piece by piece; a run ends where a piece does."""
+def content_name(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def runs_of(data: bytes, gram: int = GRAMS[0], window: int = WINDOW) -> Iterator[tuple[int, int, int, bytes, bool]]:
+    """(first start, last start, digit, content name, tied) of each run of windows of one digit. Tied: the digit stands at
+    several places of the run, which a repeat within it needs. Long texts go piece by piece; a run ends where a piece does.
+    With grams of a whole window, a run is one window or one repeated byte, and its name is that of its first window."""
     wide = window - gram + 1
     for offset in range(0, max(len(data) - window + 1, 0), PIECE):
         piece = np.frombuffer(data, np.uint8, min(len(data) - offset, PIECE + window - 1), offset)
@@ -88,8 +94,14 @@ def runs_of(data: bytes, gram: int = GRAMS[0], window: int = WINDOW) -> Iterator
         at = np.searchsorted(code, rank * len(piece) + starts) + 1
         tied = (at < len(code)) & (code[np.minimum(at, len(code) - 1)] < rank * len(piece) + lasts + wide)
         for lo, hi, digit, tie in zip(starts.tolist(), lasts.tolist(), digits.view(np.int64).tolist(), tied.tolist()):
-            content = xxhash.xxh3_64_intdigest(data[offset + lo : offset + hi + window])
-            yield offset + lo, offset + hi, digit, content - (content >> 63 << 64), tie
+            lo, hi = offset + lo, offset + hi
+            if gram < window:
+                yield lo, hi, digit, content_name(data[lo : hi + window]), tie
+            elif data.count(data[lo : lo + 1], lo, hi + window) == hi + window - lo:
+                yield lo, hi, digit, content_name(data[lo : lo + window]), tie
+            else:
+                for at in range(lo, hi + 1):
+                    yield at, at, digit, content_name(data[at : at + window]), False
 
 
 def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
@@ -131,8 +143,10 @@ def window_digits(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     return [hashes[starts + d] for d in range(0, WINDOW, DEPTH)]
 
 
-def repeated_windows(group: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
-    """The rows that are still in a group of two or more after the passes over all digits; `group` deals them at first."""
+def repeated_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The rows of `starts` whose windows still are in a group of two or more after the passes over all digits and the
+    comparison of bytes; `group` deals them at first."""
+    digits = window_digits(data, starts)
     rows = np.arange(len(group))
     for digit in digits:
         code = (group.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ digit[rows]
@@ -143,8 +157,41 @@ def repeated_windows(group: np.ndarray, digits: list[np.ndarray]) -> np.ndarray:
         stays = np.bincount(name, minlength=1)[name] > 1
         rows, group = rows[order][stays], name[stays]
         if not len(rows):
-            break
-    return rows
+            return rows
+    return rows[equal_windows(data, starts[rows], group)]
+
+
+def equal_windows(data: np.ndarray, starts: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which windows equal another one of their group in all bytes.
+
+    Each is compared with the first of its group. Windows that follow each other, as their firsts do, share their bytes,
+    so a stretch of them is compared once. A group with a difference is told apart by the bytes of its windows.
+    """
+    order = np.argsort(starts, kind="stable")
+    at, who = starts[order], group[order]
+    names, first, number = np.unique(who, return_index=True, return_inverse=True)
+    other = at[first][number]
+    cuts = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(other) != 1)]))
+    ends = np.concatenate([cuts[1:], [len(at)]])
+    sizes = ends - cuts + WINDOW - 1
+    differs = np.zeros(len(names), bool)
+    block = np.cumsum(sizes) // CHECKED
+    for part in np.split(np.arange(len(cuts)), np.flatnonzero(np.diff(block)) + 1):
+        inner = np.arange(sizes[part].sum()) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
+        wrong = data[np.repeat(at[cuts[part]], sizes[part]) + inner] != data[np.repeat(other[cuts[part]], sizes[part]) + inner]
+        if wrong.any():
+            for stretch in part[np.logical_or.reduceat(wrong, np.cumsum(sizes[part]) - sizes[part])]:
+                differs[number[cuts[stretch] : ends[stretch]]] = True
+    keep = np.ones(len(at), bool)
+    doubtful = np.flatnonzero(differs[number])
+    seen: dict[tuple[int, bytes], list[int]] = {}
+    for row in doubtful.tolist():
+        seen.setdefault((int(number[row]), content_name(data[at[row] : at[row] + WINDOW].tobytes())), []).append(row)
+    for alike in seen.values():
+        keep[alike] = len(alike) > 1
+    out = np.zeros(len(at), bool)
+    out[order] = keep
+    return out
 
 
 def _sort_contents(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -156,7 +203,7 @@ def _sort_contents(held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     starts = np.repeat(begin - np.cumsum(number) + number, number) + np.arange(number.sum())
     owner = np.repeat(np.arange(len(held)), number)
     name = np.unique([d for d, _, _ in held], return_inverse=True)[1]
-    found = np.sort(repeated_windows(name[owner], window_digits(data, starts)))
+    found = np.sort(repeated_windows(data, starts, name[owner]))
     if not len(found):
         return _batch([], MARKS)
     at, who = starts[found], owner[found]
@@ -212,7 +259,8 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _keyed(documents: DataFrame) -> DataFrame:
     data = F.coalesce("text", F.lit("")).cast("binary")
-    return documents.select(F.col("doc_id").alias("a"), F.xxhash64(data).alias("b"), data.alias("data"))
+    name = F.substring(F.unhex(F.sha2(data, 256)), 1, 16)
+    return documents.select(F.col("doc_id").alias("a"), name.alias("b"), data.alias("data"))
 
 
 def _same(left: str, right: str):
@@ -233,8 +281,8 @@ def spans_of(items: DataFrame, level: int = 0) -> DataFrame:
     runs = materialize(items.mapInArrow(_runs(GRAMS[level]), RUNS), "runs")
     all_of_it = F.array(F.struct(F.col("lo").alias("first"), F.col("hi").alias("last")))
     if GRAMS[level] == WINDOW:
-        twice = runs.groupBy("digit").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("windows")).filter("windows > 1")
-        return _gathered(runs.join(twice, "digit").select("a", "b", all_of_it.alias("spans")))
+        twice = runs.groupBy("digit", "content").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("windows")).filter("windows > 1")
+        return _gathered(runs.join(twice, ["digit", "content"]).select("a", "b", all_of_it.alias("spans")))
     first = F.min(F.struct("a", "b", "lo", "hi")).alias("first")
     contents = runs.groupBy("digit", "content").agg(F.count("*").alias("n"), F.max("tied").alias("tied"), first)
     contents = materialize(contents, "contents")

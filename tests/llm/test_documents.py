@@ -249,6 +249,42 @@ def plain_removal(rows, size=windows.WINDOW):
     return sorted(out)
 
 
+# Two texts with one block hash at every size that covers them.
+COLLIDING = "mnpmklmllkkoompomlnn", "nljnoomnnopklnjlnolm"
+
+
+@pytest.mark.parametrize("local", [500, 1])
+def test_windows_with_equal_hashes_are_told_apart(spark, monkeypatch, local):
+    monkeypatch.setattr(windows, "LOCAL", local)
+    one, two = (np.frombuffer(c.encode(), np.uint8) for c in COLLIDING)
+    assert windows.block_hashes(one, len(one)) == windows.block_hashes(two, len(two))
+    rnd = random.Random(5)
+    front, back = (prose(rnd, 200)[:n] for n in (190, 190))
+    left, right = (front + c + back for c in COLLIDING)
+    assert len(left) == windows.WINDOW
+    more = prose(rnd, 60)
+    for texts in ([left, right], [left, right, left], [left + more, more + right, "z" + left, right + "y", right], [left + right + left + more]):
+        df = table_of(spark, [(i, t, "en", "s", 0) for i, t in enumerate(texts)])
+        got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in windows.remove_repeats(df).collect())
+        assert got == plain_removal([t.encode() for t in texts])
+
+
+def test_bytes_of_windows_in_one_group(monkeypatch):
+    monkeypatch.setattr(windows, "CHECKED", 700)
+    rnd = random.Random(6)
+    for _ in range(30):
+        data = np.array([rnd.choice(b"ab") for _ in range(300)] * 4 + [rnd.choice(b"ab") for _ in range(900)], np.uint8)
+        starts = np.array(rnd.sample(range(len(data) - windows.WINDOW + 1), 600))
+        group = np.array([rnd.randrange(3) if rnd.random() < 0.2 else int(s) % 300 + 3 for s in starts])
+        held = [(g, data[s : s + windows.WINDOW].tobytes()) for s, g in zip(starts.tolist(), group.tolist())]
+        often = Counter(held)
+        want = [often[h] > 1 for h in held]
+        got = windows.equal_windows(data, starts, group)
+        # A window alone in its group is its own first; the passes before leave no such group.
+        alone = Counter(group.tolist())
+        assert [g for g, n in zip(got.tolist(), group.tolist()) if alone[n] > 1] == [w for w, n in zip(want, group.tolist()) if alone[n] > 1]
+
+
 @pytest.mark.parametrize("local", [500, 4])
 def test_repeated_windows_as_brute_force(spark, monkeypatch, local):
     monkeypatch.setattr(windows, "LOCAL", local)  # the small one sends hot digits through all levels
