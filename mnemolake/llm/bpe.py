@@ -58,7 +58,8 @@ KINDS[[*range(9, 14), 32]] = BLANK
 KINDS[[i for i in range(0x250) if regex.match(r"\p{L}", chr(i))]] = ALPHA
 KINDS[[i for i in range(0x250) if regex.match(r"\p{N}", chr(i))]] = DIGIT
 WORD_END = "</w>"
-CACHE = 200_000  # entries of a generation of a worker's caches, which keep the one before
+CACHE = 50_000  # entries of a generation of a worker's caches, which keep the one before
+PAIRS = 800_000  # verdicts that a worker keeps
 NEVER = 1 << 62
 ID_BITS, NO_ID = 20, (1 << 20) - 1  # of a token's number; the number that none has
 SEGMENT = 1 << 19  # characters that are worked on at a time
@@ -97,7 +98,7 @@ class Pairs:
     def learn(self, codes: np.ndarray, verdicts: np.ndarray) -> None:
         self.late = np.sort(np.concatenate([self.late, codes << 1 | verdicts]))
         if len(self.late) > 50_000:
-            if len(self.old) > 4 * CACHE:
+            if len(self.old) > PAIRS:
                 self.old = np.empty(0, np.int64)
             self.old, self.late = np.sort(np.concatenate([self.old, self.late]), kind="stable"), np.empty(0, np.int64)
 
@@ -497,6 +498,7 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
 ENCODED = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType()),
 ])
+TOKENS = T.StructType([*ENCODED.fields[:2], T.StructField("decoded_sha256", T.StringType())])
 DIGESTS = T.StructType([
     T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType()),
 ])
@@ -528,6 +530,16 @@ def encode_udf(path: str | None = None):
     return encode
 
 
+def tokens_udf(path: str | None = None):
+    """As `encode_udf`, with the SHA-256 of the decoded text in its place, so that the text stays in the worker."""
+
+    @F.pandas_udf(TOKENS)
+    def tokens(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(((n, i, hashlib.sha256(d).hexdigest()) for n, i, d in _stepwise(path, texts)), columns=TOKENS.names)
+
+    return tokens
+
+
 def digest_udf(path: str | None = None):
     """As `encode_udf`, but the SHA-256 of ids and decoded text in hex, so that only digests leave the worker."""
     sha = lambda b: hashlib.sha256(b).hexdigest()
