@@ -45,8 +45,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, token ids (little-endian, 32 bits each), their number, and the SHA-256 of the decoded text."""
-    encoded = _documents(spark, docs).select("doc_id", "source", bpe.encode_udf()(F.col("text")).alias("e"))
-    return encoded.select("doc_id", "source", "e.n_tokens", "e.ids", F.sha2("e.decoded", 256).alias("decoded_sha256"))
+    encoded = _documents(spark, docs).select("doc_id", "source", bpe.tokens_udf()(F.col("text")).alias("e"))
+    return encoded.select("doc_id", "source", "e.n_tokens", "e.ids", "e.decoded_sha256")
 
 
 STAGES = [
