@@ -6,6 +6,7 @@ Every channel returns query_id, scope, channel, memory_id, score and rank from 0
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,7 @@ from mnemolake.functions.core import significant, unnest
 from mnemolake.functions.text import term_counts, tokens
 from mnemolake.operators.blocks import blocked
 from mnemolake.operators.graph import MEMORY_PREFIX, entity_node_id, graph_traverse
+from mnemolake.operators.store import HELD, WANT, held_columns
 from mnemolake.schemas import QUERY, SCOPE
 from mnemolake.session import materialize, sized
 
@@ -35,14 +37,15 @@ def ranked(hits: DataFrame, channel: str, k: int) -> DataFrame:
 # --- text ---------------------------------------------------------------------------------------------------------
 
 
-def text_index(cells: DataFrame, text: str = "text") -> DataFrame:
-    """scope, mem_cell_id, terms array<struct<term, tf, dl>>: one row per cell, counted inside the row, no shuffle."""
-    return cells.select(*SCOPE, "mem_cell_id", term_counts(F.col(text)).alias("terms"))
+def text_index(cells: DataFrame, text: str = "text", filters: Sequence[str] = ()) -> DataFrame:
+    """scope, mem_cell_id, terms array<struct<term, tf, dl>>: one row per cell, counted inside the row, no shuffle. Columns
+    that requests filter by stay beside the terms, so that no join is needed to test them."""
+    return cells.select(*SCOPE, "mem_cell_id", *held_columns(filters), term_counts(F.col(text)).alias("terms"))
 
 
 def postings_of(index: DataFrame) -> DataFrame:
-    rows = unnest(index, [*SCOPE, "mem_cell_id"], F.col("terms"), "_i", "_t")
-    return rows.select(*SCOPE, "mem_cell_id", "_t.*")
+    own = [c for c in index.columns if c != "terms"]
+    return unnest(index, own, F.col("terms"), "_i", "_t").select(*own, "_t.*")
 
 
 def stats_of(index: DataFrame) -> DataFrame:
@@ -71,10 +74,16 @@ def doc_frequency(postings: DataFrame) -> DataFrame:
 
 def bm25_topk(
     queries: DataFrame, postings: DataFrame, stats: DataFrame, k: int, k1: float = 1.2, b: float = 0.75,
+    filters: Sequence[str] = (),
 ) -> DataFrame:
-    """OR-match of the query terms inside the query's scope; a repeated query term counts as often as it occurs."""
-    rows = unnest(queries, ["query_id", *SCOPE], term_counts(F.col("query")), "_i", "_t")
-    asked = rows.select("query_id", *SCOPE, F.col("_t.term"), F.col("_t.tf").alias("qtf"))
+    """OR-match of the query terms inside the query's scope; a repeated query term counts as often as it occurs.
+
+    `filters`: names as `request_filters` gives them, with their columns in queries and postings. They are tested where a
+    posting meets its query, before sums are shuffled and cut; document frequencies stay those of the whole index.
+    """
+    own = ["query_id", *SCOPE, *(WANT + c for c in filters)]
+    rows = unnest(queries, own, term_counts(F.col("query")), "_i", "_t")
+    asked = rows.select(*own, F.col("_t.term"), F.col("_t.tf").alias("qtf"))
     terms = sized(asked.select("term").distinct())
     df = doc_frequency(postings.join(terms, "term", "left_semi"))
     corpus = stats.select(F.struct("n_docs", "avg_len")).scalar()
@@ -83,8 +92,11 @@ def bm25_topk(
     weighted = sized(asked.join(df, "term").withColumn("idf", rare).drop("df"))
     saturation = F.col("tf") + k1 * (1 - b + b * F.col("dl") / corpus["avg_len"])
     part = F.col("qtf") * F.col("idf") * F.col("tf") / saturation
+    met = postings.join(weighted, [*SCOPE, "term"])
+    for c in filters:
+        met = met.filter(F.col(WANT + c).isNull() | (F.col(WANT + c) == F.col(HELD + c)))
     hits = (
-        postings.join(weighted, [*SCOPE, "term"])
+        met
         .groupBy("query_id", *SCOPE, F.col("mem_cell_id").alias("memory_id"))
         .agg(F.sum(part).alias("score"))
     )
@@ -116,7 +128,17 @@ def _significant(scores: np.ndarray, digits: int = 12) -> np.ndarray:
     return np.sign(scores) * np.round(np.abs(scores) * 10.0 ** (digits - 1 - size)) * 10.0 ** (size - digits + 1)
 
 
-def _best_vectors(k: int, metric: str):
+def _allowed(queries: pd.DataFrame, cells: pd.DataFrame, filters: Sequence[str]) -> np.ndarray:
+    """Which cells (columns) pass the filters of which queries (rows)."""
+    out = np.ones((len(queries), len(cells)), bool)
+    for c in filters:
+        codes, _ = pd.factorize(pd.concat([queries[WANT + c], cells[HELD + c]], ignore_index=True))  # a null is -1
+        want, held = codes[: len(queries), None], codes[None, len(queries) :]
+        out &= (want < 0) | (want == held)
+    return out
+
+
+def _best_vectors(k: int, metric: str, filters: Sequence[str] = ()):
     def best(queries: pd.DataFrame, cells: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(cells):
@@ -129,20 +151,26 @@ def _best_vectors(k: int, metric: str):
                 scores[np.ix_(rows, cols)] = _similarity(
                     _matrix(queries["query_vec"].iloc[rows]), _matrix(cells["embedding"].iloc[cols]), metric
                 )
-            by_id = np.argsort(ids)
-            for i, row in enumerate(queries.itertuples()):
-                order = by_id[np.argsort(-_significant(scores[i, by_id]), kind="stable")][:k]
+            by_id, allowed = np.argsort(ids), _allowed(queries, cells, filters)
+            for i, row in enumerate(queries[["query_id", *SCOPE]].itertuples()):
+                open_ = by_id[allowed[i, by_id]]
+                order = open_[np.argsort(-_significant(scores[i, open_]), kind="stable")][:k]
                 out.extend((row.query_id, row.tenant_id, row.user_id, ids[j], scores[i, j]) for j in order)
         return pd.DataFrame(out, columns=["query_id", "tenant_id", "user_id", "memory_id", "score"])
 
     return best
 
 
-def vector_topk(queries: DataFrame, cells: DataFrame, k: int, metric: str = "COSINE", block: int = 4096) -> DataFrame:
-    """Exact top k inside the scope, by blocks; unequal or zero vectors score 0, cells without a vector are absent."""
-    asked = queries.filter(F.size("query_vec") > 0).select("query_id", *SCOPE, "query_vec")
-    stored = cells.filter(F.size("embedding") > 0).select(*SCOPE, "mem_cell_id", "embedding")
-    local = blocked(asked, stored, SCOPE, "query_id", "mem_cell_id", _best_vectors(k, metric), HIT, block)
+def vector_topk(
+    queries: DataFrame, cells: DataFrame, k: int, metric: str = "COSINE", block: int = 4096, filters: Sequence[str] = (),
+) -> DataFrame:
+    """Exact top k inside the scope, by blocks; unequal or zero vectors score 0, cells without a vector are absent.
+
+    `filters`: names as `request_filters` gives them; a block leaves out what a query excludes before it takes the best.
+    """
+    asked = queries.filter(F.size("query_vec") > 0).select("query_id", *SCOPE, "query_vec", *(WANT + c for c in filters))
+    stored = cells.filter(F.size("embedding") > 0).select(*SCOPE, "mem_cell_id", "embedding", *held_columns(filters))
+    local = blocked(asked, stored, SCOPE, "query_id", "mem_cell_id", _best_vectors(k, metric, filters), HIT, block)
     return ranked(local, "vector", k)
 
 

@@ -201,6 +201,35 @@ def channel_filters(df: DataFrame, filters: Mapping[str, object], allow: Sequenc
     return df
 
 
+WANT, HELD = "_want_", "_held_"  # what a request asks of a cell's column, and what the column holds, both as strings
+
+
+def request_filters(queries: DataFrame, cells: DataFrame, allow: Sequence[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """The same for many requests at once: queries with one column `_want_<name>` per column that any of them filters by, and
+    those names.
+
+    `filters` (map<string,string>, null or missing: none) of a query holds equalities; null values and keys outside `allow` are
+    ignored. A query that asks for a column which the cells lack, or one that is no plain value, can find nothing and is left out.
+    Values are compared as strings; a null in a cell equals nothing. One row with a flag per column comes to the driver.
+    """
+    if "filters" not in queries.columns:
+        return queries, []
+    plain = [c for c, kind in cells.dtypes if kind.split("<")[0] not in ("array", "map", "struct", "binary", "variant")]
+    usable = [c for c in plain if allow is None or c in allow]
+    kept = F.map_filter("filters", lambda key, value: value.isNotNull() & (F.lit(True) if allow is None else key.isin(*allow)))
+    asked = queries.withColumn("_set", F.coalesce(kept, F.create_map().cast("map<string,string>")))
+    asked = asked.filter(F.forall(F.map_keys("_set"), lambda key: key.isin(*usable)))
+    if not usable:
+        return asked.drop("_set"), []
+    flags = asked.agg(*(F.max(F.map_contains_key("_set", F.lit(c))).alias(c) for c in usable)).first()
+    names = [c for c in usable if flags[c]]
+    return asked.withColumns({WANT + c: F.try_element_at("_set", F.lit(c)) for c in names}).drop("_set"), names
+
+
+def held_columns(names: Sequence[str]) -> list[Column]:
+    return [F.col(c).cast("string").alias(HELD + c) for c in names]
+
+
 def threshold_filter(hits: DataFrame, threshold: float = 0.55) -> DataFrame:
     return hits.filter(F.col("score") >= threshold)
 

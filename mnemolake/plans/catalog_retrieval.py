@@ -613,3 +613,35 @@ def _(t):
     return out.select(
         "query_id", *SCOPE, "memory_id", F.array_join("channels", ",").alias("channels"), F.length("content").alias("n_chars"), "rank"
     )
+
+
+@query("job_retrieve_filters", "stated queries", BM25 + "," + VECTOR + """,
+want AS (SELECT query_id, CASE i % 5 WHEN 1 THEN 'en' WHEN 3 THEN 'de' END AS lang, CASE i % 5 WHEN 2 THEN 'COLD' WHEN 3 THEN 'WARM' END AS state,
+  i % 5 = 4 AS lost FROM (SELECT query_id, CAST(substr(query_id, 2) AS BIGINT) AS i FROM queries)),
+fb AS (SELECT b.query_id, b.tenant_id, b.user_id, memory_id, 0.4::DOUBLE AS wt,
+  row_number() OVER (PARTITION BY b.query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank
+  FROM bscore b JOIN want w USING (query_id) JOIN stated c ON c.mem_cell_id = b.memory_id
+  WHERE NOT lost AND (w.lang IS NULL OR c.lang = w.lang) AND (w.state IS NULL OR c.state = w.state)),
+fv AS (SELECT v.query_id, v.tenant_id, v.user_id, memory_id, 0.6::DOUBLE AS wt,
+  row_number() OVER (PARTITION BY v.query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank
+  FROM vscore v JOIN want w USING (query_id) JOIN stated c ON c.mem_cell_id = v.memory_id WHERE w.state IS NULL OR c.state = w.state),
+fz AS (SELECT query_id, tenant_id, user_id, memory_id, sum(wt / (90 + rank + 1)) AS score, count(*) AS n_channels
+  FROM (SELECT * FROM fb WHERE rank < 80 UNION ALL SELECT * FROM fv WHERE rank < 80) GROUP BY ALL),
+r AS (SELECT f.*, row_number() OVER (PARTITION BY query_id ORDER BY SIGNIFICANT(score) DESC, memory_id) - 1 AS rank
+  FROM fz f JOIN stated c ON c.mem_cell_id = f.memory_id WHERE c.state <> 'ARCHIVED')
+SELECT query_id, tenant_id, user_id, memory_id, n_channels, round(score, 6) AS score, rank FROM r WHERE rank < 5""")
+def _(t):
+    # No filter, a language (text channel only), a state, both, and a column that no cell has (text channel finds nothing).
+    kind, text = F.col("item_id") % 5, "map<string,string>"
+    filters = (
+        F.when(kind == 1, F.create_map(F.lit("lang"), F.lit("en"), F.lit("state"), F.lit(None)).cast(text))
+        .when(kind == 2, F.create_map(F.lit("state"), F.lit("COLD")))
+        .when(kind == 3, F.create_map(F.lit("lang"), F.lit("de"), F.lit("state"), F.lit("WARM")))
+        .when(kind == 4, F.create_map(F.lit("colour"), F.lit("red")))
+    )
+    requests = t["queries"].withColumns(
+        {"filters": filters, "top_k": F.lit(5), "channels": F.lit(None).cast("array<string>"), "threshold": F.lit(0.0),
+         "weights": F.lit(None).cast("map<string,double>")}
+    )
+    out, _ = jobs.job_retrieve_requests(requests, t["stated"])
+    return out.select("query_id", *SCOPE, "memory_id", F.size("channels").cast("bigint").alias("n_channels"), score6(), "rank")

@@ -150,14 +150,21 @@ def recall_channels(
     queries: DataFrame, cells: DataFrame, top_k: int, channels: Sequence[str] = SERVED_CHANNELS,
     entities: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """The enabled channels with their over-fetch. A channel whose input is missing is left out; none is an error."""
+    """The enabled channels with their over-fetch. A channel whose input is missing is left out; none is an error.
+
+    Queries may hold `filters` (see `store.request_filters`): the text channel takes every key, the vector channel memory_type
+    and state only, the entity and graph channels none. They act before the cut to the over-fetch.
+    """
     wide = ranking.overfetch(top_k)
     out: dict[str, DataFrame] = {}
     if "bm25" in channels:
-        index = materialize(recall.text_index(cells), "text-index")
-        out["bm25"] = recall.bm25_topk(queries, recall.postings_of(index), recall.stats_of(index), wide["bm25"])
+        asked, names = store.request_filters(queries, cells)
+        index = materialize(recall.text_index(cells, filters=names), "text-index")
+        postings, stats = recall.postings_of(index), recall.stats_of(index)
+        out["bm25"] = recall.bm25_topk(asked, postings, stats, wide["bm25"], filters=names)
     if "vector" in channels and "embedding" in cells.columns and "query_vec" in queries.columns:
-        out["vector"] = recall.vector_topk(queries, cells, wide["vector"])
+        asked, names = store.request_filters(queries, cells, store.VECTOR_FILTERS)
+        out["vector"] = recall.vector_topk(asked, cells, wide["vector"], filters=names)
     if entities is not None and {"entity", "graph"} & set(channels):
         entities = materialize(entities, "entities")
         asked = recall.query_entities(queries, extract_entities)
@@ -192,8 +199,8 @@ def job_retrieve_requests(
 ) -> tuple[DataFrame, DataFrame]:
     """Retrieval with the options of each request, and the hit log that `hit_update` reads.
 
-    `requests`: the columns of queries with top_k (1 to 100), channels (empty or null: all), weights (map of overrides)
-    and threshold (null: 0). Archived cells are left out where the cells have a `state`. The result holds content, type and
+    `requests`: the columns of queries with top_k (1 to 100), channels (empty or null: all), weights (map of overrides),
+    threshold (null: 0) and, if wanted, filters (map of equalities, see `recall_channels`). Archived cells are left out where the cells have a `state`. The result holds content, type and
     channels of every memory; the log has one row per memory and request.
     """
     largest, least = requests.agg(F.max("top_k"), F.min("top_k")).first()
