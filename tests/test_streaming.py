@@ -228,3 +228,14 @@ def test_a_replayed_batch_does_not_write_a_sink_again(spark, tmp_path):
     assert deliver(frame, 7, "bad", broken, ledger, policy) == (4, "never")
     assert len(seen) == before
     assert rows(ledger.rows(), "batch", "sink", "attempts", "state") == [(7, "bad", 4, "dead"), (7, "good", 3, "done")]
+
+
+@pytest.mark.parametrize("name", ["stream_segment", "stream_cluster", "stream_fanout"])
+def test_stream_queries_read_tables_of_several_files(spark, tmp_path, name):
+    from mnemolake.plans.catalog import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    for table in ("conversations", "documents", "embeddings"):
+        spark.read.parquet(f"{folder}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    got = rows(QUERIES[name](spark, str(tmp_path)))
+    assert got and got == rows(QUERIES[name](spark, folder))
