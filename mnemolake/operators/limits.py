@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ def moving_window_limit(
 
     def step(keys, pdf: pd.DataFrame, state: bytes | None):
         limiter = pickle.loads(state) if state else Limiter(n, seconds)
-        out = pdf[["key", "run", "event_id"]].assign(accepted=[limiter.hit(int(a)) for a in pdf["at"]])
-        return out, pickle.dumps(limiter)
+        accepted = np.fromiter((limiter.hit(int(a)) for a in pdf["at"].to_numpy()), dtype=bool, count=len(pdf))
+        return pdf[["key", "run", "event_id"]].assign(accepted=accepted), pickle.dumps(limiter)
 
     done = sequential_fold(
         runs, ["key", "run"], ["at", "event_id"], step, "key string, run bigint, event_id bigint, accepted boolean",
@@ -55,14 +56,18 @@ def moving_window_limit(
 def trailing_counts(events: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
     """Events of the key in the trailing window, itself included: an upper bound of the limiter's load.
 
-    Computed per (key, window-wide bucket) with the previous bucket at hand, so no window holds a whole key.
+    Computed per (key, window-wide bucket) as a running sum: events of this bucket and the one before add one, those of the one
+    before take it back a window later. So no window holds a whole key, and work goes with the rows, however dense they are.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp"))
     width = seconds * 1_000_000
     slim = events.select(F.col(key).cast("string").alias("key"), "event_id", at.alias("at"))
     bucket = F.floor(F.col("at") / width)
-    both = slim.withColumn("own", F.lit(True)).withColumn("bucket", bucket).unionByName(
-        slim.withColumn("own", F.lit(False)).withColumn("bucket", bucket + 1)
+    own = slim.select("key", "event_id", "at", bucket.alias("bucket"), F.lit(1).alias("d"), F.lit(True).alias("own"))
+    before = slim.select("key", F.lit(None).cast(slim.schema["event_id"].dataType).alias("event_id"), "at", (bucket + 1).alias("bucket"))
+    steps = F.explode(F.array(F.struct(F.col("at"), F.lit(1).alias("d")), F.struct((F.col("at") + width).alias("at"), F.lit(-1).alias("d"))))
+    gone = before.select("key", "event_id", "bucket", steps.alias("_s")).select(
+        "key", "event_id", "_s.at", "bucket", "_s.d", F.lit(False).alias("own")
     )
-    frame = Window.partitionBy("key", "bucket").orderBy("at").rangeBetween(-width + 1, 0)
-    return both.withColumn("n", F.count(F.lit(1)).over(frame)).filter("own").select("key", "event_id", "n")
+    frame = Window.partitionBy("key", "bucket").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return own.unionByName(gone).withColumn("n", F.sum("d").over(frame)).filter("own").select("key", "event_id", "n")

@@ -391,3 +391,50 @@ def test_no_scene_in_reach_is_forgotten():
     assert state.place("z", unit[0], 8.0)[2] and state.place("x", None, 8.0) == ("c000", 1.0, False)
     assert state.place("v", unit[1] + unit[2], 1.0)[2]
     assert state.place("w", unit[399], 7.5)[2] and state.place("u", unit[399], math.inf)[0] == "c399"
+
+
+def test_trailing_counts_of_dense_events(spark):
+    """A moving frame is counted anew for each row, so its work grew with the square of the events of an hour."""
+    r = random.Random(9)
+    start = dt.datetime(2026, 1, 1)
+    data = [("ab"[i % 2], i, start + dt.timedelta(microseconds=r.choice([0, 1, 499_999, 500_000]) + 500_000 * r.randint(0, 40))) for i in range(900)]
+    out = limits.trailing_counts(spark.createDataFrame(data, "key string, event_id bigint, ts timestamp"), "key", "ts", 3)
+    width = dt.timedelta(seconds=3)
+    assert rows(out) == sorted(((k, i, sum(k == q and t - width < u <= t for q, _, u in data)) for k, i, t in data), key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding$()" in plan
+
+
+def test_state_leaves_columns_their_types():
+    from mnemolake.operators.ordered import _with_state
+
+    done = pd.DataFrame({"key": ["a", "a"], "event_id": [1, 2], "accepted": [True, False]})
+    out = _with_state(done, {"key": "a"}, b"s", [*done.columns, "_state"])
+    assert out.dtypes["event_id"] == "int64" and out.dtypes["accepted"] == bool
+    assert out["_state"].tolist() == [None, None, b"s"] and out["event_id"].tolist() == [1, 2, 2]
+    assert _with_state(done[:0], {"key": "a"}, b"s", [*done.columns, "_state"]).values.tolist() == [["a", None, None, b"s"]]
+
+
+def test_limit_of_a_large_key_is_answered_in_slices():
+    from mnemolake.streaming.operators import _Limit
+
+    class Values(dict):
+        exists = lambda self: bool(self)
+        get = lambda self: self["v"]
+        update = lambda self, v: self.__setitem__("v", v)
+        getValue = lambda self, k: self[k]  # noqa: E731, N815
+        updateValue = lambda self, k, v: self.__setitem__(k, v)  # noqa: E731, N815
+
+    r = random.Random(11)
+    limiter, batch = _Limit(7, 0.001), limits.Limiter(7, 0.001)
+    limiter._taken, limiter._count = Values(), Values()
+    at = 0
+    for _ in range(2):  # two micro-batches
+        times = [at := at + r.choice([0, 1, 90, 400]) for _ in range(130_000)]
+        ids = list(range(130_000))
+        order = r.sample(ids, len(ids))
+        frames = [pd.DataFrame({"key": "k", "at": [times[i] for i in part], "event_id": part}) for part in (order[:70_000], order[70_000:])]
+        out = list(limiter.handleInputRows(("k",), iter(frames), None))
+        assert len(out) > 1 and max(map(len, out)) <= 100_000
+        got = pd.concat(out).sort_values("event_id")["accepted"].tolist()
+        assert got == [batch.hit(t) for t in times]
