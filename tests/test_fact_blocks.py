@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from mnemolake.operators import facts
 
@@ -67,3 +68,19 @@ def test_sets_of_most_of_an_alphabet_are_not_dealt_into_parts(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "posexplode" not in plan and "CoGroup" in plan
     assert facts.best_match(new, old).count() == 200
+
+
+def test_texts_are_parsed_once_for_pairs(spark):
+    """The comparison, its counts of blocks and the numbers of facts read written forms; each parsed all texts before."""
+    rows = [("t", "u", f"f{i}", f"fact {i % 7} of words", i) for i in range(20)]
+    new, old = (spark.createDataFrame(rows[i::2], FACTS) for i in (0, 1))
+    pairs = facts.fact_pairs(new, old, 0.5)
+    assert "content" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.n_new, r.n_old) for r in pairs.collect()} == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_every_blank_of_unicode_is_left_out(spark):
+    blanks = [*range(9, 14), 32, 133, 160, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+    text = "".join(f"b{chr(c)}\u200b" for c in blanks) + "\x1ca"
+    found = spark.range(1).select(facts.char_set(F.lit(text)).alias("letters")).first()["letters"]
+    assert found == ["\x1c", "a", "b", "\u200b"]
