@@ -579,9 +579,10 @@ boosted AS (SELECT query_id, f.memory_id, score * decay * (1 + importance) AS sc
 SELECT query_id, q.tenant_id, q.user_id, memory_id, round(score, 6) AS score, rank, round(mmr_score, 6) AS mmr_score
 FROM mmr JOIN queries q USING (query_id)""")
 def _(t):
+    cells = t.stored("cells")
     out = jobs.job_retrieve(
-        t["queries"], t["cells"], 5, ("bm25", "vector", "entity", "graph"), entities=cell_ents(t),
-        signals=jobs.retrieval_signals(t["cells"]),
+        t["queries"], cells, 5, ("bm25", "vector", "entity", "graph"), entities=cell_ents(t),
+        signals=jobs.retrieval_signals(cells),
     )
     return out.select("query_id", *SCOPE, "memory_id", score6(), "rank", F.round("mmr_score", 6).alias("mmr_score"))
 
@@ -608,8 +609,8 @@ def _(t):
         "top_k": (1 + item % 5).cast("int"), "channels": wanted, "threshold": 0.00001 * (item % 4),
         "weights": F.when(item % 2 == 1, F.create_map(F.lit("vector"), F.lit(0.9))),
     })
-    signals = jobs.retrieval_signals(t["stated"])
-    out, _ = jobs.job_retrieve_requests(requests, t["stated"], signals)
+    cells = t.stored("stated")
+    out, _ = jobs.job_retrieve_requests(requests, cells, jobs.retrieval_signals(cells))
     return out.select(
         "query_id", *SCOPE, "memory_id", F.array_join("channels", ",").alias("channels"), F.length("content").alias("n_chars"), "rank"
     )
