@@ -122,3 +122,13 @@ def test_hash_bucket(spark):
     for name in ("u1", "someone", "北京"):
         want = int.from_bytes(hashlib.md5(name.encode()).digest()[:4], "big") % 100
         assert one(spark, hash_bucket(F.lit(name))) == want
+
+
+def test_plain_words_fill_what_other_entities_leave(spark):
+    """Names come first; plain words are looked for only where names and quotes do not fill the list."""
+    names = " ".join(f"meets Name{chr(97 + i)}" for i in range(20))
+    assert len(on_text(spark, text.extract_entities, names)) == 20
+    few = 'the gamma of Alpha Beta met “alpha beta” and gammas'
+    assert on_text(spark, text.extract_entities, few) == ["alpha beta", "gammas", "Alpha", "Beta", "met"]
+    plan = spark.range(1).select(text.extract_entities(F.lit("x").alias("t")))._jdf.queryExecution().analyzed().toString()
+    assert "CASE WHEN (size(" in plan
