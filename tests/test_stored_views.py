@@ -22,3 +22,8 @@ def test_views_over_a_stored_one_read_it(spark):
 def test_retrieval_reads_texts_from_the_stored_cells(spark):
     out = catalog.QUERIES["job_retrieve_options"](spark, FOLDER)
     assert not reads_documents(out) and out.count() > 0
+
+
+def test_entities_of_both_mentions_are_drawn_once(spark):
+    out = catalog.QUERIES["graph_edges"](spark, FOLDER)
+    assert not reads_documents(out) and out.filter("strength <> 2").isEmpty()
