@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: rates per source, whole copies plus one seeded Bernoulli copy per document."""
+"""Mixing sources to target weights: rates per source, whole copies plus one seeded Bernoulli copy per document, of several draws the nearest."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from mnemolake.session import materialize
 
 SEED = "mix-1"
 MAX_RATE = 3
+DRAWS = 8  # as many as a SHA-256 has parts of 32 bits
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -49,43 +50,58 @@ def source_targets(sizes: DataFrame, max_rate: int = MAX_RATE) -> DataFrame:
     )
 
 
-def draw(key: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the first 32 bits of the SHA-256 of seed and key, the same in every run and engine."""
+def draws(key: Column, seed: str = SEED, number: int = DRAWS) -> Column:
+    """Numbers in [0, 1) from the SHA-256 of seed and key, 32 bits each, the same in every run and engine."""
     digest = F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))), 256)
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(2**32)
+    return F.array(*[F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("double") / float(2**32) for i in range(number)])
 
 
-def copies(rate: Column, number: Column) -> Column:
+def copies(rate: Column, drawn: Column) -> Column:
     whole = F.floor(rate)
-    return whole + F.when(number < rate - whole, 1).otherwise(0)
+    return whole + F.when(drawn < rate - whole, 1).otherwise(0)
 
 
-def source_rates(slim: DataFrame, max_rate: int = MAX_RATE) -> DataFrame:
-    """The sources of `source_targets` for (doc_id, source, size) per document, written once; `of_source` names them."""
-    return materialize(source_targets(slim, max_rate), "rates").withColumnRenamed("source", "of_source")
+def source_rates(slim: DataFrame, max_rate: int = MAX_RATE, seed: str = SEED, number: int = 1) -> DataFrame:
+    """(doc_id, source, size) per document to the sources of `source_targets` with `pick`, the draw that counts there.
 
-
-def plan_mix(documents: DataFrame, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, rate, copies.
-
-    A null text has size 0, a null source is a source of its own, rows that share a doc_id draw the same number, an empty
+    Every draw makes an independent Bernoulli copy of each document; a source uses the one of its `number` draws whose words
+    come nearest to the target (the first of equals), so that few or uneven documents do not carry it far off. With one draw
+    each copy is made with the probability of its rate's fraction. `of_source` names the sources.
+    """
+    if not 1 <= number <= DRAWS:
+        raise ValueError(f"draws must be 1 to {DRAWS}")
+    rates = materialize(source_targets(slim, max_rate), "rates").withColumnRenamed("source", "of_source")
+    if number == 1:
+        return rates.withColumn("pick", F.lit(0))
+    near = slim.join(rates, F.col("source").eqNullSafe(F.col("of_source"))).withColumn("u", draws(F.col("doc_id"), seed, number))
+    taken = [F.sum(F.col("size") * copies(F.col("rate"), F.col("u")[i])).alias(f"t{i}") for i in range(number)]
+    sums = near.groupBy("source", "target").agg(*taken)
+    off = F.array(*[F.abs(F.col(f"t{i}") - F.col("target")) for i in range(number)])
+    picks = sums.select(F.col("source").alias("picked"), (F.array_position(off, F.array_min(off)) - 1).cast("int").alias("pick"))
+    return materialize(rates.join(picks, F.col("of_source").eqNullSafe(F.col("picked"))).drop("picked"), "rates")
+
+
+def plan_mix(documents: DataFrame, max_rate: int = MAX_RATE, seed: str = SEED, number: int = 1) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate, copies, by the nearest of `number` draws.
+
+    A null text has size 0, a null source is a source of its own, rows that share a doc_id draw the same numbers, an empty
     table gives an empty result; other columns of the input are not looked at.
     """
     slim = documents.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     slim = materialize(slim, "sizes")
-    rates = source_rates(slim, max_rate)
+    rates = source_rates(slim, max_rate, seed, number)
     joined = slim.join(rates, F.col("source").eqNullSafe(F.col("of_source")))
-    often = copies(F.col("rate"), draw(F.col("doc_id"), seed))
-    return joined.withColumn("copies", often).drop("of_source", "weight")
+    often = copies(F.col("rate"), F.element_at(draws(F.col("doc_id"), seed, number), F.col("pick") + 1))
+    return joined.withColumn("copies", often).drop("of_source", "weight", "pick")
 
 
-def mix(documents: DataFrame, max_rate: int = MAX_RATE, seed: str = SEED) -> DataFrame:
+def mix(documents: DataFrame, max_rate: int = MAX_RATE, seed: str = SEED, number: int = 1) -> DataFrame:
     """The mixed documents, each as often as its copies say; the columns of the input stay as they are."""
     slim = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
-    rates = source_rates(slim, max_rate)
-    rates = rates.select(F.col("of_source").alias("__source"), F.col("rate").alias("__rate"))
+    rates = source_rates(slim, max_rate, seed, number)
+    rates = rates.select(F.col("of_source").alias("__source"), F.col("rate").alias("__rate"), F.col("pick").alias("__pick"))
     joined = documents.join(rates, documents["source"].eqNullSafe(rates["__source"]))
-    often = copies(F.col("__rate"), draw(F.col("doc_id"), seed))
+    often = copies(F.col("__rate"), F.element_at(draws(F.col("doc_id"), seed, number), F.col("__pick") + 1))
     return (
         joined.withColumn("__often", often)
         .filter("__often > 0")
@@ -113,15 +129,21 @@ WITH RECURSIVE sized AS (
   SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), weight * share) AS target,
     CASE WHEN source_size > 0 THEN least(CAST(3 * source_size AS DOUBLE), weight * share) / source_size ELSE 0.0 END AS rate
   FROM ranked, settled
+), drawn AS (
+  SELECT d.doc_id, d.source, d.size, r.source_size, r.target, i,
+    d.size * (floor(rate) + CASE WHEN CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 8 * i + 1, 8) AS BIGINT)
+      / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
+  FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source, (SELECT unnest(range({DRAWS})) AS i)
+), picks AS (
+  SELECT source, arg_min(i, {{'off': off, 'i': i}}) AS pick
+  FROM (SELECT source, i, abs(sum(taken) - any_value(target)) AS off FROM drawn GROUP BY source, i) GROUP BY source
 )
-SELECT d.doc_id, d.size, r.source_size, r.target, CAST(
-  d.size * (floor(rate) + CASE WHEN CAST('0x' || substr(sha256('{SEED}:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)
-    / 4294967296.0 < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM sized d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source
+SELECT d.doc_id, d.size, d.source_size, d.target, CAST(d.taken AS BIGINT) AS taken
+FROM drawn d JOIN picks p ON d.source IS NOT DISTINCT FROM p.source AND d.i = p.pick
 """
 
 
 @query("op8_mix", SQL)
 def op8_mix(spark, folder):
-    plan = plan_mix(table(spark, folder, "documents"))
+    plan = plan_mix(table(spark, folder, "documents"), number=DRAWS)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))

@@ -1,6 +1,7 @@
 """Operators on documents: brute force, round trips, held-out accuracy and odd tables."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mnemolake.llm import bpe, mixing, quality, secrets, simhash, toxicity, windows
 
+FOLDER = "/root/testdata/sf0.001"
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 CLASHING = DOCUMENTS + ", size long, score double, fp long, spans string, content string, key string"
 WORDS = "the of and river stone walks under quiet blue engine maps seven early letters".split()
@@ -240,6 +242,38 @@ def test_mixing_odd_tables(spark, odd, empty):
     assert [(r.size, r.target, r.copies) for r in mixing.plan_mix(nothing).collect()] == [(0, 0.0, 0)] * 2
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_mixing_query_takes_the_nearest_of_eight_draws(spark):
+    rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text))) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    sizes = Counter()
+    for _, source, size in rows:
+        sizes[source] += size
+    targets, want, nearer = plain_targets(dict(sizes)), {}, 0
+    for source in sizes:
+        rate, tried = targets[source] / sizes[source], []
+        for i in range(8):
+            parts = {d: int(hashlib.sha256(f"{mixing.SEED}:{d}".encode()).hexdigest()[8 * i : 8 * i + 8], 16) / 2**32 for d, _, _ in rows}
+            tried.append({d: n * (int(rate) + (parts[d] < rate - int(rate))) for d, s, n in rows if s == source})
+        off = [abs(sum(t.values()) - targets[source]) for t in tried]
+        want |= tried[off.index(min(off))]
+        nearer += min(off) < off[0]
+    assert nearer > 3
+    assert {r.doc_id: r.taken for r in mixing.op8_mix(spark, FOLDER).collect()} == want
+
+
+def test_mixing_of_several_draws_on_odd_tables(spark, odd, empty):
+    plan = mixing.plan_mix(odd, number=8).collect()
+    assert len(plan) == 10 and all(r.copies <= 3 for r in plan)
+    number = Counter(r.doc_id for r in mixing.mix(odd, number=8).collect())
+    wanted = Counter()
+    for r in plan:
+        wanted[r.doc_id] += r.copies
+    assert number == +wanted
+    assert mixing.plan_mix(empty, number=8).count() == 0 and mixing.mix(empty, number=8).count() == 0
+    with pytest.raises(ValueError):
+        mixing.plan_mix(odd, number=9)
+
+
 # --- repeated windows -----------------------------------------------------------------------------------------------
 
 
